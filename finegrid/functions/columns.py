@@ -106,8 +106,10 @@ def equal_area_xy(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def ring_area(ring: Column) -> Column:
     """Absolute shoelace area of an array of (x, y) structs; the ring may be open."""
+    # relative to the first corner, so that the cross products keep their precision
+    x0, y0 = ring[0]["x"], ring[0]["y"]
     nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    cross = F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    cross = F.zip_with(ring, nxt, lambda a, b: (a["x"] - x0) * (b["y"] - y0) - (b["x"] - x0) * (a["y"] - y0))
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
 
 

@@ -78,7 +78,8 @@ def clip_area(ring: pd.Series, west: pd.Series, south: pd.Series, east: pd.Serie
             areas.append(0.0)
             continue
         a = np.radians(np.array(pts))
-        x, y = a[:, 0] * EARTH_RADIUS_KM, np.sin(a[:, 1]) * EARTH_RADIUS_KM
+        # relative to the first corner, so that the cross products keep their precision
+        x, y = (a[:, 0] - a[0, 0]) * EARTH_RADIUS_KM, (np.sin(a[:, 1]) - np.sin(a[0, 1])) * EARTH_RADIUS_KM
         areas.append(abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2)
     return pd.Series(areas)
 

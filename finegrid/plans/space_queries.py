@@ -104,10 +104,10 @@ XY = """SELECT gp_code, block_lgd, user_id, CAST(user_id % 53 * 3 AS DOUBLE) AS
     d AS (SELECT w.gp_code, t.v, sqrt((radians(w.longitude - t.longitude) * 6371.0 * cos(radians(18.5))) ** 2 + (radians(w.latitude - t.latitude) * 6371.0) ** 2) AS dist, t.gp_code AS tid FROM w CROSS JOIN t),
     r AS (SELECT *, row_number() OVER (PARTITION BY gp_code ORDER BY dist, tid) AS rn FROM d)
     SELECT gp_code, {R('sum(v / greatest(dist, 0.5) ** 2) / sum(1 / greatest(dist, 0.5) ** 2)')} AS v, CAST(count(*) AS BIGINT) AS neighbours FROM r WHERE rn <= 8 GROUP BY 1""", "unit",
-    uu="SELECT * REPLACE (latitude + user_id * 0.000017::DOUBLE AS latitude) FROM unit"))
+    uu="SELECT * REPLACE (latitude + user_id * user_id % 1009 * 0.000001::DOUBLE AS latitude) FROM unit"))
 def idw_knn(t):
     # moved off the lattice, so that no two distances are equal
-    u = t.unit.withColumn("v", F.col("elev")).withColumn("latitude", F.col("latitude") + F.col("user_id") * 0.000017)
+    u = t.unit.withColumn("v", F.col("elev")).withColumn("latitude", F.col("latitude") + (F.col("user_id") * F.col("user_id") % 1009) * 0.000001)
     out = E.idw_knn(u.where("user_id % 5 = 2"), u.where("user_id % 5 <> 2"), "gp_code", "latitude", "longitude", "v", 18.5)
     return out.select("gp_code", r4("v").alias("v"), "neighbours")
 
@@ -157,14 +157,14 @@ def baseline_grid_reference(t):
     return t.obs.join(ref, ["gp_code", "d"], "left").select("gp_code", "d", "rain_obs", r4("grid_ref").alias("grid_ref"))
 
 
-SEGMENTS = """SELECT s_suppkey AS tid, 73.3 + CAST(s_suppkey * 37 % 150 AS DOUBLE) / 100 AS ax, 18 + CAST(s_suppkey * 53 % 110 AS DOUBLE) / 100 AS ay,
-    73.3 + CAST(s_suppkey * 37 % 150 AS DOUBLE) / 100 + CAST(s_suppkey % 9 - 4 AS DOUBLE) / 50 AS ex,
-    18 + CAST(s_suppkey * 53 % 110 AS DOUBLE) / 100 + CAST(s_suppkey % 7 - 3 AS DOUBLE) / 50 AS ey FROM supplier"""
+SEGMENTS = """SELECT s_suppkey AS tid, 73.30037 + CAST(s_suppkey * 37 % 150 AS DOUBLE) / 100 AS ax, 18.00029 + CAST(s_suppkey * 53 % 110 AS DOUBLE) / 100 AS ay,
+    73.30037 + CAST(s_suppkey * 37 % 150 AS DOUBLE) / 100 + CAST(s_suppkey % 9 - 4 AS DOUBLE) / 50 AS ex,
+    18.00029 + CAST(s_suppkey * 53 % 110 AS DOUBLE) / 100 + CAST(s_suppkey % 7 - 3 AS DOUBLE) / 50 AS ey FROM supplier"""
 
 
 def segments(t):
     k = F.col("s_suppkey")
-    ax, ay = 73.3 + (k * 37 % 150).cast("double") / 100, 18 + (k * 53 % 110).cast("double") / 100
+    ax, ay = 73.30037 + (k * 37 % 150).cast("double") / 100, 18.00029 + (k * 53 % 110).cast("double") / 100
     return t.table("supplier").select(k.alias("tid"), ax.alias("ax"), ay.alias("ay"), (ax + (k % 9 - 4).cast("double") / 50).alias("bx"),
                                       (ay + (k % 7 - 3).cast("double") / 50).alias("by"))
 
