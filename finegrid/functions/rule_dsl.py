@@ -69,11 +69,14 @@ def compile_rule(when: dict[str, dict[str, float]]):
     return predicate
 
 
-def risk_level(days: Column, levels: list[dict]) -> Column:
-    """First level whose rule fires, with its favourable days: ``struct<level, days>`` (level 0 when none does)."""
+def risk_level(levels: list[dict], flags_of) -> Column:
+    """First level whose rule fires, with its favourable days: ``struct<level, days>`` (level 0 when none does).
+
+    ``flags_of`` maps a ``when`` condition to its column of day flags.
+    """
     out = None
     for lv in levels:
-        flags = mask(days, compile_rule(lv["when"]))
+        flags = flags_of(lv["when"])
         fired = longest_true_run(flags) >= lv["consecutive"] if "consecutive" in lv else F.size(true_positions(flags)) >= lv["min_days"]
         value = F.struct(F.lit(int(lv["level"])).alias("level"), true_positions(flags).alias("days"))
         out = F.when(fired, value) if out is None else out.when(fired, value)

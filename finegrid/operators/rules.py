@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finegrid.functions.columns import reference_et0
-from finegrid.functions.rule_dsl import derived_days, longest_true_run, mask, risk_level, sure, true_positions
+from finegrid.functions.rule_dsl import compile_rule, derived_days, longest_true_run, mask, risk_level, sure, true_positions
 from finegrid.operators import agronomy_values as A
 from finegrid.operators.panel import in_season
 
@@ -120,26 +120,61 @@ def level_index(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in A.LEVELS]), name).cast("int") - 1
 
 
-def weather_rules(rules: dict | None = None) -> list[Column]:
-    """Rules that need no crop.  Columns used: days, issue_date, slope_mean, soil_clay_pct, tpi_2km."""
-    r = rules or A.RULES
+def _prepare(df: DataFrame, r: dict, e: dict, diseases: dict) -> DataFrame:
+    """Adds what several rules share, as columns, so that each is computed once per row."""
+    days = F.col("days")
+
+    def heavy(d: Column) -> Column:
+        h, p = r["heavy_rain"], d["p_heavy"]
+        return (F.when(sure(d["rain"] >= h["red_mm"]) | sure(p >= h["red_prob"]), 3)
+                .when(sure(d["rain"] >= h["orange_mm"]) | sure(p >= h["orange_prob"]), 2).when(sure(d["rain"] >= h["yellow_mm"]), 1).otherwise(0))
+
+    def et0_of(x: Column) -> Column:
+        doy = F.dayofyear(F.date_add(F.col("issue_date"), x["lead"]))
+        return reference_et0(x["tmax"], x["tmin"], x["rh"], x["wind"], F.col("latitude"), F.col("elev"), doy, e["krs"], e["gust_to_mean"])
+
+    s, t, p, n = r["spray_window"], r["thunderstorm"], r["pest_fungal"], r["dry_spell"]["window_days"]
+    first = F.slice(days, 1, n)
+    df = df.withColumns({
+        "_heavy": F.transform(days, heavy),
+        "_fit": true_positions(mask(days, lambda d: (d["rain"] <= s["max_rain_mm"]) & (d["wind"] <= s["max_wind_kmh"])
+                                    & (d["p_light"].isNull() | (d["p_light"] <= s["max_prob"])))),
+        "_storm": F.transform(days, lambda d: F.when((d["p_moderate"] >= t["min_prob"]) & (d["tmax"] >= t["min_tmax"]) & (d["rh"] >= t["min_rh"]), d["p_moderate"])),
+        "_pest": true_positions(mask(days, lambda d: (d["tmax"] > p["tmax"]) & (d["rh"] > p["rh"]))),
+        "_dry": mask(days, lambda d: d["rain"] < r["harvest"]["rain_mm"]),
+        "_hot_at": _first_extreme(days, "tmax", True), "_cold_at": _first_extreme(days, "tmin", False), "_wind_at": _first_extreme(days, "wind", True),
+        "_et0": F.aggregate(F.transform(first, et0_of), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))),
+        "_light": F.coalesce(F.array_max(_known(first, "p_light")), F.lit(0.0)),
+        "_seq": derived_days(days),
+    })
+    conditions = _conditions(diseases)
+    return df.withColumns({
+        "_heavy_at": F.array_position("_heavy", F.array_max("_heavy")) - 1, "_storm_at": F.array_position("_storm", F.array_max("_storm")) - 1,
+        "_dry_run": longest_true_run(F.col("_dry")), "_dry_days": true_positions(F.col("_dry")),
+        "_wet_days": true_positions(F.transform("_dry", lambda ok: ~ok)),
+        **{f"_flags{i}": mask(F.col("_seq"), compile_rule(w)) for i, w in enumerate(conditions)},
+    })
+
+
+def _conditions(diseases: dict) -> list[dict]:
+    """The distinct day conditions of all disease levels."""
+    out: list[dict] = []
+    for levels in diseases.values():
+        for lv in levels:
+            if lv["when"] not in out:
+                out.append(lv["when"])
+    return out
+
+
+def weather_rules(r: dict) -> list[Column]:
+    """Rules that need no crop, over prepared rows with slope_mean, soil_clay_pct and tpi_2km."""
     days, out = F.col("days"), []
-    date0 = F.date_add("issue_date", days[0]["lead"])
 
     def date_of(i: Column) -> Column:
         return F.date_add("issue_date", _at(days, i)["lead"])
 
     # heavy rain by amount or probability: worst level, first day that reaches it
-    h = r["heavy_rain"]
-
-    def heavy(d: Column) -> Column:
-        p = d["p_heavy"]
-        return (F.when(sure(d["rain"] >= h["red_mm"]) | sure(p >= h["red_prob"]), 3)
-                .when(sure(d["rain"] >= h["orange_mm"]) | sure(p >= h["orange_prob"]), 2).when(sure(d["rain"] >= h["yellow_mm"]), 1).otherwise(0))
-
-    lv = F.transform(days, heavy)
-    worst = F.array_max(lv)
-    at = F.array_position(lv, worst) - 1
+    worst, at = F.array_max("_heavy"), F.col("_heavy_at")
     day = _at(days, at)
     out.append(_if(worst > 0, _advisory("heavy_rain", level_name(worst), "general", "heavy_rain", {
         "rain": _one_decimal(day["rain"]), "prob": _whole(100 * day["p_heavy"]), "thr": str(A.PROBABILITY_MM["heavy"]), "day_index": at, "date": date_of(at)},
@@ -153,13 +188,10 @@ def weather_rules(rules: dict | None = None) -> list[Column]:
     out.append(_if(fired, _advisory("waterlogging", sev, "general", "waterlogging", {
         "rain3": _one_decimal(rain), "window": str(n), "slope": _one_decimal(F.col("slope_mean")), "clay": _whole(F.col("soil_clay_pct"))}, _first(n))))
 
-    # days fit for spraying
-    s = r["spray_window"]
-    fit = mask(days, lambda d: (d["rain"] <= s["max_rain_mm"]) & (d["wind"] <= s["max_wind_kmh"]) & (d["p_light"].isNull() | (d["p_light"] <= s["max_prob"])))
-    good = true_positions(fit)
-    everything = F.transform(days, lambda d, i: i)
+    # days fit for spraying, else advice against it on all days
+    good = F.col("_fit")
     ok = _advisory("spray_window", "green", "general", "spray_ok", {"day_indices": F.array_join(good.cast("array<string>"), ",")}, good)
-    no = _advisory("spray_window", "yellow", "general", "spray_no", {}, everything)
+    no = _advisory("spray_window", "yellow", "general", "spray_no", {}, F.transform(days, lambda d, i: i))
     out.append(F.when(F.size(good) > 0, F.array(ok).cast(ADVISORY)).otherwise(F.array(no).cast(ADVISORY)))
 
     # fertiliser timing
@@ -168,95 +200,79 @@ def weather_rules(rules: dict | None = None) -> list[Column]:
     out.append(_if(rain2 >= f["avoid_mm"], _advisory("fertiliser", "yellow", "general", "fert_avoid", {"rain2": _one_decimal(rain2)}, _first(f["window_days"]))))
 
     # heat at the first hottest day
-    at = _first_extreme(days, "tmax", True)
+    at = F.col("_hot_at")
     v = _at(days, at)["tmax"]
     step = _step(v, r["heat"])
     out.append(_if(step > 0, _advisory("heat", level_name(step), "general", "heat", {"tmax": _one_decimal(v), "day_index": at, "date": date_of(at)}, F.array(at))))
 
     # cold at the first coldest day, one level higher in a valley, frost wording near the red threshold
     c = r["cold"]
-    at = _first_extreme(days, "tmin", False)
+    at = F.col("_cold_at")
     v = _at(days, at)["tmin"]
     step = _step(v, c, falling=True)
     raised = F.least(F.lit(3), step + F.when(F.col("tpi_2km") <= c["valley_tpi"], 1).otherwise(0))
     name = F.when(v <= c["red"] + c["frost_margin"], "frost").otherwise("cold")
     out.append(_if(step > 0, _advisory(name, level_name(raised), "general", name, {"tmin": _one_decimal(v), "day_index": at, "date": date_of(at)}, F.array(at))))
 
-    # thunderstorm in the convective months
+    # thunderstorm in the convective months: every day at risk, described by the likeliest
     t = r["thunderstorm"]
-    risky = mask(days, lambda d: (d["p_moderate"] >= t["min_prob"]) & (d["tmax"] >= t["min_tmax"]) & (d["rh"] >= t["min_rh"]))
-    cand = true_positions(risky)
-    best = F.array_max(F.transform(cand, lambda i: _at(days, i)["p_moderate"]))
-    at = F.array_position(F.transform(days, lambda d, i: F.when(F.array_contains(cand, i), d["p_moderate"])), best) - 1
+    at, best = F.col("_storm_at"), F.array_max("_storm")
     sev = F.when(best >= t["orange_prob"], "orange").otherwise("yellow")
-    out.append(_if(F.month(date0).isin(t["months"]) & (F.size(cand) > 0), _advisory("thunderstorm", sev, "general", "thunder", {
-        "prob": _whole(100 * best), "thr": str(A.PROBABILITY_MM["moderate"]), "day_index": at, "date": date_of(at)}, cand)))
+    risky = true_positions(F.transform("_storm", lambda x: x.isNotNull()))
+    out.append(_if(F.month("on_date").isin(t["months"]) & best.isNotNull(), _advisory("thunderstorm", sev, "general", "thunder", {
+        "prob": _whole(100 * best), "thr": str(A.PROBABILITY_MM["moderate"]), "day_index": at, "date": date_of(at)}, risky)))
 
     # strong wind
-    at = _first_extreme(days, "wind", True)
+    at = F.col("_wind_at")
     v = _at(days, at)["wind"]
     step = _step(v, r["wind"])
     out.append(_if(step > 0, _advisory("wind", level_name(step), "general", "wind", {"wind": _whole(v), "day_index": at, "date": date_of(at)}, F.array(at))))
 
     # hot and humid: pests and fungi
-    p = r["pest_fungal"]
-    bad = true_positions(mask(days, lambda d: (d["tmax"] > p["tmax"]) & (d["rh"] > p["rh"])))
+    bad = F.col("_pest")
     first = _at(days, F.try_element_at(bad, F.lit(1)))
     out.append(_if(F.size(bad) > 0, _advisory("pest_fungal", "yellow", "general", "pest_fungal", {"tmax": _one_decimal(first["tmax"]), "rh": _whole(first["rh"])}, bad)))
     return out
 
 
-def crop_rules(rules: dict | None = None, et0: dict | None = None) -> list[Column]:
-    """Rules that need the crops in season.  Further columns used: crops, latitude, elev, ante_obs7."""
-    r, e = rules or A.RULES, et0 or A.ET0
+def crop_rules(r: dict) -> list[Column]:
+    """Dry spell, sowing and harvest, over prepared rows with crops and ante_obs7."""
     days, crops = F.col("days"), F.col("crops")
-    date0 = F.date_add("issue_date", days[0]["lead"])
+    none = F.array().cast(ADVISORY)
     d = r["dry_spell"]
-    n = d["window_days"]
-    rain, window = _sum_first(days, n), F.slice(days, 1, n)
-
-    def et0_of(x: Column) -> Column:
-        doy = F.dayofyear(F.date_add(F.col("issue_date"), x["lead"]))
-        return reference_et0(x["tmax"], x["tmin"], x["rh"], x["wind"], F.col("latitude"), F.col("elev"), doy, e["krs"], e["gust_to_mean"])
-
-    need = F.aggregate(F.transform(window, et0_of), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    dry = (rain < d["rain_mm"]) & (F.coalesce(F.array_max(_known(window, "p_light")), F.lit(0.0)) <= d["max_prob"])
+    rain = _sum_first(days, d["window_days"])
+    dry = (rain < d["rain_mm"]) & (F.col("_light") <= d["max_prob"])
     sensitive = F.filter(crops, lambda c: c["stage_type"].isin(d["sensitive_stages"]))
 
     def dry_spell(c: Column) -> Column:
-        etc = need * c["kc"]
+        etc = F.col("_et0") * c["kc"]
         return _advisory("dry_spell", "yellow", "crop", "dry_spell", {
             "rain3": _one_decimal(rain), "etc": _one_decimal(etc), "irr": _whole(F.greatest(F.lit(0.0), etc - d["effective_rain"] * rain)),
-            "et0_3day": _one_decimal(need)}, _first(n), c["crop"])
+            "et0_3day": _one_decimal(F.col("_et0"))}, _first(d["window_days"]), c["crop"])
 
-    none = F.array().cast(ADVISORY)
     out = [F.when(dry, F.transform(sensitive, dry_spell)).otherwise(none)]
 
     s = r["sowing_window"]
     cum = F.col("ante_obs7") + _sum_first(days, s["window_days"])
     enough = cum >= s["cumulative_mm"]
-    sowing = F.month(date0).isin(s["months"]) & F.exists(crops, lambda c: c["stage_type"] == "sowing") & F.col("ante_obs7").isNotNull()
+    sowing = F.month("on_date").isin(s["months"]) & F.exists(crops, lambda c: c["stage_type"] == "sowing") & F.col("ante_obs7").isNotNull()
     out.append(_if(sowing, _advisory("sowing_window", F.when(enough, "green").otherwise("yellow"), "general",
                                      F.when(enough, "sowing_ok").otherwise("sowing_wait"),
                                      {"cum": _whole(cum), "need": str(round(s["cumulative_mm"]))}, _first(s["window_days"]))))
 
-    h = r["harvest"]
-    flags = mask(days, lambda x: x["rain"] < h["rain_mm"])
-    best = longest_true_run(flags)
     ripe = F.filter(crops, lambda c: c["stage_type"] == "harvest")
-    wet = true_positions(F.transform(flags, lambda ok: ~ok))
-    go = F.transform(ripe, lambda c: _advisory("harvest", "green", "crop", "harvest_ok", {"n": best}, true_positions(flags), c["crop"]))
-    stop = F.transform(ripe, lambda c: _advisory("harvest", "yellow", "crop", "harvest_no", {}, wet, c["crop"]))
-    out.append(F.when(best >= h["dry_days"], go).when(F.size(wet) > 0, stop).otherwise(none))
+    go = F.transform(ripe, lambda c: _advisory("harvest", "green", "crop", "harvest_ok", {"n": F.col("_dry_run")}, F.col("_dry_days"), c["crop"]))
+    stop = F.transform(ripe, lambda c: _advisory("harvest", "yellow", "crop", "harvest_no", {}, F.col("_wet_days"), c["crop"]))
+    out.append(F.when(F.col("_dry_run") >= r["harvest"]["dry_days"], go).when(F.size("_wet_days") > 0, stop).otherwise(none))
     return out
 
 
-def disease_risks(diseases: dict | None = None) -> Column:
-    """Array of ``struct<model, level, days>``, one entry per disease model."""
-    seq = derived_days(F.col("days"))
+def disease_risks(diseases: dict) -> Column:
+    """Array of ``struct<model, level, days>``, one entry per disease model, over prepared rows."""
+    conditions = _conditions(diseases)
     entries = []
-    for model, levels in (diseases or A.DISEASES).items():
-        risk = risk_level(seq, levels)
+    for model, levels in diseases.items():
+        risk = risk_level(levels, lambda w: F.col(f"_flags{conditions.index(w)}"))
         entries.append(F.struct(F.lit(model).alias("model"), risk["level"].alias("level"), risk["days"].alias("days")))
     return F.array(*entries)
 
@@ -276,20 +292,20 @@ def evaluate(sequences: DataFrame, crops: DataFrame, parent: str, rules: dict |
 
     ``crops`` comes from :func:`crops_in_season` on the first valid day, in column ``on_date``.
     """
-    known = set(A.DISEASES if diseases is None else diseases)
+    r, models = rules or A.RULES, diseases or A.DISEASES
     for c in A.CROPS.values():
-        unknown = set(c["diseases"]) - known
+        unknown = set(c["diseases"]) - set(models)
         if unknown:
             raise KeyError(f"disease models without criteria: {sorted(unknown)}")
     empty = F.array().cast("array<struct<crop_ord:int,ord:int,crop:string,crop_name:string,stage:string,stage_type:string,kc:double,diseases:array<string>>>")
     df = sequences.withColumn("on_date", F.date_add("issue_date", F.col("days")[0]["lead"]))
     df = df.join(crops, [parent, "on_date"], "left").withColumn("crops", F.coalesce("crops", empty))
-    df = df.withColumn("_risks", disease_risks(diseases))
-    weather, crop = weather_rules(rules), crop_rules(rules)
-    dry_spell, sowing, harvest = (c.cast(ADVISORY) for c in crop)
+    columns = df.columns
+    df = _prepare(df, r, A.ET0, models).withColumn("_risks", disease_risks(models))
+    weather = weather_rules(r)
+    dry_spell, sowing, harvest = (c.cast(ADVISORY) for c in crop_rules(r))
     ordered = [*weather[:2], dry_spell, sowing, *weather[2:], harvest, disease_rules(F.col("_risks")).cast(ADVISORY)]
-    df = df.withColumn("advisories", F.concat(*ordered))
-    return df.withColumn("overall", overall(F.col("advisories"))).drop("_risks")
+    return df.select(*columns, F.concat(*ordered).alias("advisories")).withColumn("overall", overall(F.col("advisories")))
 
 
 def overall(advisories: Column) -> Column:
@@ -300,4 +316,5 @@ def overall(advisories: Column) -> Column:
 
 def advisory_rows(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     """One row per advisory, in rule order."""
-    return evaluated.select(*keys, F.posexplode("advisories").alias("pos", "a")).select(*keys, "pos", "a.*")
+    # the outer form keeps the optimizer from evaluating the array a second time for its size
+    return evaluated.select(*keys, F.posexplode_outer("advisories").alias("pos", "a")).where("pos is not null").select(*keys, "pos", "a.*")

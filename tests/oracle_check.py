@@ -24,7 +24,7 @@ def make_spark(cores: str = "8"):
     from pyspark.sql import SparkSession
 
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("finegrid-check").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
