@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finegrid.functions import scores as S
@@ -17,6 +17,7 @@ from finegrid.functions.columns import clip, from_space, ordered_temperatures, t
 from finegrid.operators.encode import idw_knn, out_of_fold_bias, shrunken_bias
 from finegrid.operators.panel import time_folds
 from finegrid.operators.relational import exact_quantiles
+from finegrid.session import checkpointed
 
 SENTINEL = -9999.0
 
@@ -42,7 +43,6 @@ class FittedVariable:
     space: str
     bias: DataFrame
     point: PipelineModel
-    lat0: float
     intervals: DataFrame | None = None
     bins: int = 4
     edges: list[float] = field(default_factory=list)
@@ -89,43 +89,49 @@ def with_training_bias(df: DataFrame, folds: int = 5) -> DataFrame:
     return df.join(table, ["gp_code", "is_monsoon", "fold"], "left").drop("fold")
 
 
-def with_serving_bias(df: DataFrame, table: DataFrame, lat0: float) -> DataFrame:
-    """``hist_bias`` from the fitted table; units never seen get the mean of their nearest seen units."""
-    seen = df.join(table.select("gp_code", "is_monsoon", F.col("bias").alias("hist_bias")), ["gp_code", "is_monsoon"], "left")
-    missing = seen.where("hist_bias is null").select("gp_code", "is_monsoon", "latitude", "longitude").distinct()
-    filled = None
+def complete_bias(table: DataFrame, units: DataFrame, lat0: float) -> DataFrame:
+    """Bias of every unit and season: fitted where the unit was seen, else the mean of its nearest seen units."""
+    known = table.join(units.select("gp_code", "latitude", "longitude"), "gp_code")
+    out = table.select("gp_code", "is_monsoon", "bias")
     for season in (0, 1):
-        part = idw_knn(missing.where(F.col("is_monsoon") == season), table.where(F.col("is_monsoon") == season), "gp_code", "latitude", "longitude", "bias", lat0)
-        part = part.select("gp_code", F.lit(season).alias("is_monsoon"), F.col("bias").alias("_fill"))
-        filled = part if filled is None else filled.unionByName(part)
-    return seen.join(filled, ["gp_code", "is_monsoon"], "left").withColumn("hist_bias", F.coalesce("hist_bias", "_fill")).drop("_fill")
+        here = known.where(F.col("is_monsoon") == season)
+        unseen = units.join(here.select("gp_code"), "gp_code", "left_anti")
+        filled = idw_knn(unseen, here, "gp_code", "latitude", "longitude", "bias", lat0)
+        out = out.unionByName(filled.select("gp_code", F.lit(season).alias("is_monsoon"), "bias"))
+    return out
+
 
+def with_serving_bias(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``hist_bias`` looked up from a fitted (complete) table."""
+    return df.join(table.select("gp_code", "is_monsoon", F.col("bias").alias("hist_bias")), ["gp_code", "is_monsoon"], "left")
 
-def _bias_table(df: DataFrame) -> DataFrame:
-    table = shrunken_bias(df, "gp_code", "block_lgd", "is_monsoon", "r")
-    return table.join(df.select("gp_code", "latitude", "longitude").distinct(), "gp_code")
 
+def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, space: str, units: DataFrame, lat0: float, rounds: int = 20,
+              depth: int = 4, step: float = 0.1) -> FittedVariable:
+    """Boosted trees on the residual; rows of ``calib`` only decide when to stop.
 
-def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, space: str, lat0: float, rounds: int = 20, depth: int = 4,
-              step: float = 0.1) -> FittedVariable:
-    """Boosted trees on the residual; rows of ``calib`` only decide when to stop."""
+    The bias table and the training rows are checkpointed: the trees read the rows
+    once per level, and a lost executor must not recompute the joins behind them.
+    """
     tr = usable(train, spec).withColumn("r", residual(spec, space))
-    table = _bias_table(tr)
+    table = checkpointed(complete_bias(shrunken_bias(tr, "gp_code", "block_lgd", "is_monsoon", "r"), units, lat0))
     rows = with_training_bias(tr).withColumn("is_cal", F.lit(False))
-    if calib is not None:
-        ca = usable(calib, spec).withColumn("r", residual(spec, space))
-        rows = rows.unionByName(with_serving_bias(ca, table, lat0).withColumn("is_cal", F.lit(True)), allowMissingColumns=True)
     features = [*spec.features, "hist_bias"]
+    need = ["r", "is_cal", *features]
+    rows = rows.select(*need)
+    if calib is not None:
+        ca = usable(calib, spec).withColumn("r", residual(spec, space)).withColumn("is_cal", F.lit(True))
+        rows = rows.unionByName(with_serving_bias(ca, table).select(*need))
     gbt = GBTRegressor(featuresCol="features", labelCol="r", predictionCol="r_hat", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42,
                        subsamplingRate=0.8, validationIndicatorCol="is_cal" if calib is not None else None)
-    model = Pipeline(stages=[_assembler(features), gbt]).fit(_inputs(rows, features))
-    return FittedVariable(spec, space, table, model, lat0)
+    model = Pipeline(stages=[_assembler(features), gbt]).fit(checkpointed(_inputs(rows, features)))
+    return FittedVariable(spec, space, table, model)
 
 
 def predict_point(m: FittedVariable, df: DataFrame) -> DataFrame:
     """Adds ``<var>_pred`` and the residual estimate ``r_hat``."""
     features = [*m.spec.features, "hist_bias"]
-    x = _inputs(with_serving_bias(df, m.bias, m.lat0), features)
+    x = _inputs(with_serving_bias(df, m.bias), features)
     out = m.point.transform(x)
     base = to_space(F.col(m.spec.forecast), m.space)
     pred = clip(from_space(base + F.col("r_hat"), m.space), m.spec.lower, m.spec.upper)
@@ -133,11 +139,11 @@ def predict_point(m: FittedVariable, df: DataFrame) -> DataFrame:
     return out.withColumn(f"{m.spec.var}_pred", pred).select(*keep, f"{m.spec.var}_pred")
 
 
-def select_space(train: DataFrame, calib: DataFrame, spec: VariableSpec, lat0: float, rounds: int = 10) -> tuple[str, dict[str, float]]:
+def select_space(train: DataFrame, calib: DataFrame, spec: VariableSpec, units: DataFrame, lat0: float, rounds: int = 10) -> tuple[str, dict[str, float]]:
     """Residual space with the lower calibration RMSE; one number per space reaches the driver."""
     rmse = {}
     for space in ("linear", "log1p"):
-        m = fit_point(train, None, spec, space, lat0, rounds)
+        m = fit_point(train, None, spec, space, units, lat0, rounds)
         p = predict_point(m, usable(calib, spec))
         rmse[space] = p.agg(S.continuous(F.col(spec.target), F.col(f"{spec.var}_pred"))["rmse"]).first()[0]
     return min(rmse, key=rmse.get), rmse
@@ -150,13 +156,15 @@ def fit_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, alpha:
     and distributed.  The margin is the split-conformal quantile of the overshoot.
     """
     p = predict_point(m, usable(train, m.spec)).withColumn("e", residual(m.spec, m.space) - F.col("r_hat"))
+    p = checkpointed(p.select("lead_day", m.spec.forecast, "e"))
     edges = p.select(F.percentile_approx(m.spec.forecast, [i / m.bins for i in range(1, m.bins)], 1000)).first()[0]
     bin_of = sum((F.when(F.col(m.spec.forecast) > float(x), 1).otherwise(0) for x in edges), F.lit(0))
-    m.intervals = exact_quantiles(p.withColumn("bin", bin_of), ["lead_day", "bin"], "e", {"e10": 0.1, "e50": 0.5, "e90": 0.9})
+    m.intervals = checkpointed(exact_quantiles(p.withColumn("bin", bin_of), ["lead_day", "bin"], "e", {"e10": 0.1, "e50": 0.5, "e90": 0.9}))
     m.edges = [float(x) for x in edges]
     c = _with_interval(m, predict_point(m, usable(calib, m.spec)))
     r = residual(m.spec, m.space)
-    over = c.withColumn("over", F.greatest(F.col("_lo") - r, r - F.col("_hi"))).where("over is not null").withColumn("_all", F.lit(1))
+    over = c.select(F.greatest(F.col("_lo") - r, r - F.col("_hi")).alias("over"), F.lit(1).alias("_all"))
+    over = checkpointed(over.where("over is not null"))
     n = over.count()
     if n:
         level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / n)
@@ -184,8 +192,9 @@ def predict_intervals(m: FittedVariable, df: DataFrame) -> DataFrame:
 def fit_exceedance(m: FittedVariable, train: DataFrame, calib: DataFrame, rounds: int = 10, min_events: int = 50, min_calib: int = 10) -> FittedVariable:
     """Classifier per threshold with enough events, recalibrated where the calibration rows hold enough."""
     features = [*m.spec.features, "hist_bias"]
-    tr = _inputs(with_serving_bias(usable(train, m.spec), m.bias, m.lat0), features)
-    ca = _inputs(with_serving_bias(usable(calib, m.spec), m.bias, m.lat0), features)
+    need = [m.spec.target, *features]
+    tr = checkpointed(_inputs(with_serving_bias(usable(train, m.spec), m.bias).select(*need), features))
+    ca = checkpointed(_inputs(with_serving_bias(usable(calib, m.spec), m.bias).select(*need), features))
     y = F.col(m.spec.target)
     events = tr.agg(*[F.count_if(y >= t).alias(str(i)) for i, t in enumerate(m.spec.thresholds)], F.count("*").alias("n")).first()
     calib_events = ca.agg(*[F.count_if(y >= t).alias(str(i)) for i, t in enumerate(m.spec.thresholds)]).first()
@@ -206,7 +215,7 @@ def predict_exceedance(m: FittedVariable, df: DataFrame) -> DataFrame:
     """Adds ``<var>_p_ge_<threshold>`` for every fitted threshold."""
     features = [*m.spec.features, "hist_bias"]
     keep = df.columns
-    out = _inputs(with_serving_bias(df, m.bias, m.lat0), features)
+    out = _inputs(with_serving_bias(df, m.bias), features)
     for t, (clf, iso) in m.classifiers.items():
         name = f"{m.spec.var}_p_ge_" + f"{t:g}".replace(".", "p")
         base = out.columns
@@ -257,38 +266,35 @@ def importance(m: FittedVariable) -> dict[str, float]:
     return dict(sorted(((k, g / total) for k, g in gain.items()), key=lambda x: -x[1]))
 
 
-def unit_folds(df: DataFrame, folds: int, seed: int = 42) -> Column:
+def unit_folds(folds: int, seed: int = 42) -> Column:
     """Fold of a unit, the same on every run: a unit is never split over folds."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("gp_code"))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
-def grouped_search(df: DataFrame, spec: VariableSpec, space: str, grid: list[dict], lat0: float, folds: int = 3) -> list[dict]:
+def grouped_search(df: DataFrame, spec: VariableSpec, space: str, grid: list[dict], units: DataFrame, lat0: float, folds: int = 3) -> list[dict]:
     """Mean cross-validated RMSE of each parameter set; the encoder is fitted anew inside every fold."""
-    df = df.withColumn("_fold", unit_folds(df, folds)).persist()
+    df = df.withColumn("_fold", unit_folds(folds))
     results = []
-    try:
-        for params in grid:
-            rmse = []
-            for k in range(folds):
-                m = fit_point(df.where(F.col("_fold") != k).drop("_fold"), None, spec, space, lat0, **params)
-                p = predict_point(m, usable(df.where(F.col("_fold") == k).drop("_fold"), spec))
-                value = p.agg(S.continuous(F.col(spec.target), F.col(f"{spec.var}_pred"))["rmse"]).first()[0]
-                if value is not None:
-                    rmse.append(value)
-            results.append({**params, "cv_rmse": sum(rmse) / len(rmse)})
-    finally:
-        df.unpersist()
+    for params in grid:
+        rmse = []
+        for k in range(folds):
+            m = fit_point(df.where(F.col("_fold") != k).drop("_fold"), None, spec, space, units, lat0, **params)
+            p = predict_point(m, usable(df.where(F.col("_fold") == k).drop("_fold"), spec))
+            value = p.agg(S.continuous(F.col(spec.target), F.col(f"{spec.var}_pred"))["rmse"]).first()[0]
+            if value is not None:
+                rmse.append(value)
+        results.append({**params, "cv_rmse": sum(rmse) / len(rmse)})
     return sorted(results, key=lambda r: r["cv_rmse"])
 
 
-def leave_parent_out(df: DataFrame, spec: VariableSpec, space: str, lat0: float, train: str, test: str, min_units: int = 5, **params) -> DataFrame:
+def leave_parent_out(df: DataFrame, spec: VariableSpec, space: str, units: DataFrame, lat0: float, train: str, test: str, min_units: int = 5, **params) -> DataFrame:
     """Scores per parent of a model trained without that parent (``train`` and ``test`` are flag columns)."""
-    ready = usable(df, spec).persist()
+    ready = usable(df, spec)
     parents = ready.where(test).groupBy("block_lgd").agg(F.count_distinct("gp_code").alias("n")).where(F.col("n") >= min_units)
     out = None
     for row in parents.orderBy("block_lgd").collect():  # one row per parent with enough units
         b = row["block_lgd"]
-        m = fit_point(ready.where((F.col("block_lgd") != b) & F.col(train)), None, spec, space, lat0, **params)
+        m = fit_point(ready.where((F.col("block_lgd") != b) & F.col(train)), None, spec, space, units, lat0, **params)
         p = predict_point(m, ready.where((F.col("block_lgd") == b) & F.col(test)))
         y = F.col(spec.target)
         mod, ref = S.continuous(y, F.col(f"{spec.var}_pred")), S.continuous(y, F.col(spec.forecast))
@@ -310,14 +316,14 @@ def predict_all(models: dict[str, FittedVariable], df: DataFrame) -> DataFrame:
     return out
 
 
-def fit_operational(df: DataFrame, calib_flag: str, spec: VariableSpec, space: str, lat0: float, path: str | None = None, **params) -> FittedVariable:
+def fit_operational(df: DataFrame, calib_flag: str, spec: VariableSpec, space: str, units: DataFrame, lat0: float, path: str | None = None, **params) -> FittedVariable:
     """Refit on every day except the calibration weeks; the trees are saved below ``path``."""
-    m = fit_point(df.where(~F.col(calib_flag)), df.where(F.col(calib_flag)), spec, space, lat0, **params)
+    m = fit_point(df.where(~F.col(calib_flag)), df.where(F.col(calib_flag)), spec, space, units, lat0, **params)
     if path:
         m.point.write().overwrite().save(f"{path}/trees")
         m.bias.write.mode("overwrite").parquet(f"{path}/bias")
     return m
 
 
-def load_operational(df: DataFrame, spec: VariableSpec, space: str, lat0: float, path: str) -> FittedVariable:
-    return FittedVariable(spec, space, df.sparkSession.read.parquet(f"{path}/bias"), PipelineModel.load(f"{path}/trees"), lat0)
+def load_operational(spark: SparkSession, spec: VariableSpec, space: str, path: str) -> FittedVariable:
+    return FittedVariable(spec, space, spark.read.parquet(f"{path}/bias"), PipelineModel.load(f"{path}/trees"))

@@ -9,7 +9,7 @@ from finegrid.functions.columns import season_terms
 from finegrid.operators import model as Md
 from finegrid.operators import panel as P
 from finegrid.plans.registry import query, r4
-from finegrid.session import scratch_path
+from finegrid.session import checkpointed, scratch_path
 
 LAT0 = 18.5
 SPEC = Md.VariableSpec("rain", "rain_obs", "fc_rain", ("fc_rain", "lead_day", "elev_diff", "doy_sin", "doy_cos", "area_km2"), lower=0.0, thresholds=(2.5, 64.5))
@@ -27,7 +27,8 @@ def frame(t):
 
 
 def cached(t):
-    return frame(t).persist()
+    """The modelling frame, written once: every fit and prediction of a query reads it again."""
+    return checkpointed(frame(t))
 
 
 def scored(df, pred):
@@ -46,14 +47,14 @@ def ridge_mos(t):
 @query("residual_trees", "M9 M10 M14 M2")
 def residual_trees(t):
     df = cached(t)
-    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", LAT0, **FAST)
+    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", t.unit, LAT0, **FAST)
     return scored(Md.predict_point(m, df.where("test")), "rain_pred")
 
 
 @query("space_select", "M11 M9")
 def space_select(t):
     df = cached(t)
-    best, rmse = Md.select_space(df.where("train"), df.where("calib"), SPEC, LAT0, rounds=3)
+    best, rmse = Md.select_space(df.where("train"), df.where("calib"), SPEC, t.unit, LAT0, rounds=3)
     rows = [(k, float(v), k == best) for k, v in rmse.items()]
     return t.spark.createDataFrame(rows, "space string, rmse double, chosen boolean")
 
@@ -61,7 +62,7 @@ def space_select(t):
 @query("quantile_conformal", "M12 W18 A18")
 def quantile_conformal(t):
     df = cached(t)
-    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", LAT0, **FAST)
+    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", t.unit, LAT0, **FAST)
     m = Md.fit_intervals(m, df.where("train"), df.where("calib"))
     q = Md.predict_intervals(m, df.where("test"))
     y = F.col("rain_obs")
@@ -73,7 +74,7 @@ def quantile_conformal(t):
 @query("exceedance_isotonic", "M13 A15")
 def exceedance_isotonic(t):
     df = cached(t)
-    m = Md.fit_point(df.where("train"), None, SPEC, "linear", LAT0, rounds=2, depth=2)
+    m = Md.fit_point(df.where("train"), None, SPEC, "linear", t.unit, LAT0, rounds=2, depth=2)
     m = Md.fit_exceedance(m, df.where("train"), df.where("calib"), rounds=3)
     p = Md.predict_exceedance(m, df.where("test"))
     names = [c for c in p.columns if "_p_ge_" in c]
@@ -86,21 +87,21 @@ def exceedance_isotonic(t):
 @query("group_cv", "M15")
 def group_cv(t):
     df = cached(t).where("train").drop("train", "calib", "test", "holdout")
-    res = Md.grouped_search(df, SPEC, "linear", [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 3}], LAT0, folds=2)
+    res = Md.grouped_search(df, SPEC, "linear", [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 3}], t.unit, LAT0, folds=2)
     return t.spark.createDataFrame([(r["rounds"], r["depth"], float(r["cv_rmse"])) for r in res], "rounds int, depth int, cv_rmse double")
 
 
 @query("leave_parent_out", "M18 A23")
 def leave_parent_out(t):
     df = cached(t)
-    out = Md.leave_parent_out(df, SPEC, "linear", LAT0, "train", "test", min_units=3, rounds=2, depth=2)
+    out = Md.leave_parent_out(df, SPEC, "linear", t.unit, LAT0, "train", "test", min_units=3, rounds=2, depth=2)
     return out.select("block_lgd", "units", "n", r4("model_rmse").alias("model_rmse"), r4("copy_rmse").alias("copy_rmse"), r4("skill").alias("skill"))
 
 
 @query("importance", "M17 A32")
 def importance(t):
     df = cached(t)
-    m = Md.fit_point(df.where("train"), None, SPEC, "linear", LAT0, **FAST)
+    m = Md.fit_point(df.where("train"), None, SPEC, "linear", t.unit, LAT0, **FAST)
     return t.spark.createDataFrame([(k, float(v)) for k, v in Md.importance(m).items()], "feature string, share double")
 
 
@@ -108,6 +109,6 @@ def importance(t):
 def operational_refit(t):
     df = cached(t)
     path = scratch_path(t.spark, "model")
-    Md.fit_operational(df.where("rain_obs is not null"), "calib", SPEC, "linear", LAT0, path, rounds=2, depth=2)
-    m = Md.load_operational(df, SPEC, "linear", LAT0, path)
+    Md.fit_operational(df.where("rain_obs is not null"), "calib", SPEC, "linear", t.unit, LAT0, path, rounds=2, depth=2)
+    m = Md.load_operational(t.spark, SPEC, "linear", path)
     return scored(Md.predict_all({"rain": m}, df.where("test")), "rain_pred")

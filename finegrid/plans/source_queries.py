@@ -151,10 +151,10 @@ def csv_template(t):
 
 
 @query("issue_payload", "S17", sql("""
-    SELECT gp_code, issue_date, array_to_string(list_transform(list(round_even(fc_rain, 2) ORDER BY lead_day), lambda v: CAST(v AS VARCHAR)), ',') AS fr,
+    SELECT gp_code, issue_date, array_to_string(list_transform(list(round_even(fc_rain * 1.013::DOUBLE, 2) ORDER BY lead_day), lambda v: CAST(v AS VARCHAR)), ',') AS fr,
       array_to_string(list_transform(list(rain_obs ORDER BY lead_day), lambda v: coalesce(CAST(v AS VARCHAR), 'null')), ',') AS r FROM panel GROUP BY 1, 2""", "panel"))
 def issue_payload(t):
-    p = Tb.issue_payload(t.panel, "gp_code", {"fr": "fc_rain", "r": "rain_obs"})
+    p = Tb.issue_payload(t.panel.withColumn("fc_rain", F.col("fc_rain") * 1.013), "gp_code", {"fr": "fc_rain", "r": "rain_obs"})
 
     def text(c):
         return F.array_join(F.transform(c, lambda v: F.coalesce(v.cast("string"), F.lit("null"))), ",").alias(c)
