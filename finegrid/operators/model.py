@@ -122,8 +122,9 @@ def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, spa
     if calib is not None:
         ca = usable(calib, spec).withColumn("r", residual(spec, space)).withColumn("is_cal", F.lit(True))
         rows = rows.unionByName(with_serving_bias(ca, table).select(*need))
-    gbt = GBTRegressor(featuresCol="features", labelCol="r", predictionCol="r_hat", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42,
-                       subsamplingRate=0.8, validationIndicatorCol="is_cal" if calib is not None else None)
+    gbt = GBTRegressor(featuresCol="features", labelCol="r", predictionCol="r_hat", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, subsamplingRate=0.8)
+    if calib is not None:
+        gbt = gbt.setValidationIndicatorCol("is_cal")
     model = Pipeline(stages=[_assembler(features), gbt]).fit(checkpointed(_inputs(rows, features)))
     return FittedVariable(spec, space, table, model)
 
