@@ -143,15 +143,19 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
 
     With cells as wide as the cap, a polygon in reach lies in the 3 x 3 cells around the point.
     """
-    cells = covered_cells(polygons.select(key, ring), ring, cap)
+    west, south, east, north = _bounds(ring)
+    boxed = polygons.select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
+    cells = covered_cells(boxed, ring, cap)
     pts = points.select(point_id, x, y).withColumn("_ci", _cell(F.col(y), cap)).withColumn("_cj", _cell(F.col(x), cap))
     near = pts.withColumn("ci", F.explode(F.sequence(F.col("_ci") - 1, F.col("_ci") + 1)))
     near = near.withColumn("cj", F.explode(F.sequence(F.col("_cj") - 1, F.col("_cj") + 1)))
-    pair = near.join(cells, ["ci", "cj"], "left")
-    r, px, py = F.col(ring), F.col(x), F.col(y)
-    d = F.when(ring_contains(r, px, py), 0.0).otherwise(ring_distance(r, px, py))
-    best = F.min(F.when(d <= cap, F.struct(d.alias("d"), F.col(key))))
-    found = pair.groupBy(point_id).agg(best.alias("_b"))
+    # the box test is cheap and compiled; outlines are walked only for boxes in reach
+    x, y = F.col(x), F.col(y)
+    gap = F.hypot(F.greatest(F.col("w") - x, x - F.col("e"), F.lit(0.0)), F.greatest(F.col("s") - y, y - F.col("n"), F.lit(0.0)))
+    pair = near.join(cells, ["ci", "cj"]).where(gap <= cap)
+    pair = pair.withColumn("_d", F.when(ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y)))
+    best = pair.where(F.col("_d") <= cap).groupBy(point_id).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(key))).alias("_b"))
+    found = points.select(point_id).join(best, point_id, "left")
     how = F.when(F.col("_b").isNull(), "none").when(F.col("_b.d") == 0, "contains").otherwise("nearest")
     return found.select(point_id, F.col(f"_b.{key}").alias(key), how.alias("how"), F.col("_b.d").alias("distance"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from finegrid.functions.scores import null_aware_mean
 from finegrid.operators.relational import exact_quantiles
@@ -228,44 +227,55 @@ def upwind_barrier(points: DataFrame, heights: DataFrame, key: str, lat: str, lo
 
 # --- connected components -----------------------------------------------------------------
 
-def _label_tile(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
-    """Labels of edge-connected cells inside one tile: the least cell number of each piece."""
-    i0, j0 = int(pdf["i"].min()), int(pdf["j"].min())
-    ids = np.full((tile + 2, tile + 2), np.iinfo(np.int64).max)
-    ii, jj = pdf["i"].to_numpy() - i0 + 1, pdf["j"].to_numpy() - j0 + 1
-    ids[ii, jj] = pdf["cell"].to_numpy()
-    here = ids != np.iinfo(np.int64).max
-    while True:
-        low = np.minimum.reduce([ids[1:-1, 1:-1], ids[:-2, 1:-1], ids[2:, 1:-1], ids[1:-1, :-2], ids[1:-1, 2:]])
-        low = np.where(here[1:-1, 1:-1], low, np.iinfo(np.int64).max)
-        if (low == ids[1:-1, 1:-1]).all():
-            break
-        ids[1:-1, 1:-1] = low
-    return pdf.assign(label=ids[ii, jj])[["t", "i", "j", "cell", "label"]]
+def _tile_labels(tile: int):
+    """Arrow function: positions of one tile's cells (``row * tile + column``) to the least position of each piece."""
+    none = tile * tile
+
+    def label(pos: np.ndarray) -> np.ndarray:
+        ids = np.full((tile + 2, tile + 2), none, dtype="int32")
+        ii, jj = pos // tile + 1, pos % tile + 1
+        ids[ii, jj] = pos
+        inner = ids[1:-1, 1:-1]
+        empty = inner == none
+        while True:
+            low = np.minimum.reduce([inner, ids[:-2, 1:-1], ids[2:, 1:-1], ids[1:-1, :-2], ids[1:-1, 2:]])
+            low[empty] = none
+            if np.array_equal(low, inner):
+                return ids[ii, jj]
+            inner[:] = low
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def labels(tiles: pd.Series) -> pd.Series:
+        return tiles.map(lambda p: label(np.asarray(p, dtype="int32")))
+
+    return labels
 
 
 def components(cells: DataFrame, step: str, row_stride: int, tile: int = 256) -> DataFrame:
     """Component (least cell number) of every cell of ``(step, i, j)`` under edge neighbourhood.
 
-    Tiles of fixed size are labelled in parallel, so a group is never larger than
+    Tiles of fixed size are labelled in parallel, so a group never holds more than
     ``tile`` squared cells.  Only touching labels of neighbouring tiles remain, and
     those are merged by repeated minimum propagation with label shortcuts.
     """
-    df = cells.select(F.col(step).cast("long").alias("t"), F.col("i").cast("int"), F.col("j").cast("int"),
-                      (F.col("i").cast("long") * row_stride + F.col("j")).alias("cell"))
-    tiles = df.groupBy("t", F.floor(F.col("i") / tile), F.floor(F.col("j") / tile))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _label_tile(pdf, tile)
-
-    local = checkpointed(tiles.applyInPandas(label, "t long, i int, j int, cell long, label long"))
-    at = local.select("t", "i", "j", "label")
-    rim = at.where(((F.col("i") + 1) % tile == 0) | ((F.col("j") + 1) % tile == 0))
-    nb = rim.select("t", "label", F.explode(F.array(F.struct((F.col("i") + 1).alias("i"), F.col("j")),
-                                                   F.struct(F.col("i"), (F.col("j") + 1).alias("j")))).alias("p"))
-    nb = nb.select("t", F.col("label").alias("a"), "p.i", "p.j").join(at.withColumnRenamed("label", "b"), ["t", "i", "j"]).where("a <> b")
-    both = nb.select("t", "a", "b").union(nb.select("t", F.col("b"), F.col("a"))).distinct()
-    edges = checkpointed(both.toDF("t", "a", "b"))
+    i, j, size = F.col("i").cast("int"), F.col("j").cast("int"), F.lit(tile)
+    df = cells.select(F.col(step).cast("long").alias("t"), F.floor(i / size).cast("int").alias("ti"), F.floor(j / size).cast("int").alias("tj"),
+                      (F.pmod(i, size) * tile + F.pmod(j, size)).alias("p"))
+    packed = df.groupBy("t", "ti", "tj").agg(F.collect_set("p").alias("p"))
+    zipped = packed.withColumn("l", _tile_labels(tile)("p")).select("t", "ti", "tj", F.explode(F.arrays_zip("p", "l")).alias("z"))
+
+    def number(pos: str) -> Column:
+        row, col = F.floor(F.col(pos) / tile) + F.col("ti") * tile, F.col(pos) % tile + F.col("tj") * tile
+        return row.cast("long") * row_stride + col
+
+    local = zipped.select("t", (F.floor(F.col("z.p") / tile) + F.col("ti") * tile).cast("int").alias("i"), (F.col("z.p") % tile + F.col("tj") * tile).alias("j"),
+                          number("z.l").alias("label"))
+    local = checkpointed(local)
+    rim = local.where(((F.col("i") + 1) % tile == 0) | ((F.col("j") + 1) % tile == 0))
+    nb = rim.select("t", F.col("label").alias("a"), F.explode(F.array(F.struct((F.col("i") + 1).alias("i"), F.col("j")),
+                                                                     F.struct(F.col("i"), (F.col("j") + 1).alias("j")))).alias("p"))
+    nb = nb.select("t", "a", "p.i", "p.j").join(local.withColumnRenamed("label", "b"), ["t", "i", "j"]).where("a <> b")
+    edges = checkpointed(nb.select("t", "a", "b").union(nb.select("t", F.col("b"), F.col("a"))).distinct().toDF("t", "a", "b"))
     if edges.isEmpty():
         return local.select(F.col("t").alias(step), "i", "j", F.col("label").alias("component"))
     merged = _merge_labels(edges)

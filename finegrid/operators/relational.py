@@ -50,7 +50,15 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column)
             .withColumn("rank", F.row_number().over(within) + F.col("_offset")).drop("_bucket", "_offset"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], splits: int = 64) -> DataFrame:
+def _below(edges: Column, v: Column, depth: int) -> Column:
+    """How many of ``2 ** depth - 1`` ascending edges lie below ``v``: a binary search of compiled comparisons."""
+    found = F.lit(0)
+    for step in (2**k for k in reversed(range(depth))):
+        found = found + (edges[found + (step - 1)] < v).cast("int") * step
+    return found
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], depth: int = 6) -> DataFrame:
     """Exact linearly interpolated quantiles per key, also for keys too large for one task.
 
     Equal values collapse into counts first; approximate split points then divide the
@@ -59,9 +67,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     """
     v = F.col(value)
     freq = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    splits = 2**depth
     steps = [i / splits for i in range(1, splits)]
     edges = freq.groupBy(*keys).agg(F.percentile_approx(value, steps, 2000).alias("_edges"), F.sum("_n").alias("_total"))
-    placed = freq.join(edges, keys).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < v))).drop("_edges")
+    placed = freq.join(edges, keys).withColumn("_bucket", _below(F.col("_edges"), v, depth)).drop("_edges")
     counts = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))

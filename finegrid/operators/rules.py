@@ -55,6 +55,14 @@ def day_sequences(df: DataFrame, keys: list[str], attributes: list[str], lead: s
     fields = [F.col(lead).alias("lead"), rain.alias("rain"), *[F.col(f"{v}_pred").alias(v) for v in ("tmax", "tmin", "rh", "wind")]]
     for n in ("light", "moderate", "heavy"):
         fields.append((F.col(probs[n]) if probs[n] in df.columns else F.lit(None).cast("double")).alias(f"p_{n}"))
+    # evaporation is computed on the day rows, as compiled code; rules later only add it up
+    et0 = F.lit(None).cast("double")
+    if {"latitude", "elev", "issue_date"} <= set(df.columns):
+        doy = F.dayofyear(F.date_add(F.col("issue_date"), F.col(lead)))
+        et0 = reference_et0(*[F.col(f"{v}_pred") for v in ("tmax", "tmin", "rh", "wind")], F.col("latitude"), F.col("elev"), doy, **A.ET0)
+    fields.append(et0.alias("et0"))
+    # rules cost far more per row than its bytes suggest, so small partitions must not be merged
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     return df.groupBy(*keys, *attributes).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("days"))
 
 
@@ -73,7 +81,7 @@ def _advisory(rule: str | Column, severity: Column | str, category: str, key: st
 
 def _if(condition: Column, advisory: Column) -> Column:
     """Array with the advisory, or an empty one."""
-    return F.when(sure(condition), F.array(advisory).cast(ADVISORY)).otherwise(F.array().cast(ADVISORY))
+    return F.when(sure(condition), F.array(advisory)).otherwise(F.array().cast(ADVISORY))
 
 
 def _one_decimal(c: Column) -> Column:
@@ -120,7 +128,7 @@ def level_index(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in A.LEVELS]), name).cast("int") - 1
 
 
-def _prepare(df: DataFrame, r: dict, e: dict, diseases: dict) -> DataFrame:
+def _prepare(df: DataFrame, r: dict, diseases: dict) -> DataFrame:
     """Adds what several rules share, as columns, so that each is computed once per row."""
     days = F.col("days")
 
@@ -129,10 +137,6 @@ def _prepare(df: DataFrame, r: dict, e: dict, diseases: dict) -> DataFrame:
         return (F.when(sure(d["rain"] >= h["red_mm"]) | sure(p >= h["red_prob"]), 3)
                 .when(sure(d["rain"] >= h["orange_mm"]) | sure(p >= h["orange_prob"]), 2).when(sure(d["rain"] >= h["yellow_mm"]), 1).otherwise(0))
 
-    def et0_of(x: Column) -> Column:
-        doy = F.dayofyear(F.date_add(F.col("issue_date"), x["lead"]))
-        return reference_et0(x["tmax"], x["tmin"], x["rh"], x["wind"], F.col("latitude"), F.col("elev"), doy, e["krs"], e["gust_to_mean"])
-
     s, t, p, n = r["spray_window"], r["thunderstorm"], r["pest_fungal"], r["dry_spell"]["window_days"]
     first = F.slice(days, 1, n)
     df = df.withColumns({
@@ -143,7 +147,7 @@ def _prepare(df: DataFrame, r: dict, e: dict, diseases: dict) -> DataFrame:
         "_pest": true_positions(mask(days, lambda d: (d["tmax"] > p["tmax"]) & (d["rh"] > p["rh"]))),
         "_dry": mask(days, lambda d: d["rain"] < r["harvest"]["rain_mm"]),
         "_hot_at": _first_extreme(days, "tmax", True), "_cold_at": _first_extreme(days, "tmin", False), "_wind_at": _first_extreme(days, "wind", True),
-        "_et0": F.aggregate(F.transform(first, et0_of), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))),
+        "_et0": F.aggregate(first, F.lit(0.0), lambda a, d: a + F.coalesce(d["et0"], F.lit(0.0))),
         "_light": F.coalesce(F.array_max(_known(first, "p_light")), F.lit(0.0)),
         "_seq": derived_days(days),
     })
@@ -192,7 +196,7 @@ def weather_rules(r: dict) -> list[Column]:
     good = F.col("_fit")
     ok = _advisory("spray_window", "green", "general", "spray_ok", {"day_indices": F.array_join(good.cast("array<string>"), ",")}, good)
     no = _advisory("spray_window", "yellow", "general", "spray_no", {}, F.transform(days, lambda d, i: i))
-    out.append(F.when(F.size(good) > 0, F.array(ok).cast(ADVISORY)).otherwise(F.array(no).cast(ADVISORY)))
+    out.append(F.array(F.when(F.size(good) > 0, ok).otherwise(no)))
 
     # fertiliser timing
     f = r["fertiliser"]
@@ -301,10 +305,10 @@ def evaluate(sequences: DataFrame, crops: DataFrame, parent: str, rules: dict |
     df = sequences.withColumn("on_date", F.date_add("issue_date", F.col("days")[0]["lead"]))
     df = df.join(crops, [parent, "on_date"], "left").withColumn("crops", F.coalesce("crops", empty))
     columns = df.columns
-    df = _prepare(df, r, A.ET0, models).withColumn("_risks", disease_risks(models))
+    df = _prepare(df, r, models).withColumn("_risks", disease_risks(models))
     weather = weather_rules(r)
-    dry_spell, sowing, harvest = (c.cast(ADVISORY) for c in crop_rules(r))
-    ordered = [*weather[:2], dry_spell, sowing, *weather[2:], harvest, disease_rules(F.col("_risks")).cast(ADVISORY)]
+    dry_spell, sowing, harvest = crop_rules(r)
+    ordered = [*weather[:2], dry_spell, sowing, *weather[2:], harvest, disease_rules(F.col("_risks"))]
     return df.select(*columns, F.concat(*ordered).alias("advisories")).withColumn("overall", overall(F.col("advisories")))
 
 
