@@ -153,8 +153,8 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     x, y = F.col(x), F.col(y)
     gap = F.hypot(F.greatest(F.col("w") - x, x - F.col("e"), F.lit(0.0)), F.greatest(F.col("s") - y, y - F.col("n"), F.lit(0.0)))
     pair = near.join(cells, ["ci", "cj"]).where(gap <= cap)
-    pair = pair.withColumn("_d", F.when(ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y)))
-    best = pair.where(F.col("_d") <= cap).groupBy(point_id).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(key))).alias("_b"))
+    d = F.when(ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y))
+    best = pair.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(key))).alias("_b")).where(F.col("_b.d") <= cap)
     found = points.select(point_id).join(best, point_id, "left")
     how = F.when(F.col("_b").isNull(), "none").when(F.col("_b.d") == 0, "contains").otherwise("nearest")
     return found.select(point_id, F.col(f"_b.{key}").alias(key), how.alias("how"), F.col("_b.d").alias("distance"))

@@ -61,9 +61,9 @@ def day_sequences(df: DataFrame, keys: list[str], attributes: list[str], lead: s
         doy = F.dayofyear(F.date_add(F.col("issue_date"), F.col(lead)))
         et0 = reference_et0(*[F.col(f"{v}_pred") for v in ("tmax", "tmin", "rh", "wind")], F.col("latitude"), F.col("elev"), doy, **A.ET0)
     fields.append(et0.alias("et0"))
-    # rules cost far more per row than its bytes suggest, so small partitions must not be merged
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return df.groupBy(*keys, *attributes).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("days"))
+    # a projection of its own: the list aggregate evaluates whatever stands inside it row by row, uncompiled
+    rows = df.select(*keys, *attributes, F.struct(*fields).alias("_day"))
+    return rows.groupBy(*keys, *attributes).agg(F.collect_list("_day").alias("_days")).withColumn("days", F.array_sort("_days")).drop("_days")
 
 
 def _text(c: Column | str) -> Column:
@@ -288,7 +288,10 @@ def disease_rules(risks: Column) -> Column:
         return F.transform(mine, lambda m: _advisory(F.concat(F.lit("disease:"), m["model"]), F.when(m["level"] == 3, "orange").otherwise("yellow"),
                                                      "disease", "disease", {"disease": m["model"], "level": m["level"]}, m["days"], c["crop"]))
 
-    return F.flatten(F.transform(F.col("crops"), of_crop))
+    # the size test is the common case, and a second use of the risks keeps the optimizer from
+    # moving their computation inside the loop over crops
+    found = F.size(F.filter(risks, lambda m: m["level"] >= 2)) > 0
+    return F.when(found, F.flatten(F.transform(F.col("crops"), of_crop))).otherwise(F.array().cast(ADVISORY))
 
 
 def evaluate(sequences: DataFrame, crops: DataFrame, parent: str, rules: dict | None = None, diseases: dict | None = None) -> DataFrame:
@@ -304,6 +307,10 @@ def evaluate(sequences: DataFrame, crops: DataFrame, parent: str, rules: dict |
     empty = F.array().cast("array<struct<crop_ord:int,ord:int,crop:string,crop_name:string,stage:string,stage_type:string,kc:double,diseases:array<string>>>")
     df = sequences.withColumn("on_date", F.date_add("issue_date", F.col("days")[0]["lead"]))
     df = df.join(crops, [parent, "on_date"], "left").withColumn("crops", F.coalesce("crops", empty))
+    # rules cost far more per row than its bytes suggest: spread the rows evenly over as many
+    # tasks as the session shuffles into, whatever parents they belong to
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(spread, "issue_date", "latitude", "elev", "days")
     columns = df.columns
     df = _prepare(df, r, models).withColumn("_risks", disease_risks(models))
     weather = weather_rules(r)

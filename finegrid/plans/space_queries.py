@@ -291,6 +291,17 @@ def clim_ratio_month(t):
                      r4(B.climatology("tmax", F.col("fc_rain"), ratio, F.col("elev") - 700)).alias("lapse"))
 
 
+@query("month_pick", "J19", sql(f"""
+    , m AS (SELECT gp_code, CAST(day(d) % 12 + 1 AS INTEGER) AS mon, avg(rain_obs) AS c FROM obs GROUP BY 1, 2)
+    SELECT o.gp_code, o.d, {R('m.c')} AS normal FROM obs o LEFT JOIN m ON m.gp_code = o.gp_code AND m.mon = month(o.d)""", "obs"))
+def month_pick(t):
+    months = list(range(1, 13))
+    m = t.obs.groupBy("gp_code", (F.dayofmonth("d") % 12 + 1).alias("mon")).agg(F.avg("rain_obs").alias("c"))
+    wide = m.groupBy("gp_code").agg(*[F.max(F.when(F.col("mon") == k, F.col("c"))).alias(f"m{k:02d}") for k in months])
+    df = t.obs.select("gp_code", "d").join(wide, "gp_code", "left")
+    return df.select("gp_code", "d", r4(P.month_pick(df, [f"m{k:02d}" for k in months], "d")).alias("normal"))
+
+
 @query("month_totals", "A37", sql(f"""
     , m AS (SELECT gp_code, CAST(day(d) % 12 + 1 AS INTEGER) AS mon, avg(rain_obs) AS c FROM obs GROUP BY 1, 2)
     SELECT gp_code, {R('sum(c)')} AS annual, {R('coalesce(sum(c) FILTER (WHERE mon BETWEEN 6 AND 9), 0)')} AS jjas FROM m GROUP BY 1""", "obs"))
