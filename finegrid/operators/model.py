@@ -52,10 +52,8 @@ class FittedVariable:
 
 def resolve_features(families: dict[str, list[str]], columns: list[str], excluded: list[str]) -> list[str]:
     """Configured inputs that exist (or are added later), once each, without the excluded ones."""
-    out: list[str] = []
-    for names in families.values():
-        out += [n for n in names if (n in columns or n == "hist_bias") and n not in excluded and n not in out]
-    return out
+    wanted = dict.fromkeys(n for names in families.values() for n in names)
+    return [n for n in wanted if (n in columns or n == "hist_bias") and n not in excluded]
 
 
 def usable(df: DataFrame, spec: VariableSpec) -> DataFrame:
