@@ -67,8 +67,8 @@ SUMMARY_SQL = f"""CASE WHEN list_max(r) >= 64.5 THEN 'Heavy rain is possible; to
       WHEN list_max(r) >= 15.6 THEN 'Moderate rain is likely on ' || wet || ' of the next ' || len(r) || ' days (total ' || tot || ' mm).'
       WHEN wet > 0 THEN 'Light rain is likely on ' || wet || ' of the next ' || len(r) || ' days (total ' || tot || ' mm).'
       ELSE 'Mainly dry weather is expected over the next ' || len(r) || ' days (total ' || tot || ' mm).' END
-      || ' Maximum temperature ' || CAST(round_even(list_min(x), 0) AS INTEGER) || '-' || CAST(round_even(list_max(x), 0) AS INTEGER) || ' °C and minimum '
-      || CAST(round_even(list_min(n), 0) AS INTEGER) || '-' || CAST(round_even(list_max(n), 0) AS INTEGER) || ' °C.'"""
+      || ' Maximum temperature ' || coalesce(CAST(CAST(round_even(list_min(x), 0) AS INTEGER) AS VARCHAR), '-') || '-' || coalesce(CAST(CAST(round_even(list_max(x), 0) AS INTEGER) AS VARCHAR), '-') || ' °C and minimum '
+      || coalesce(CAST(CAST(round_even(list_min(n), 0) AS INTEGER) AS VARCHAR), '-') || '-' || coalesce(CAST(CAST(round_even(list_max(n), 0) AS INTEGER) AS VARCHAR), '-') || ' °C.'"""
 
 
 @query("weather_summary", "A34 F8", sql(f""", sq AS ({SEQ}), s AS (SELECT *, CAST({_TOTAL} AS VARCHAR) AS tot, len(list_filter(r, lambda v: v >= 2.5)) AS wet FROM sq)

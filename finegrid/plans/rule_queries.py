@@ -57,7 +57,7 @@ WEATHER = """
       CAST(list_position(x, list_max(x)) - 1 AS VARCHAR), CAST(round_even(list_max(x), 1) AS VARCHAR), 'general' FROM sq WHERE list_max(x) >= 40
     UNION ALL SELECT gp_code, issue_date, CASE WHEN list_min(n) <= 6 THEN 'frost' ELSE 'cold' END, (['yellow', 'orange', 'red'])[least(3,
       CASE WHEN list_min(n) <= 4 THEN 3 WHEN list_min(n) <= 7 THEN 2 ELSE 1 END + CASE WHEN tpi_2km <= -10 THEN 1 ELSE 0 END)],
-      CAST(list_position(n, list_min(n)) - 1 AS VARCHAR), CAST(round_even(list_min(n), 1) AS VARCHAR), 'general' FROM sq WHERE list_min(n) <= 10
+      CAST(list_position(n, list_min(n)) - 1 AS VARCHAR), CAST(round_even(list_min(n), 1) + 0.0 AS VARCHAR), 'general' FROM sq WHERE list_min(n) <= 10
     UNION ALL SELECT gp_code, issue_date, 'thunderstorm', CASE WHEN list_max(list_transform(c, lambda i: pm[i])) >= 0.6 THEN 'orange' ELSE 'yellow' END,
       array_to_string(list_transform(c, lambda i: i - 1), ','), CAST(CAST(round_even(100 * list_max(list_transform(c, lambda i: pm[i])), 0) AS INTEGER) AS VARCHAR), 'general' FROM thunder WHERE len(c) > 0
     UNION ALL SELECT gp_code, issue_date, 'wind', CASE WHEN list_max(w) >= 60 THEN 'red' WHEN list_max(w) >= 40 THEN 'orange' ELSE 'yellow' END,
