@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finegrid.functions.columns import plane_xy
@@ -30,10 +30,13 @@ def out_of_fold_bias(df: DataFrame, unit: str, parent: str, season: str, fold: s
     minus the fold's own part, so nothing is refitted.
     """
     cell = df.groupBy(unit, parent, season, fold).agg(F.coalesce(F.sum(resid), F.lit(0.0)).alias("_s"), F.count(resid).alias("_n"))
-    total = cell.groupBy(unit, parent, season).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
+    # each of these windows holds one unit's or one parent's folds
+    own = Window.partitionBy(unit, parent, season)
+    cell = cell.withColumn("_ts", F.sum("_s").over(own)).withColumn("_tn", F.sum("_n").over(own))
     pcell = cell.groupBy(parent, season, fold).agg(F.sum("_s").alias("_ps"), F.sum("_n").alias("_pn"))
-    ptotal = pcell.groupBy(parent, season).agg(F.sum("_ps").alias("_pts"), F.sum("_pn").alias("_ptn"))
-    j = cell.join(total, [unit, parent, season]).join(pcell, [parent, season, fold]).join(ptotal, [parent, season])
+    whole = Window.partitionBy(parent, season)
+    pcell = pcell.withColumn("_pts", F.sum("_ps").over(whole)).withColumn("_ptn", F.sum("_pn").over(whole))
+    j = cell.join(pcell, [parent, season, fold])
     bias = _shrunk(F.col("_ts") - F.col("_s"), F.col("_tn") - F.col("_n"), F.col("_pts") - F.col("_ps"), F.col("_ptn") - F.col("_pn"), k)
     return j.select(unit, season, fold, bias.alias("bias"))
 

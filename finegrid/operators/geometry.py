@@ -160,24 +160,28 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     return found.select(point_id, F.col(f"_b.{key}").alias(key), how.alias("how"), F.col("_b.d").alias("distance"))
 
 
-def _search_cells(targets: DataFrame, k: int, fan: int) -> list[float]:
-    """Cell widths from the whole extent down to cells that hold few targets each.
+def _search_cells(targets: DataFrame, k: int, fan: int) -> tuple[list[float], list[tuple[int, int]]]:
+    """Cell widths from the whole extent down to cells that hold few targets each, and the (at most four) widest cells.
 
     One row of counts and extents, then one row per trial width, reach the driver.
     """
     s = targets.agg(F.count("*").alias("n"), F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"),
                     F.max("my").alias("y1")).first()
     if not s["n"]:
-        return [1.0]
+        return [1.0], [(0, 0)]
     extent = max(s["x1"] - s["x0"], s["y1"] - s["y0"], 1e-9)
     depth = max(0, math.ceil(math.log(max(1.0, s["n"] / (4 * k)), fan * fan)))
     while depth < 12:
         size = extent / fan**depth
-        crowd = targets.groupBy(F.floor(F.col("mx") / size), F.floor(F.col("my") / size)).agg(F.count("*").alias("n"))
+        crowd = targets.groupBy(F.floor(F.col("my") / size), F.floor(F.col("mx") / size)).agg(F.count("*").alias("n"))
         if crowd.agg(F.max("n")).first()[0] <= 64 * k:
             break
         depth += 1
-    return [extent / fan**i for i in range(depth + 1)]
+    # widest cells are numbered like the parents of the finest ones, whatever rounding did to the widths
+    finest, ratio = extent / fan**depth, fan**depth
+    rows = range(math.floor(s["y0"] / finest) // ratio, math.floor(s["y1"] / finest) // ratio + 1)
+    cols = range(math.floor(s["x0"] / finest) // ratio, math.floor(s["x1"] / finest) // ratio + 1)
+    return [extent / fan**i for i in range(depth + 1)], [(i, j) for i in rows for j in cols]
 
 
 def nearest_k(queries: DataFrame, targets: DataFrame, k: int, fan: int = 4) -> DataFrame:
@@ -195,7 +199,7 @@ def nearest_k(queries: DataFrame, targets: DataFrame, k: int, fan: int = 4) -> D
     src = targets.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r")
     src = src.withColumn("mx", (F.col("ax") + F.col("bx")) / 2).withColumn("my", (F.col("ay") + F.col("by")) / 2)
     spots = queries.select("x", "y").distinct()
-    sizes = _search_cells(src, k, fan)
+    sizes, widest = _search_cells(src, k, fan)
     finest = sizes[-1]
     src = src.withColumn("ci", F.floor(F.col("my") / finest)).withColumn("cj", F.floor(F.col("mx") / finest))
     boxes = src.groupBy("ci", "cj").agg(
@@ -206,11 +210,10 @@ def nearest_k(queries: DataFrame, targets: DataFrame, k: int, fan: int = 4) -> D
         up = levels[0].groupBy(F.floor(F.col("ci") / fan).alias("ci"), F.floor(F.col("cj") / fan).alias("cj")).agg(
             F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
         levels.insert(0, up)
-    # the coarsest level has at most four cells: enter them all under one common parent
-    cand = spots.withColumn("pi", F.lit(0).cast("long")).withColumn("pj", F.lit(0).cast("long"))
-    for depth, level in enumerate(levels):
-        parent = [F.lit(0).cast("long"), F.lit(0).cast("long")] if depth == 0 else [F.floor(F.col("ci") / fan), F.floor(F.col("cj") / fan)]
-        child = level.withColumn("pi", parent[0]).withColumn("pj", parent[1])
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("pi"), F.lit(j).cast("long").alias("pj")) for i, j in widest])
+    cand = spots.withColumn("c", F.explode(cells)).select("x", "y", "c.pi", "c.pj")
+    for level in levels[1:]:
+        child = level.withColumn("pi", F.floor(F.col("ci") / fan)).withColumn("pj", F.floor(F.col("cj") / fan))
         pair = cand.join(child, ["pi", "pj"])
         zero = F.lit(0.0)
         dmin = F.hypot(F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), zero),
@@ -261,14 +264,14 @@ def side_of_line(points: DataFrame, point_id: str, x: str, y: str, vertices: Dat
     """
     order = Window.orderBy(lat)  # one traced line: one vertex per raster row
     parts = vertices.select(F.col(lat).alias("la"), F.col(lon).alias("lo"), F.lead(lat).over(order).alias("lb"), F.lead(lon).over(order).alias("lob"))
-    ends = vertices.agg(F.min_by(lon, lat).alias("_lo0"), F.min(lat).alias("_la0"), F.max_by(lon, lat).alias("_lo1"), F.max(lat).alias("_la1"))
+    ends = vertices.agg(F.struct(F.min_by(lon, lat).alias("lo0"), F.min(lat).alias("la0"), F.max_by(lon, lat).alias("lo1"), F.max(lat).alias("la1"))).scalar()
     parts = parts.where("lb is not null").withColumn("_b", F.explode(F.sequence(F.floor(F.col("la") / bucket), F.floor(F.col("lb") / bucket))))
     p = points.select(point_id, x, y).withColumn("_b", F.floor(F.col(y) / bucket))
     inside = (F.col(y) >= F.col("la")) & (F.col(y) < F.col("lb"))
     at = F.when(inside, F.col("lo") + (F.col("lob") - F.col("lo")) * (F.col(y) - F.col("la")) / (F.col("lb") - F.col("la")))
     hit = p.join(parts, "_b", "left").groupBy(point_id, x, y).agg(F.max(at).alias("_x"))
-    hit = hit.join(ends, F.lit(True))
-    line_x = F.coalesce(F.when(F.col(y) < F.col("_la0"), F.col("_lo0")), F.when(F.col(y) >= F.col("_la1"), F.col("_lo1")), F.col("_x"))
+    hit = hit.withColumn("_e", ends)
+    line_x = F.coalesce(F.when(F.col(y) < F.col("_e.la0"), F.col("_e.lo0")), F.when(F.col(y) >= F.col("_e.la1"), F.col("_e.lo1")), F.col("_x"))
     return hit.select(point_id, F.when(F.col(x) >= line_x, 1).otherwise(-1).alias("side"))
 
 

@@ -243,9 +243,9 @@ def predict_ridge(model: PipelineModel, df: DataFrame, features: list[str]) -> D
 
 def linear_contributions(df: DataFrame, coef: dict[str, float], keys: list[str]) -> DataFrame:
     """Exact contributions ``coef * (x - mean)`` of a linear model in long form; a missing input contributes nothing."""
-    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in coef])
-    j = df.select(*keys, *coef).join(means, F.lit(True))
-    wide = j.select(*keys, *[F.coalesce(w * (F.col(f) - F.col(f"_m_{f}")), F.lit(0.0)).alias(f) for f, w in coef.items()])
+    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in coef])).scalar()
+    j = df.select(*keys, *coef).withColumn("_m", means)
+    wide = j.select(*keys, *[F.coalesce(w * (F.col(f) - F.col("_m")[f]), F.lit(0.0)).alias(f) for f, w in coef.items()])
     return wide.unpivot(keys, list(coef), "feature", "value")
 
 

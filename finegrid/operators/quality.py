@@ -70,8 +70,7 @@ def attribute_agreement(df: DataFrame, a: str, b: str, key: str, sample: int = 2
 def area_balance(units: DataFrame, others: DataFrame, parents: DataFrame, area: str, tolerance: float = 0.01) -> DataFrame:
     """Total of unit and other areas against the parents' total, and whether they agree."""
     parts = units.select(area).unionByName(others.select(area)).agg(F.sum(area).alias("parts"))
-    whole = parents.agg(F.sum(area).alias("whole"))
-    both = parts.join(whole, F.lit(True))
+    both = parts.withColumn("whole", parents.agg(F.sum(area)).scalar())
     return both.withColumn("ratio", F.col("parts") / F.col("whole")).withColumn("balanced", F.abs(F.col("ratio") - 1) <= tolerance)
 
 

@@ -199,8 +199,9 @@ def rolling_median(df: DataFrame, keys: list[str], order: str, value: str, size:
 
 def zscore(df: DataFrame, value: str, out: str) -> DataFrame:
     """Standard score against the whole column."""
-    stats = df.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
-    return df.join(stats, F.lit(True)).withColumn(out, F.when(F.col("_sd") > 0, (F.col(value) - F.col("_m")) / F.col("_sd"))).drop("_m", "_sd")
+    stats = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))).scalar()
+    df = df.withColumn("_s", stats)
+    return df.withColumn(out, F.when(F.col("_s.sd") > 0, (F.col(value) - F.col("_s.m")) / F.col("_s.sd"))).drop("_s")
 
 
 def row_gradient(cells: DataFrame, step: str, value: str, out: str) -> DataFrame:

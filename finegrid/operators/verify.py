@@ -104,7 +104,7 @@ def bootstrap_skill(df: DataFrame, day: str, y: str, p: str, ref: str, draws: in
     drawn = plan.join(days.select("pos", "sp", "sr"), "pos").groupBy("draw").agg(
         S.skill(F.sqrt(F.sum("sp")), F.sqrt(F.sum("sr"))).alias("s"))
     ci = drawn.agg(F.percentile("s", [0.025, 0.975]).alias("q"))
-    return point.join(ci, F.lit(True)).select("skill", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_days")
+    return point.withColumn("q", ci.scalar()).select("skill", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_days")
 
 
 def conservation_report(df: DataFrame, pred: str, fc: str, weight: str) -> DataFrame:
@@ -116,7 +116,7 @@ def conservation_report(df: DataFrame, pred: str, fc: str, weight: str) -> DataF
     stats = g.agg(F.avg(F.abs("diff")).alias("mean_abs_departure"), F.avg("diff").alias("mean_departure"),
                   F.count("*").alias("n_parent_forecasts"))
     median = exact_quantiles(g.withColumn("_all", F.lit(1)), ["_all"], "rel", {"median_abs_relative": 0.5}).drop("_all")
-    return stats.join(median, F.lit(True), "left")
+    return stats.withColumn("median_abs_relative", median.scalar())
 
 
 def density(df: DataFrame, x: str, y: str, width: float) -> DataFrame:

@@ -128,8 +128,8 @@ def issue_payload(df: DataFrame, unit: str, fields: dict[str, str], lead: str =
 def issue_index(df: DataFrame) -> DataFrame:
     """Issues, newest first, with a mark on the latest."""
     days = df.select("issue_date").distinct()
-    newest = days.agg(F.max("issue_date").alias("_m"))
-    return days.join(newest, F.lit(True)).select("issue_date", (F.col("issue_date") == F.col("_m")).alias("is_latest")).orderBy(F.col("issue_date").desc())
+    newest = df.agg(F.max("issue_date")).scalar()
+    return days.select("issue_date", (F.col("issue_date") == newest).alias("is_latest")).orderBy(F.col("issue_date").desc())
 
 
 def pick_issue(df: DataFrame, issue_date: str | None = None) -> DataFrame:
