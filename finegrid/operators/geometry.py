@@ -290,13 +290,14 @@ def line_density(segments: DataFrame, polygons: DataFrame, key: str, ring: str,
 
 # --- polygon records ----------------------------------------------------------------------
 
-def dissolve(parts: DataFrame, key: str, ring: str, order: str, attributes: list[str]) -> DataFrame:
-    """Parts of one polygon merged: all rings, the attributes of the first part, and the number of parts.
+def dissolve(parts: DataFrame, key: str, order: str, attributes: list[str]) -> DataFrame:
+    """One record per polygon: the attributes of its first part and the number of parts.
 
-    A polygon's parts are part of one record and bounded by its digitised outline.
+    The rings stay rows of ``parts`` under the same key: every operator here takes several
+    rings per key, so a polygon with very many parts is never gathered in one place.
     """
     first = [F.min_by(a, order).alias(a) for a in attributes]
-    return parts.groupBy(key).agg(F.array_sort(F.collect_list(ring)).alias("rings"), *first, F.count("*").alias("parts"))
+    return parts.groupBy(key).agg(*first, F.count("*").alias("parts"))
 
 
 __all__ = ["area_km2", "clip_area", "covered_cells", "dissolve", "largest_overlap", "line_density", "line_distance", "locate",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from finegrid.functions import text as X
 from finegrid.operators import agronomy_values as A
 from finegrid.operators.message_values import CATALOG
+from finegrid.operators.relational import salted_join
 from finegrid.operators.rules import level_index
 
 # Short-message template per advisory.
@@ -186,7 +187,8 @@ def fan_out(subscribers: DataFrame, messages: DataFrame, published: DataFrame) -
     ``messages`` has gp_code, lang, issue_date, sms, chat, voice.  Issues that are not
     published are removed before the join.
     """
-    out = messages.join(published.select("issue_date"), "issue_date", "left_semi").join(subscribers, ["gp_code", "lang"])
+    ready = messages.join(published.select("issue_date"), "issue_date", "left_semi")
+    out = salted_join(subscribers, ready, ["gp_code", "lang"])
     body = F.when(F.col("channel") == "sms", F.col("sms")).when(F.col("channel") == "whatsapp", F.col("chat")).when(F.col("channel") == "ivr", F.col("voice"))
     out = out.withColumn("message", body)
     return out.select("issue_date", "subscriber_id", "gp_code", "channel", "lang", "message", F.length("message").alias("chars"), X.segments(F.col("message")).alias("segments"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finegrid.operators.relational import bucket_of_md5
+from finegrid.operators.relational import bucket_of_md5, salted_join
 
 
 def _ints(values) -> Column:
@@ -26,9 +26,7 @@ def expand_to_units(fc: DataFrame, units: DataFrame, key: str = "block_lgd", sal
     The units of a large parent are spread over ``salts`` partitions and the much
     smaller forecast side is repeated once per salt, so that no parent is one task.
     """
-    spread = units.withColumn("_salt", F.pmod(F.xxhash64(*units.columns), F.lit(salts)).cast("int"))
-    repeated = fc.withColumn("_salt", F.explode(_ints(range(salts))))
-    return spread.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted_join(units, fc, [key], salts)
 
 
 # --- hourly and daily ---------------------------------------------------------------------

@@ -33,11 +33,22 @@ def bucket_of_md5(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def exact_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
+    """Inner join in which the rows of a hot key of ``large`` are spread over ``salts`` partitions.
+
+    ``small`` is repeated once per salt; it should be the side with fewer rows per key.
+    """
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
+def exact_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column, first: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based row number per key) and ``total`` without sorting a whole key in one task.
 
     ``bucket`` must never decrease along ``order``.  Rows are counted per (key,
     bucket), the counts become offsets, and only one bucket is sorted at a time.
+    With ``first`` only the rows up to that rank are kept, and later buckets are not sorted.
     """
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -46,8 +57,9 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column)
     counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                            F.sum("_n").over(per_key).alias("total"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (df.join(counts, [*keys, "_bucket"])
-            .withColumn("rank", F.row_number().over(within) + F.col("_offset")).drop("_bucket", "_offset"))
+    counts = counts if first is None else counts.where(F.col("_offset") < first)
+    ranked = df.join(counts, [*keys, "_bucket"]).withColumn("rank", F.row_number().over(within) + F.col("_offset")).drop("_bucket", "_offset")
+    return ranked if first is None else ranked.where(F.col("rank") <= first)
 
 
 def _below(edges: Column, v: Column, depth: int) -> Column:
@@ -99,9 +111,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows chosen by a digest of seed and key: the same rows on every run."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(order, key).limit(n)
+    """``n`` rows chosen by a digest of seed and key: the same rows on every run, however large ``n`` is."""
+    marked = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_one", F.lit(1))
+    return exact_rank(marked, ["_one"], ["_h", key], bucket_of_md5(F.col("_h")), first=n).select(*df.columns)
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:

@@ -207,9 +207,8 @@ def dissolve_parts(t):
     from finegrid.operators.quality import split_by_pattern
     li = t.table("lineitem").select(F.col("l_orderkey").alias("code"), "l_linenumber", "l_partkey", F.col("l_returnflag").alias("flag"))
     good, _ = split_by_pattern(li, "code", r"^[0-9]+$")
-    ring = G.rectangle_ring(F.col("l_partkey").cast("double"), F.col("l_linenumber").cast("double"), 1.0, 1.0)
-    parts = good.withColumn("ring", ring).withColumn("ord", F.struct("l_linenumber", "l_partkey", "flag"))
-    return G.dissolve(parts, "code", "ring", "ord", ["flag"]).where(F.size("rings") == F.col("parts")).select("code", "flag", "parts")
+    parts = good.withColumn("ord", F.struct("l_linenumber", "l_partkey", "flag"))
+    return G.dissolve(parts, "code", "ord", ["flag"])
 
 
 @query("cell_reaggregation", "A25 J15", sql(f"""
