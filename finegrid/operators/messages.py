@@ -130,11 +130,11 @@ def sms(catalog: dict, name: Column, limit: int = 160, crop_names: dict[str, str
     return X.pack(X.render_with(template(catalog, "sms_prefix"), {"gp": name}), F.when(calm, F.concat(F.array(normal), texts)).otherwise(texts), limit)
 
 
-def bulletins(evaluated: DataFrame, lang: str, name: Column, district: str, catalog: dict | None = None) -> DataFrame:
+def bulletins(evaluated: DataFrame, lang: str, name: Column, district: str, catalog: dict | None = None, crop_names: dict[str, str] | None = None) -> DataFrame:
     """Everything a reader of one language needs, per unit and issue: summary, items, short, chat, voice and plain text."""
     c = catalog or CATALOG[lang]
-    df = evaluated.withColumn("lang", F.lit(lang)).withColumn("items", rendered(c).cast(RENDERED))
-    df = df.withColumn("summary", weather_summary(c)).withColumn("sms", sms(c, F.initcap(name) if lang == "en" else name)).withColumn("_name", name)
+    df = evaluated.withColumn("lang", F.lit(lang)).withColumn("items", rendered(c, crop_names).cast(RENDERED))
+    df = df.withColumn("summary", weather_summary(c)).withColumn("sms", sms(c, F.initcap(name) if lang == "en" else name, crop_names=crop_names)).withColumn("_name", name)
     label = _lookup(c["levels"], F.col("overall"))
     first, last = (F.date_add("issue_date", d["lead"]).cast("string") for d in (F.col("days")[0], F.element_at("days", -1)))
 

@@ -164,14 +164,14 @@ def outbox_totals(t):
 
 @query("severity_sorted_items", "T4", sql("""
     , it AS (SELECT user_id, list({'s': event_type, 'v': value, 'e': event_id} ORDER BY list_position(['error', 'purchase', 'signup', 'view', 'click'], event_type), event_id)[1:3] AS l
-      FROM events_d WHERE d <= DATE '2024-01-07' GROUP BY 1)
+      FROM events_d GROUP BY 1)
     SELECT user_id, array_to_string(list_transform(l, lambda x: x.s || ':' || CAST(x.e AS VARCHAR)), ' ') AS top FROM it""", "events_d"))
 def severity_sorted_items(t):
     rank = F.array_position(F.array(*[F.lit(x) for x in ("error", "purchase", "signup", "view", "click")]), F.col("event_type"))
-    week = t.events_d.where("d <= '2024-01-07'").select("user_id", rank.alias("rank"), "event_id", "event_type")
+    ranked = t.events_d.select("user_id", rank.alias("rank"), "event_id", "event_type")
     # three rank-limited rows per user reach the list, however many events one user has
     from pyspark.sql import Window
-    first = week.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("rank", "event_id"))).where("n <= 3")
+    first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("rank", "event_id"))).where("n <= 3")
     items = F.array_sort(F.collect_list(F.struct("n", F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("s"))))
     return first.groupBy("user_id").agg(F.array_join(F.transform(items, lambda x: x["s"]), " ").alias("top"))
 
@@ -194,10 +194,10 @@ def latest_review(t):
 
 
 @query("publish_status", "E2", sql(f"""
-    , pu AS (SELECT CAST(ts AS DATE) AS issue_date, max(event_id) AS by_event FROM events WHERE event_type = 'purchase' AND user_id % 50 = 3 GROUP BY 1)
+    , pu AS (SELECT CAST(ts AS DATE) AS issue_date, max(event_id) AS by_event FROM events WHERE event_type = 'purchase' AND value > 200 GROUP BY 1)
     SELECT d AS issue_date, CASE WHEN pu.issue_date IS NULL THEN 'draft' ELSE 'published' END AS status, by_event FROM (SELECT DISTINCT d FROM obs) LEFT JOIN pu ON pu.issue_date = d""", "obs"))
 def publish_status(t):
-    pub = t.events_d.where("event_type = 'purchase' and user_id % 50 = 3").groupBy(F.col("d").alias("issue_date")).agg(F.max("event_id").alias("by_event"))
+    pub = t.events_d.where("event_type = 'purchase' and value > 200").groupBy(F.col("d").alias("issue_date")).agg(F.max("event_id").alias("by_event"))
     pub = pub.withColumn("status", F.lit("published"))
     return Lg.with_default(t.obs.select(F.col("d").alias("issue_date")).distinct(), pub, ["issue_date"], "status", "draft").select("issue_date", "status", "by_event")
 

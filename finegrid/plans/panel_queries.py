@@ -166,13 +166,13 @@ def history_upsert(t):
 
 
 @query("final_over_prelim", "U2 X8", sql("""
-    , f AS (SELECT gp_code, d, rain_obs FROM obs WHERE user_id % 3 <> 0),
-    p AS (SELECT gp_code, d, round(rain_obs * 2, 2) AS rain_obs FROM obs WHERE user_id % 2 = 0)
+    , f AS (SELECT gp_code, d, rain_obs FROM obs WHERE rain_obs >= 40),
+    p AS (SELECT gp_code, d, round(rain_obs * 2, 2) AS rain_obs FROM obs WHERE rain_obs < 120)
     SELECT gp_code, d, coalesce(f.rain_obs, p.rain_obs) AS rain_obs, f.d IS NOT NULL AS is_final FROM f FULL JOIN p USING (gp_code, d)""", "obs"))
 def final_over_prelim(t):
     cols = ["gp_code", "d", "rain_obs"]
-    final = t.obs.where("user_id % 3 <> 0").select(*cols, F.lit(True).alias("is_final"))
-    prelim = t.obs.where("user_id % 2 = 0").select("gp_code", "d", F.round(F.col("rain_obs") * 2, 2).alias("rain_obs"), F.lit(False).alias("is_final"))
+    final = t.obs.where("rain_obs >= 40").select(*cols, F.lit(True).alias("is_final"))
+    prelim = t.obs.where("rain_obs < 120").select("gp_code", "d", F.round(F.col("rain_obs") * 2, 2).alias("rain_obs"), F.lit(False).alias("is_final"))
     return L.upsert(prelim, final, ["gp_code", "d"])
 
 
@@ -391,27 +391,27 @@ def anomaly_corr(t):
 
 @query("method_compare", "J23 A12", sql(f"""
     , a AS (SELECT gp_code, valid_date, avg(pred) AS tree FROM scored GROUP BY 1, 2),
-    b AS (SELECT gp_code, valid_date, max(fc_rain) AS net, max(rain_obs) AS y FROM scored WHERE user_id % 3 <> 1 GROUP BY 1, 2),
+    b AS (SELECT gp_code, valid_date, max(fc_rain) AS net, max(rain_obs) AS y FROM scored WHERE rain_obs >= 10 GROUP BY 1, 2),
     m AS (SELECT y, tree AS p, tree - y AS e, 'tree' AS method FROM a JOIN b USING (gp_code, valid_date) UNION ALL
           SELECT y, net, net - y, 'net' FROM a JOIN b USING (gp_code, valid_date))
     SELECT method, {SCORES_SQL} FROM m WHERE y IS NOT NULL GROUP BY 1""", "scored"))
 def method_compare(t):
     key = ["gp_code", "valid_date"]
     tree = t.scored.groupBy(*key).agg(F.avg("pred").alias("tree"))
-    net = t.scored.where("user_id % 3 <> 1").groupBy(*key).agg(F.max("fc_rain").alias("net"), F.max("rain_obs").alias("y"))
+    net = t.scored.where("rain_obs >= 10").groupBy(*key).agg(F.max("fc_rain").alias("net"), F.max("rain_obs").alias("y"))
     out = V.score_methods(tree.join(net, key), [], "y", ["tree", "net"], {})
     return rounded(out, ["rmse", "mae", "bias", "r"])
 
 
 @query("site_scores", "A26 J22 A14", sql(f"""
-    , site AS (SELECT gp_code, d AS valid_date, CASE WHEN rain_obs < 150 THEN rain_obs END AS y FROM obs WHERE user_id % 4 = 1),
+    , site AS (SELECT gp_code, d AS valid_date, CASE WHEN rain_obs < 150 THEN rain_obs END AS y FROM obs),
     m AS (SELECT s.y, p.pred AS p, p.fc_rain AS c FROM site s JOIN scored p USING (gp_code, valid_date) WHERE s.y IS NOT NULL AND p.pred IS NOT NULL)
     SELECT CAST(count(*) AS BIGINT) AS n, {R('sqrt(avg((p - y) ** 2))')} AS rmse_pred, {R('sqrt(avg((c - y) ** 2))')} AS rmse_copy,
       {R('1 - sqrt(avg((p - y) ** 2)) / sqrt(avg((c - y) ** 2))')} AS skill,
       {R('count(*) FILTER (WHERE y >= 15.6 AND p >= 15.6) / nullif(count(*) FILTER (WHERE y >= 15.6 OR p >= 15.6), 0)')} AS csi FROM m""", "scored"))
 def site_scores(t):
     from finegrid.functions.columns import keep_between
-    site = t.obs.where("user_id % 4 = 1").select("gp_code", F.col("d").alias("valid_date"),
+    site = t.obs.select("gp_code", F.col("d").alias("valid_date"),
                                                   F.when(F.col("rain_obs") < 150, keep_between(F.col("rain_obs"), 0, 600)).alias("y"))
     m = site.join(t.scored.drop("rain_obs"), ["gp_code", "valid_date"]).where("y is not null and pred is not null")
     y, a, b = F.col("y"), S.continuous(F.col("y"), F.col("pred")), S.continuous(F.col("y"), F.col("fc_rain"))

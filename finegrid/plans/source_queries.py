@@ -138,11 +138,11 @@ def strict_json(t):
 
 
 @query("csv_export", "S8", sql("""
-    SELECT p.gp_code, p.lead_day, round_even(p.fc_rain * 1.2345, 3) AS fc_rain, 'UNIT ' || p.gp_code AS gp_name FROM panel p WHERE p.issue_date = DATE '2024-01-10' AND p.block_lgd = 2""", "panel"))
+    SELECT p.gp_code, p.issue_date, p.lead_day, round_even(p.fc_rain * 1.2345, 3) AS fc_rain, 'UNIT ' || p.gp_code AS gp_name FROM panel p""", "panel"))
 def csv_export(t):
     names = t.unit.select("gp_code", F.concat(F.lit("UNIT "), "gp_code").alias("gp_name"))
-    df = t.panel.where("issue_date = '2024-01-10' and block_lgd = 2").select("gp_code", "lead_day", (F.col("fc_rain") * 1.2345).alias("fc_rain"), F.col("elev").alias("shap_elev"))
-    return Tb.export_rows(df, names, "gp_code", "shap_").select("gp_code", "lead_day", "fc_rain", "gp_name")
+    df = t.panel.select("gp_code", "issue_date", "lead_day", (F.col("fc_rain") * 1.2345).alias("fc_rain"), F.col("elev").alias("shap_elev"))
+    return Tb.export_rows(df, names, "gp_code", "shap_").select("gp_code", "issue_date", "lead_day", "fc_rain", "gp_name")
 
 
 @query("csv_template", "S9", sql("SELECT block_lgd, lead_day, CAST(NULL AS VARCHAR) AS rain, CAST(NULL AS VARCHAR) AS tmax FROM (SELECT DISTINCT block_lgd FROM unit) CROSS JOIN leads", "unit", "leads"))

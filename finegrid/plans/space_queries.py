@@ -85,14 +85,14 @@ def locate_with_cap(t):
 
 
 @query("nearest_fill", "J9", sql(f"""
-    , u AS (SELECT gp_code, latitude, longitude, CASE WHEN user_id % 4 <> 0 THEN elev END AS v FROM unit),
+    , u AS (SELECT gp_code, latitude, longitude, CASE WHEN elev < 1100 THEN elev END AS v FROM unit),
     d AS (SELECT a.gp_code, b.v, row_number() OVER (PARTITION BY a.gp_code ORDER BY round((a.latitude - b.latitude) ** 2 + (a.longitude - b.longitude) ** 2, 9), b.gp_code) AS rn
           FROM u a JOIN u b ON b.v IS NOT NULL WHERE a.v IS NULL)
     SELECT u.gp_code, coalesce(u.v, d.v) AS v FROM u LEFT JOIN d ON d.gp_code = u.gp_code AND d.rn = 1""", "unit"))
 def nearest_fill(t):
     # exact thousandths keep equal distances equal
     u = t.unit.select("gp_code", (F.col("user_id") % 37 * 30).cast("double").alias("y"), (F.col("user_id") % 53 * 30).cast("double").alias("x"),
-                      F.when(F.col("user_id") % 4 != 0, F.col("elev")).alias("v"))
+                      F.when(F.col("elev") < 1100, F.col("elev")).alias("v"))
     return G.nearest_fill(u, "gp_code", "x", "y", "v").select("gp_code", "v")
 
 
@@ -108,7 +108,7 @@ XY = """SELECT gp_code, block_lgd, user_id, CAST(user_id % 53 * 3 AS DOUBLE) AS
 def idw_knn(t):
     # moved off the lattice, so that no two distances are equal
     u = t.unit.withColumn("v", F.col("elev")).withColumn("latitude", F.col("latitude") + (F.col("user_id") * F.col("user_id") % 1009) * 0.000001)
-    out = E.idw_knn(u.where("user_id % 5 = 2"), u.where("user_id % 5 <> 2"), "gp_code", "latitude", "longitude", "v", 18.5)
+    out = E.idw_knn(u.where("block_lgd = 2"), u.where("block_lgd <> 2"), "gp_code", "latitude", "longitude", "v", 18.5)
     return out.select("gp_code", r4("v").alias("v"), "neighbours")
 
 
@@ -342,13 +342,13 @@ def conservation_report(t):
 
 
 @query("perfect_prognosis_frame", "M19 J3", sql(f"""
-    , b AS (SELECT block_lgd, d AS issue_date, d AS valid_date, v AS fc_rain FROM pday), p AS (SELECT gp_code, d, rain_obs FROM obs WHERE user_id % 7 <> 1),
-    e AS (SELECT gp_code, d, tmax FROM vars WHERE user_id % 7 <> 2), tr AS (SELECT gp_code, d, p.rain_obs, e.tmax FROM p FULL JOIN e USING (gp_code, d))
+    , b AS (SELECT block_lgd, d AS issue_date, d AS valid_date, v AS fc_rain FROM pday), p AS (SELECT gp_code, d, rain_obs FROM obs WHERE rain_obs >= 30),
+    e AS (SELECT gp_code, d, tmax FROM vars WHERE tmax IS NOT NULL), tr AS (SELECT gp_code, d, p.rain_obs, e.tmax FROM p FULL JOIN e USING (gp_code, d))
     SELECT u.gp_code, b.valid_date, b.fc_rain, tr.rain_obs, tr.tmax FROM b JOIN unit u USING (block_lgd) LEFT JOIN tr ON tr.gp_code = u.gp_code AND tr.d = b.valid_date""",
     "pday", "unit", "vars"))
 def perfect_prognosis_frame(t):
     fc = t.pday.select("block_lgd", F.col("d").alias("valid_date"), F.col("v").alias("fc_rain"))
-    truth = t.obs.where("user_id % 7 <> 1").select("gp_code", "d", "rain_obs").join(t.vars.where("user_id % 7 <> 2").select("gp_code", "d", "tmax"), ["gp_code", "d"], "full_outer")
+    truth = t.obs.where("rain_obs >= 30").select("gp_code", "d", "rain_obs").join(t.vars.where("tmax is not null").select("gp_code", "d", "tmax"), ["gp_code", "d"], "full_outer")
     df = P.expand_to_units(fc, t.unit).join(truth.withColumnRenamed("d", "valid_date"), ["gp_code", "valid_date"], "left")
     return df.select("gp_code", "valid_date", "fc_rain", "rain_obs", "tmax")
 

@@ -102,10 +102,10 @@ def category_counts(t):
 
 
 @query("parent_summary", "A29", sql(f"""
-    SELECT block_lgd, lead_day, {R('min(fc_rain)')} AS parent_rain, {R('min(pred)')} AS lo, {R('avg(pred)')} AS mean, {R('max(pred)')} AS hi, CAST(count(DISTINCT gp_code) AS BIGINT) AS units
-    FROM scored WHERE issue_date = DATE '2024-01-10' GROUP BY 1, 2""", "scored"))
+    SELECT block_lgd, issue_date, lead_day, {R('min(fc_rain)')} AS parent_rain, {R('min(pred)')} AS lo, {R('avg(pred)')} AS mean, {R('max(pred)')} AS hi, CAST(count(DISTINCT gp_code) AS BIGINT) AS units
+    FROM scored GROUP BY 1, 2, 3""", "scored"))
 def parent_summary(t):
-    g = t.scored.where("issue_date = '2024-01-10'").groupBy("block_lgd", "lead_day")
+    g = t.scored.groupBy("block_lgd", "issue_date", "lead_day")
     return g.agg(r4(F.first("fc_rain")).alias("parent_rain"), r4(F.min("pred")).alias("lo"), r4(F.avg("pred")).alias("mean"), r4(F.max("pred")).alias("hi"),
                  F.count_distinct("gp_code").alias("units"))
 
@@ -121,10 +121,10 @@ def short_range_summary(t):
 
 
 @query("star_join_optional", "J4 Q12", sql(f"""
-    SELECT u.gp_code, u.elev, {R('o.m')} AS mean_rain, e.n AS events, CAST('soil' AS VARCHAR) AS omitted FROM unit u LEFT JOIN (SELECT gp_code, avg(rain_obs) AS m FROM obs WHERE user_id % 6 <> 0 GROUP BY 1) o USING (gp_code)
+    SELECT u.gp_code, u.elev, {R('o.m')} AS mean_rain, e.n AS events, CAST('soil' AS VARCHAR) AS omitted FROM unit u LEFT JOIN (SELECT gp_code, avg(rain_obs) AS m FROM obs WHERE rain_obs > 150 GROUP BY 1) o USING (gp_code)
     LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS gp_code, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 100 GROUP BY 1) e USING (gp_code)""", "unit", "obs"))
 def star_join_optional(t):
-    means = t.obs.where("user_id % 6 <> 0").groupBy("gp_code").agg(F.avg("rain_obs").alias("m"))
+    means = t.obs.where("rain_obs > 150").groupBy("gp_code").agg(F.avg("rain_obs").alias("m"))
     counts = t.events_d.where("value > 100").groupBy(F.col("user_id").cast("string").alias("gp_code")).agg(F.count("*").alias("events"))
     out, omitted = Q.star_join(t.unit.select("gp_code", "elev"), "gp_code", {"means": means, "counts": counts, "soil": None})
     return out.select("gp_code", "elev", r4("m").alias("mean_rain"), "events", F.lit(",".join(omitted)).alias("omitted"))
