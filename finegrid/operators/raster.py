@@ -233,8 +233,9 @@ def _tile_labels(tile: int):
     none = tile * tile
 
     def label(pos: np.ndarray) -> np.ndarray:
-        ids = np.full((tile + 2, tile + 2), none, dtype="int32")
-        ii, jj = pos // tile + 1, pos % tile + 1
+        ii, jj = pos // tile, pos % tile
+        ii, jj = ii - ii.min() + 1, jj - jj.min() + 1  # only the box around the cells, with a rim
+        ids = np.full((ii.max() + 2, jj.max() + 2), none, dtype="int32")
         ids[ii, jj] = pos
         inner = ids[1:-1, 1:-1]
         empty = inner == none
