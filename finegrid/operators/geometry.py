@@ -144,7 +144,8 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     With cells as wide as the cap, a polygon in reach lies in the 3 x 3 cells around the point.
     """
     west, south, east, north = _bounds(ring)
-    boxed = polygons.select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
+    boxed = polygons.select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"),
+                            _cell(south, cap).alias("_ci0"), _cell(west, cap).alias("_cj0"))
     cells = covered_cells(boxed, ring, cap)
     pts = points.select(point_id, x, y).withColumn("_ci", _cell(F.col(y), cap)).withColumn("_cj", _cell(F.col(x), cap))
     near = pts.withColumn("ci", F.explode(F.sequence(F.col("_ci") - 1, F.col("_ci") + 1)))
@@ -152,8 +153,10 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     # the box test is cheap and compiled; outlines are walked only for boxes in reach
     x, y = F.col(x), F.col(y)
     gap = F.hypot(F.greatest(F.col("w") - x, x - F.col("e"), F.lit(0.0)), F.greatest(F.col("s") - y, y - F.col("n"), F.lit(0.0)))
-    pair = near.join(cells, ["ci", "cj"]).where(gap <= cap)
-    d = F.when(ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y))
+    # a pair meets in every cell both sides share: only the first of those cells counts it
+    first = (F.col("ci") == F.greatest(F.col("_ci") - 1, F.col("_ci0"))) & (F.col("cj") == F.greatest(F.col("_cj") - 1, F.col("_cj0")))
+    pair = near.join(cells, ["ci", "cj"]).where(first & (gap <= cap))
+    d = F.when((gap == 0) & ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y))
     best = pair.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(key))).alias("_b")).where(F.col("_b.d") <= cap)
     found = points.select(point_id).join(best, point_id, "left")
     how = F.when(F.col("_b").isNull(), "none").when(F.col("_b.d") == 0, "contains").otherwise("nearest")

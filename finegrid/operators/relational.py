@@ -67,7 +67,8 @@ def _below(edges: Column, v: Column, depth: int) -> Column:
     found = F.lit(0)
     for step in (2**k for k in reversed(range(depth))):
         found = found + (edges[found + (step - 1)] < v).cast("int") * step
-    return found
+    # never NULL: otherwise a null check of the whole search would be pushed into the scan
+    return F.coalesce(found, F.lit(0))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], depth: int = 6) -> DataFrame:
