@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,9 +28,10 @@ HEADLINE = [
 def session(cpus: str):
     from pyspark.sql import SparkSession
 
+    scratch = os.environ.get("FINEGRID_SCRATCH") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("finegrid-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", scratch).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "6g"))
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())

@@ -11,6 +11,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -23,8 +24,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def make_spark(cores: str = "8"):
     from pyspark.sql import SparkSession
 
+    scratch = os.environ.get("FINEGRID_SCRATCH") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("finegrid-check").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false")
+             .config("spark.checkpoint.dir", scratch).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
