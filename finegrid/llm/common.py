@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finegrid.session import scratch_path
 
@@ -58,3 +63,49 @@ def pieces(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         yield data[start:found.start() + 1]
         start = found.start() + 1
     yield data[start:]
+
+
+def local_file(spark: SparkSession, path: str, most: int = 1 << 26) -> Broadcast:
+    """A vocabulary file of the driver, sent to the executors; larger than ``most`` bytes is an error."""
+    with open(path, "rb") as f:
+        data = f.read(most + 1)
+    if len(data) > most:
+        raise ValueError(f"{path} is larger than {most} bytes")
+    return spark.sparkContext.broadcast(data)
+
+
+def with_column(df: DataFrame, source: str, into: str, kind: str, make: Callable[[pa.Array], pa.Array], rows: int) -> DataFrame:
+    """``df`` with column ``into`` made from ``source`` in Arrow batches of at most ``rows`` rows; no shuffle."""
+    at = df.columns.index(source)
+    kept = [i for i, c in enumerate(df.columns) if c != into]
+    fields = [df.schema.fields[i] for i in kept]
+    schema = T.StructType([*fields, *T._parse_datatype_string(f"{into} {kind}").fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), make(part.column(at))], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def filesystem(uri: str):
+    """The file system and the path of a folder that all executors share; any store that Arrow can open."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def kept_in_worker(key, make: Callable):
+    """``make()`` once per Python worker and ``key``; later tasks of the worker get the same object.
+
+    Functions travel to executors by value, so a global of this package would last for one task only.
+    """
+    store = vars(sys.modules.setdefault("finegrid_worker_store", types.ModuleType("finegrid_worker_store")))
+    if key not in store:
+        store[key] = make()
+    return store[key]

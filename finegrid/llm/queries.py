@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finegrid.llm import simhash
+from finegrid.llm import byte_bpe, simhash, token_files
 from finegrid.llm.common import table
 
 
@@ -14,5 +15,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.default_vocabulary()
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).drop("text")
+    back = byte_bpe.decode(ids, *vocabulary)
+    decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.new_folder(docs)
+    files = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.documents(files, folder)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files)}
 ORACLE_SQL: dict[str, str] = {}
