@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finegrid.llm import byte_bpe, simhash, token_files
+from finegrid.llm import byte_bpe, mixing, simhash, token_files
 from finegrid.llm.common import table
 
 
@@ -32,5 +32,9 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(files, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources)}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.SQL}
