@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finegrid.llm import byte_bpe, mixing, simhash, token_files
+from finegrid.llm import byte_bpe, disclosure, mixing, simhash, token_files
 from finegrid.llm.common import table
 
 
@@ -36,5 +36,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources)}
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op6_personal_data)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.SQL}
