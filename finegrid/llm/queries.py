@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finegrid.llm import byte_bpe, disclosure, mixing, simhash, token_files, toxicity
+from finegrid.llm import byte_bpe, disclosure, mixing, pages, simhash, token_files, toxicity
 from finegrid.llm.common import table
 
 
@@ -44,5 +44,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op6_personal_data, op7_toxicity)}
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op6_personal_data, op7_toxicity, op8_main_text)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.SQL}
