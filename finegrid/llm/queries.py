@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finegrid.llm import bitsliced, byte_bpe, disclosure, mixing, multiindex, pages, simhash, token_files, toxicity
+from finegrid.llm import bitsliced, byte_bpe, disclosure, mixing, multiindex, pages, simhash, token_files, toxicity, warc
 from finegrid.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.report(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op6_personal_data, op7_toxicity, op8_main_text, op9_exact_top_k, op10_multi_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op5_warc, op6_personal_data, op7_toxicity, op8_main_text, op9_exact_top_k, op10_multi_index)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_exact_top_k": bitsliced.SQL}
