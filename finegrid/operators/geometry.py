@@ -1,20 +1,20 @@
 """Polygons, points and lines as tables, joined through integer cell keys.
 
-A ring is ``array<struct<x: double, y: double>>`` (x = longitude, y = latitude).
-Geometry meets geometry only inside a shared cell, so no join compares all pairs.
+A ring is ``array<struct<x: double, y: double>>`` (x = longitude, y = latitude), open or closed.  A polygon column
+holds a ring, an array of rings (the outer one, then holes), or an array of such polygons; a point is inside where it
+is inside an odd number of rings.  Geometry meets geometry only inside a shared cell, so no join compares all pairs.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DataType
 
 from finegrid.functions.columns import EARTH_RADIUS_KM, equal_area_xy, ring_area, ring_contains, segment_distance
+from finegrid.session import checkpointed
 
 
 def _cell(v: Column, res: float, origin: float = 0.0) -> Column:
@@ -28,72 +28,112 @@ def rectangle_ring(x: Column, y: Column, half_x: float | Column, half_y: float |
     return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
 
 
-def _bounds(ring: str) -> tuple[Column, Column, Column, Column]:
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+def _depth(kind: DataType) -> int:
+    return 1 + _depth(kind.elementType) if isinstance(kind, ArrayType) else 0
+
+
+def with_shape(df: DataFrame, ring: str) -> DataFrame:
+    """``df`` with its polygon column as an array of polygons, each an array of rings."""
+    c = F.col(ring)
+    for _ in range(3 - _depth(df.schema[ring].dataType)):
+        c = F.array(c)
+    return df.withColumn(ring, F.when(F.col(ring).isNotNull(), c))
+
+
+def shape_contains(shape: Column, x: Column, y: Column) -> Column:
+    return F.aggregate(F.flatten(shape), F.lit(False), lambda odd, ring: odd != ring_contains(ring, x, y))
+
+
+def _bounds(shape: str) -> tuple[Column, Column, Column, Column]:
+    points = F.flatten(F.flatten(F.col(shape)))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
 def covered_cells(df: DataFrame, ring: str, res: float, origin: float = 0.0) -> DataFrame:
     """Each polygon once per cell (``ci``, ``cj``) that its bounding box touches."""
+    df = with_shape(df, ring)
     w, s, e, n = _bounds(ring)
     rows = df.withColumn("ci", F.explode(F.sequence(_cell(s, res, origin), _cell(n, res, origin))))
     return rows.withColumn("cj", F.explode(F.sequence(_cell(w, res, origin), _cell(e, res, origin))))
 
 
-def area_km2(ring: str) -> Column:
-    """Polygon area in an equal-area plane."""
+def area_km2(df: DataFrame, ring: str) -> Column:
+    """Area of the polygon column of ``df`` in an equal-area plane, holes taken off."""
     def flat(p):
         x, y = equal_area_xy(p["y"], p["x"])
         return F.struct(x.alias("x"), y.alias("y"))
 
-    return ring_area(F.transform(ring, flat))
+    def area(polygon):
+        rings = F.transform(polygon, lambda r: ring_area(F.transform(r, flat)))
+        return 2 * F.coalesce(rings[0], F.lit(0.0)) - F.aggregate(rings, F.lit(0.0), lambda s, v: s + v)
+
+    c = F.col(ring)
+    for _ in range(3 - _depth(df.schema[ring].dataType)):
+        c = F.array(c)
+    return F.aggregate(F.transform(c, area), F.lit(0.0), lambda s, v: s + v)
+
+
+def edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
+    """``(key, x1, y1, x2, y2)``: the sides of all rings, outer rings turning left and holes right.
+
+    With that, sums over the sides of ``x dy`` give areas with the holes taken off, part by part.
+    """
+    rings = with_shape(polygons.select(key, ring), ring).select(key, F.explode(ring).alias("polygon")).select(key, F.posexplode("polygon").alias("no", "ring"))
+
+    def next_of(r: Column) -> Column:
+        return F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+
+    r, x0, y0 = F.col("ring"), F.col("ring")[0]["x"], F.col("ring")[0]["y"]
+    twice = F.aggregate(F.zip_with(r, next_of(r), lambda a, b: (a["x"] - x0) * (b["y"] - y0) - (b["x"] - x0) * (a["y"] - y0)), F.lit(0.0), lambda s, v: s + v)
+    turned = F.when((twice > 0) == (F.col("no") == 0), r).otherwise(F.reverse(r))
+    sides = rings.where(F.size("ring") > 2).select(key, turned.alias("r")).select(key, F.explode(F.zip_with("r", next_of(F.col("r")), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))).alias("e"))
+    return sides.select(key, "e.*").where("x1 <> x2 OR y1 <> y2")
+
+
+def _cut(sides: DataFrame, a: str, b: str, cell: str, res: float, origin: float) -> DataFrame:
+    """Sides cut where coordinate ``a`` (``b`` follows) passes from cell to cell; ``cell`` numbers the pieces."""
+    a1, a2, b1, b2 = F.col(f"{a}1"), F.col(f"{a}2"), F.col(f"{b}1"), F.col(f"{b}2")
+    low, high = _cell(F.least(a1, a2), res, origin), _cell(F.greatest(a1, a2), res, origin)
+    out = sides.withColumn(cell, F.explode(F.sequence(low, high)))
+    floor, ceiling = F.lit(origin) + (F.col(cell) - 0.5) * res, F.lit(origin) + (F.col(cell) + 0.5) * res
+    cut = {}
+    for n, (ca, cb) in (("1", (a1, b1)), ("2", (a2, b2))):
+        at = F.least(F.greatest(ca, floor), ceiling)
+        along = F.coalesce(F.try_divide(at - a1, F.nullif(a2 - a1, F.lit(0.0))), F.lit(0.0 if n == "1" else 1.0))
+        cut[f"{a}{n}"], cut[f"{b}{n}"] = at, F.when(at == ca, cb).otherwise(b1 + (b2 - b1) * along)
+    return out.select(*[c if c not in cut else cut[c].alias(c) for c in out.columns])
 
 
 # --- polygon and grid ---------------------------------------------------------------------
 
-def _clip_half_plane(points: list[tuple[float, float]], axis: int, bound: float, keep_above: bool) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for k, q in enumerate(points):
-        p = points[k - 1]
-        p_in, q_in = ((c[axis] >= bound) == keep_above or c[axis] == bound for c in (p, q))
-        if p_in != q_in:
-            f = (bound - p[axis]) / (q[axis] - p[axis])
-            cross = [p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])]
-            cross[axis] = bound
-            out.append((cross[0], cross[1]))
-        if q_in:
-            out.append(q)
-    return out
-
-
-@F.pandas_udf(DoubleType())
-def clip_area(ring: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
-    """Area (km2, equal-area plane) of the part of a ring inside a cell."""
-    areas = []
-    for r, w, s, e, n in zip(ring, west, south, east, north):
-        pts = [(p["x"], p["y"]) for p in r]
-        for axis, bound, above in ((0, w, True), (0, e, False), (1, s, True), (1, n, False)):
-            pts = _clip_half_plane(pts, axis, bound, above) if pts else pts
-        if len(pts) < 3:
-            areas.append(0.0)
-            continue
-        a = np.radians(np.array(pts))
-        # relative to the first corner, so that the cross products keep their precision
-        x, y = (a[:, 0] - a[0, 0]) * EARTH_RADIUS_KM, (np.sin(a[:, 1]) - np.sin(a[0, 1])) * EARTH_RADIUS_KM
-        areas.append(abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2)
-    return pd.Series(areas)
+def cell_areas(polygons: DataFrame, key: str, ring: str, res: float, origin: float = 0.0) -> DataFrame:
+    """``(key, ci, cj, a)``: area (km2, equal-area plane) of each polygon in every cell that it meets, one row per cell.
+
+    Sides are cut at cell borders.  In a row of cells, a piece of height ``dy`` adds its own strip to its cell and the
+    whole width times ``dy`` to all cells west of it; cells between two outlines get that sum alone, so neither
+    outlines nor inner cells are tested against each other, and a long outline is spread over rows of sides.
+    """
+    sides = _cut(edges(polygons, key, ring), "y", "x", "ci", res, origin).where("y1 <> y2")
+    sides = _cut(sides, "x", "y", "cj", res, origin)
+    (x1, y1), (x2, y2) = equal_area_xy(F.col("y1"), F.col("x1")), equal_area_xy(F.col("y2"), F.col("x2"))
+    west = F.radians(F.lit(origin) + (F.col("cj") - 0.5) * res) * EARTH_RADIUS_KM
+    width = math.radians(res) * EARTH_RADIUS_KM
+    met = sides.groupBy(key, "ci", "cj").agg(F.sum(((x1 + x2) / 2 - west) * (y2 - y1)).alias("own"), F.sum(y2 - y1).alias("dy"))
+    row = Window.partitionBy(key, "ci").orderBy("cj")
+    met = met.withColumn("east", F.coalesce(F.sum("dy").over(row.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))).withColumn("last", F.lag("cj").over(row))
+    inner = (F.col("east") + F.col("dy")) * width
+    between = met.where((F.col("cj") - F.col("last") > 1) & (inner > width * width * 1e-9))
+    filled = between.select(key, "ci", F.explode(F.sequence(F.col("last") + 1, F.col("cj") - 1)).alias("cj"), inner.alias("a"))
+    return met.select(key, "ci", "cj", (F.col("own") + F.col("east") * width).alias("a")).where("a > 0").unionByName(filled)
 
 
 def polygon_grid_weights(polygons: DataFrame, key: str, ring: str, res: float, origin: float = 0.0) -> DataFrame:
-    """Share of each polygon in every grid cell it meets; shares of a polygon sum to 1.
+    """Share of each polygon in every grid cell it meets; shares of a polygon sum to 1, one row per polygon and cell.
 
     Pieces below a millionth of the polygon are dropped before the shares are taken.
     """
-    cells = covered_cells(polygons.select(key, ring), ring, res, origin)
-    lat, lon = F.lit(origin) + F.col("ci") * res, F.lit(origin) + F.col("cj") * res
-    h = res / 2
-    area = clip_area(F.col(ring), lon - h, lat - h, lon + h, lat + h)
-    pieces = cells.select(key, "ci", "cj", area.alias("a")).where("a > 0")
+    pieces = cell_areas(polygons, key, ring, res, origin)
     total = pieces.groupBy(key).agg(F.sum("a").alias("_t"))
     kept = pieces.join(total, key).where(F.col("a") / F.col("_t") >= 1e-6).drop("_t")
     total = kept.groupBy(key).agg(F.sum("a").alias("_t"))
@@ -107,29 +147,83 @@ def without_cells(polygons: DataFrame, weights: DataFrame, key: str) -> DataFram
     return polygons.join(weights.select(key).distinct(), key, "left_anti")
 
 
-def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str, res: float) -> DataFrame:
-    """For each polygon of ``a`` the polygon of ``b`` that shares most of it, and the shared fraction.
+def overlap_areas(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str, res: float) -> DataFrame:
+    """``(a_key, b_key, a)``: exact shared area (km2, equal-area plane) of polygons that share any.
 
-    Both layers are sampled at the centres of a fine grid; centres are matched by cell.
+    The region below a side, taken with the side's direction, summed over all sides makes the polygon; so the shared
+    area is the sum, over sides of both that lie over one another, of the area below the lower of the two.  Pairs of
+    polygons meet in the cells (width ``res``) of their bounding boxes, their sides in strips of that width.
     """
-    def votes(df: DataFrame, key: str) -> DataFrame:
-        cells = covered_cells(df.select(key, ring), ring, res)
-        return cells.where(ring_contains(F.col(ring), F.col("cj") * res, F.col("ci") * res)).select(key, "ci", "cj")
+    def boxes(df: DataFrame, key: str) -> DataFrame:
+        return covered_cells(df.select(key, ring), ring, res).select(key, "ci", "cj")
+
+    def strips(df: DataFrame, key: str, name: str) -> DataFrame:
+        cut = _cut(edges(df, key, ring).where("x1 <> x2"), "x", "y", "strip", res, 0.0).where("x1 <> x2")
+        x1, y1 = equal_area_xy(F.col("y1"), F.col("x1"))
+        x2, y2 = equal_area_xy(F.col("y2"), F.col("x2"))
+        east = F.col("x2") > F.col("x1")  # outer rings turn left: their upper sides run west
+        ends = F.when(east, F.struct(x1.alias("p"), y1.alias("u"), x2.alias("q"), y2.alias("v"))).otherwise(F.struct(x2.alias("p"), y2.alias("u"), x1.alias("q"), y1.alias("v")))
+        return cut.select(key, "strip", F.when(east, -1.0).otherwise(1.0).alias(f"{name}s"), ends.alias(name))
+
+    pairs = boxes(a, a_key).join(boxes(b, b_key), ["ci", "cj"]).select(a_key, b_key).distinct()
+    both = pairs.join(strips(a, a_key, "f"), a_key).join(strips(b, b_key, "g"), [b_key, "strip"])
+    lo, hi = F.greatest("f.p", "g.p"), F.least("f.q", "g.q")
+    at = lambda side, x: F.col(f"{side}.u") + (F.col(f"{side}.v") - F.col(f"{side}.u")) * (x - F.col(f"{side}.p")) / (F.col(f"{side}.q") - F.col(f"{side}.p"))
+    over = both.select(a_key, b_key, (F.col("fs") * F.col("gs")).alias("sign"), (hi - lo).alias("w"), at("f", lo).alias("f0"), at("f", hi).alias("f1"), at("g", lo).alias("g0"), at("g", hi).alias("g1"), F.least("f.u", "f.v", "g.u", "g.v").alias("least")).where("w > 0")
+    # below the lower of two lines: that of the means, less the triangle pair where they cross
+    d0, d1 = F.col("f0") - F.col("g0"), F.col("f1") - F.col("g1")
+    crossed = F.when(d0 * d1 < 0, (d0 * d0 + d1 * d1) / (F.abs(d0) + F.abs(d1)) / 2).otherwise((F.abs(d0) + F.abs(d1)) / 2)
+    below = F.col("w") * ((F.col("f0") + F.col("f1") + F.col("g0") + F.col("g1")) / 2 - crossed) / 2
+    shared = over.groupBy(a_key, b_key).agg(F.sum(F.col("sign") * below).alias("a"))
+    return shared.where(F.col("a") > 1e-9)
+
 
-    per = votes(a, a_key).join(votes(b, b_key), ["ci", "cj"]).groupBy(a_key, b_key).agg(F.count("*").alias("_n"))
-    best = per.groupBy(a_key).agg(F.min(F.struct((-F.col("_n")).alias("_m"), F.col(b_key))).alias("_b"), F.sum("_n").alias("_t"))
-    return best.select(a_key, F.col(f"_b.{b_key}").alias(b_key), (-F.col("_b._m") / F.col("_t")).alias("overlap_frac"))
+def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str, res: float) -> DataFrame:
+    """For each polygon of ``a`` the polygon of ``b`` that shares most of it, its share of all that is shared, and how it was found.
+
+    ``assignment_method`` is ``largest_overlap``, or ``nearest`` with share 0 where nothing is shared: then the polygon
+    of ``b`` whose outline is nearest to a corner.  Only an empty ``b`` leaves a polygon without (``none``).
+    """
+    per = overlap_areas(a, a_key, b, b_key, ring, res)
+    best = per.groupBy(a_key).agg(F.min(F.struct((-F.col("a")).alias("_m"), F.col(b_key))).alias("_b"), F.sum("a").alias("_t"))
+    best = checkpointed(best.select(a_key, F.col(f"_b.{b_key}").alias(b_key), (-F.col("_b._m") / F.col("_t")).alias("overlap_frac"), F.lit("largest_overlap").alias("assignment_method")))
+    lost = checkpointed(a.join(best, a_key, "left_anti").select(a_key, ring))
+    if lost.isEmpty():
+        return best
+    corners = edges(lost, a_key, ring).select(F.col(a_key).alias("_a"), F.col("x1").alias("x"), F.col("y1").alias("y")).withColumn("qid", F.struct("_a", "x", "y"))
+    outlines = edges(b, b_key, ring).select(F.col(b_key).alias("tid"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
+    near = nearest_k(corners, outlines, 1).groupBy(F.col("qid._a").alias(a_key)).agg(F.min(F.struct("dist", "tid")).alias("_n"))
+    method = F.when(F.col("_n").isNull(), "none").otherwise("nearest")
+    return best.unionByName(lost.select(a_key).join(near, a_key, "left").select(a_key, F.col("_n.tid").alias(b_key), F.lit(0.0).alias("overlap_frac"), method.alias("assignment_method")))
 
 
 # --- points -------------------------------------------------------------------------------
 
+def points_in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, res: float) -> DataFrame:
+    """Every point with every polygon that holds it; points outside all are left out."""
+    pts = points.withColumn("_ci", _cell(F.col(y), res)).withColumn("_cj", _cell(F.col(x), res))
+    cells = covered_cells(polygons.select(key, ring), ring, res)
+    hit = pts.join(cells, (F.col("_ci") == F.col("ci")) & (F.col("_cj") == F.col("cj")))
+    return hit.where(shape_contains(F.col(ring), F.col(x), F.col(y))).select(*points.columns, key)
+
+
 def point_in_polygon(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, res: float) -> DataFrame:
-    """Every point with the polygon that holds it (the least key if several do), else NULL."""
-    pts = points.withColumn("ci", _cell(F.col(y), res)).withColumn("cj", _cell(F.col(x), res))
+    """Every point with the polygon that holds it (the least key if several do), else NULL.
+
+    Places are looked up once and joined back, so points in one place cost one test and stay as many rows.
+    """
+    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn("ci", _cell(F.col("_y"), res)).withColumn("cj", _cell(F.col("_x"), res))
     cells = covered_cells(polygons.select(key, ring), ring, res)
-    hit = pts.join(cells, ["ci", "cj"], "left")
-    inside = F.when(ring_contains(F.col(ring), F.col(x), F.col(y)), F.col(key))
-    return hit.groupBy(*points.columns).agg(F.min(inside).alias(key))
+    hit = places.join(cells, ["ci", "cj"]).where(shape_contains(F.col(ring), F.col("_x"), F.col("_y")))
+    found = hit.groupBy("_x", "_y").agg(F.min(key).alias(key))
+    return points.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").drop("_x", "_y")
+
+
+def stations_in_units(stations: DataFrame, key: str, x: str, y: str, units: DataFrame, unit: str, ring: str, res: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of the stations inside a unit, with the unit; and the stations outside all units, with their number of rows."""
+    placed = point_in_polygon(stations, x, y, units, unit, ring, res)
+    outside = placed.where(F.col(unit).isNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    return placed.where(F.col(unit).isNotNull()), outside
 
 
 def ring_distance(ring: Column, px: Column, py: Column) -> Column:
@@ -144,7 +238,7 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     With cells as wide as the cap, a polygon in reach lies in the 3 x 3 cells around the point.
     """
     west, south, east, north = _bounds(ring)
-    boxed = polygons.select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"),
+    boxed = with_shape(polygons, ring).select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"),
                             _cell(south, cap).alias("_ci0"), _cell(west, cap).alias("_cj0"))
     cells = covered_cells(boxed, ring, cap)
     pts = points.select(point_id, x, y).withColumn("_ci", _cell(F.col(y), cap)).withColumn("_cj", _cell(F.col(x), cap))
@@ -156,7 +250,7 @@ def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame
     # a pair meets in every cell both sides share: only the first of those cells counts it
     first = (F.col("ci") == F.greatest(F.col("_ci") - 1, F.col("_ci0"))) & (F.col("cj") == F.greatest(F.col("_cj") - 1, F.col("_cj0")))
     pair = near.join(cells, ["ci", "cj"]).where(first & (gap <= cap))
-    d = F.when((gap == 0) & ring_contains(F.col(ring), x, y), 0.0).otherwise(ring_distance(F.col(ring), x, y))
+    d = F.when((gap == 0) & shape_contains(F.col(ring), x, y), 0.0).otherwise(F.array_min(F.transform(F.flatten(ring), lambda r: ring_distance(r, x, y))))
     best = pair.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(key))).alias("_b")).where(F.col("_b.d") <= cap)
     found = points.select(point_id).join(best, point_id, "left")
     how = F.when(F.col("_b").isNull(), "none").when(F.col("_b.d") == 0, "contains").otherwise("nearest")
@@ -293,16 +387,18 @@ def line_density(segments: DataFrame, polygons: DataFrame, key: str, ring: str,
 
 # --- polygon records ----------------------------------------------------------------------
 
-def dissolve(parts: DataFrame, key: str, order: str, attributes: list[str]) -> DataFrame:
-    """One record per polygon: the attributes of its first part and the number of parts.
+def dissolve(parts: DataFrame, key: str, order: str, attributes: list[str], ring: str | None = None) -> DataFrame:
+    """One record per polygon: the attributes of its first part, the number of parts, and with ``ring`` the geometry.
 
-    The rings stay rows of ``parts`` under the same key: every operator here takes several
-    rings per key, so a polygon with very many parts is never gathered in one place.
+    The geometry holds the polygons of all parts in order; it is as large as the record that it belongs to.
     """
     first = [F.min_by(a, order).alias(a) for a in attributes]
-    return parts.groupBy(key).agg(*first, F.count("*").alias("parts"))
+    if ring is None:
+        return parts.groupBy(key).agg(*first, F.count("*").alias("parts"))
+    merged = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ring).alias("g")))), lambda p: p["g"]))
+    return with_shape(parts, ring).groupBy(key).agg(*first, F.count("*").alias("parts"), merged.alias(ring))
 
 
-__all__ = ["area_km2", "clip_area", "covered_cells", "dissolve", "largest_overlap", "line_density", "line_distance", "locate",
-           "nearest_fill", "nearest_k", "point_in_polygon", "points_as_targets", "polygon_grid_weights", "rectangle_ring", "side_of_line",
-           "without_cells"]
+__all__ = ["area_km2", "cell_areas", "covered_cells", "dissolve", "edges", "largest_overlap", "line_density", "line_distance", "locate",
+           "nearest_fill", "nearest_k", "overlap_areas", "point_in_polygon", "points_as_targets", "points_in_polygons", "polygon_grid_weights", "rectangle_ring", "shape_contains",
+           "side_of_line", "stations_in_units", "with_shape", "without_cells"]

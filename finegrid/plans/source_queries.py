@@ -97,7 +97,7 @@ def geojson_features(t):
     path = scratch_path(t.spark, "features")
     Ft.feature_lines(squares(t), "ring", ["gp_code", "area_km2"], digits=7).write.text(path)
     df = Ft.read_features(t.spark, path, "gp_code:string,area_km2:double")
-    return df.withColumn("ring", F.col("rings")[0]).select("gp_code", "area_km2", r4(G.area_km2("ring")).alias("km2"))
+    return df.select("gp_code", "area_km2", r4(G.area_km2(df, "shape")).alias("km2"))
 
 
 TEST_LAYOUT = Gf.GridLayout(rows=8, cols=8, ymin=18.0, xmin=73.0, res=0.25, missing=-999.0)

@@ -15,6 +15,8 @@ from finegrid.operators import verify as V
 from finegrid.plans.bindings import sql
 from finegrid.plans.panel_queries import rounded
 from finegrid.plans.registry import R, query, r4
+from finegrid.session import checkpointed, scratch_path
+from finegrid.sources import features as Ft
 
 # Unit polygons are squares of 0.024 degrees around the unit; parents' polygons are
 # made of the same squares; points come from the customer table.
@@ -51,21 +53,84 @@ def polygon_grid_weights(t):
 @query("polygon_area", "F17", sql(f"""
     SELECT gp_code, {R('radians(e - w) * 6371.0 * (sin(radians(n)) - sin(radians(s))) * 6371.0')} AS km2 FROM sq""", "unit", sq=SQUARES))
 def polygon_area(t):
-    return squares(t).select("gp_code", r4(G.area_km2("ring")).alias("km2"))
+    return squares(t).select("gp_code", r4(G.area_km2(squares(t), "ring")).alias("km2"))
+
+
+SHARED = """SELECT q.gp_code, b.b_code, radians(least(q.e, b.e) - greatest(q.w, b.w)) * 6371.0 * (sin(radians(least(q.n, b.n))) - sin(radians(greatest(q.s, b.s)))) * 6371.0 AS a
+    FROM sq q JOIN b ON b.w < q.e AND b.e > q.w AND b.s < q.n AND b.n > q.s"""
+# equal shares would make the choice depend on the last bit, so the choice is compared where it is clear
+CHOICE = f"""SELECT gp_code, CASE WHEN n2 IS NULL OR a - n2 > 1e-6 THEN b_code END AS b_code, {R('a / t')} AS overlap_frac, 'largest_overlap' AS assignment_method
+    FROM (SELECT *, sum(a) OVER g AS t, row_number() OVER (g ORDER BY a DESC, b_code) AS rn, lead(a) OVER (g ORDER BY a DESC, b_code) AS n2 FROM v WHERE a > 1e-9 WINDOW g AS (PARTITION BY gp_code)) WHERE rn = 1"""
 
 
 @query("largest_overlap", "J8", sql(f"""
-    , b AS (SELECT gp_code AS b_code, w + 0.009 AS w, s + 0.004 AS s, e + 0.009 AS e, n + 0.004 AS n FROM sq),
-    g AS (SELECT unnest(range(35000, 39000)) AS k),
-    v AS (SELECT q.gp_code, b.b_code, count(*) AS n FROM sq q JOIN b ON b.w < q.e AND b.e > q.w AND b.s < q.n AND b.n > q.s
-       JOIN (SELECT unnest(range(8900, 9650)) AS ci) i ON i.ci * 0.002::DOUBLE > greatest(q.s, b.s) AND i.ci * 0.002::DOUBLE < least(q.n, b.n)
-       JOIN (SELECT unnest(range(36500, 37600)) AS cj) j ON j.cj * 0.002::DOUBLE > greatest(q.w, b.w) AND j.cj * 0.002::DOUBLE < least(q.e, b.e) GROUP BY 1, 2)
-    SELECT gp_code, b_code, {R('n / t')} AS overlap_frac FROM (SELECT *, sum(n) OVER (PARTITION BY gp_code) AS t,
-      row_number() OVER (PARTITION BY gp_code ORDER BY n DESC, b_code) AS rn FROM v) WHERE rn = 1""", "unit", sq=SQUARES))
+    , b AS (SELECT gp_code AS b_code, w + 0.009 AS w, s + 0.004 AS s, e + 0.009 AS e, n + 0.004 AS n FROM sq), v AS ({SHARED})
+    SELECT gp_code, overlap_frac, assignment_method FROM ({CHOICE})""", "unit", sq=SQUARES))
 def largest_overlap(t):
     moved = t.unit.select(F.col("gp_code").alias("b_code"), G.rectangle_ring(F.col("longitude") + 0.009, F.col("latitude") + 0.004, HALF, HALF).alias("ring"))
-    out = G.largest_overlap(squares(t), "gp_code", moved, "b_code", "ring", 0.002)
-    return out.select("gp_code", "b_code", r4("overlap_frac").alias("overlap_frac"))
+    out = G.largest_overlap(squares(t), "gp_code", moved, "b_code", "ring", 0.03)
+    return out.select("gp_code", r4("overlap_frac").alias("overlap_frac"), "assignment_method")
+
+
+@query("overlap_with_fallback", "J8", sql(f"""
+    , b AS (SELECT gp_code AS b_code, w + 0.009 AS w, s + 0.004 AS s, e + 0.009 AS e, n + 0.004 AS n FROM sq WHERE CAST(gp_code AS BIGINT) % 11 = 0), v AS ({SHARED}), o AS ({CHOICE}),
+    c AS (SELECT gp_code, unnest([w, e, e, w]) AS x, unnest([s, s, n, n]) AS y FROM sq WHERE gp_code NOT IN (SELECT gp_code FROM o)),
+    d AS (SELECT gp_code, min(sqrt(greatest(b.w - x, x - b.e, 0.0) ** 2 + greatest(b.s - y, y - b.n, 0.0) ** 2)) AS dist FROM c CROSS JOIN b GROUP BY 1)
+    SELECT gp_code, overlap_frac, assignment_method FROM o UNION ALL SELECT gp_code, 0.0, CASE WHEN dist IS NULL THEN 'none' ELSE 'nearest' END FROM d""", "unit", sq=SQUARES))
+def overlap_with_fallback(t):
+    moved = t.unit.where(F.col("user_id") % 11 == 0).select(F.col("gp_code").alias("b_code"), G.rectangle_ring(F.col("longitude") + 0.009, F.col("latitude") + 0.004, HALF, HALF).alias("ring"))
+    out = G.largest_overlap(squares(t), "gp_code", moved, "b_code", "ring", 0.03)
+    return out.select("gp_code", r4("overlap_frac").alias("overlap_frac"), "assignment_method")
+
+
+# Every unit's square with a hole in it, and a second, smaller square to the north-east.
+HOLED = "SELECT *, longitude AS x, latitude AS y FROM unit"
+
+
+def holed(t):
+    ring = lambda dx, dy, h: G.rectangle_ring(F.col("longitude") + dx, F.col("latitude") + dy, h, h)
+    parts = F.array(F.array(ring(0.0, 0.0, 0.012), ring(0.003, -0.002, 0.005)), F.array(ring(0.019, 0.02, 0.004)))
+    return t.unit.select("gp_code", parts.alias("shape"))
+
+
+BOX_KM2 = "(radians(2 * {h}) * 6371.0 * (sin(radians(y + {dy} + {h})) - sin(radians(y + {dy} - {h}))) * 6371.0)"
+IN_BOX = "(abs(p.x - h.x - {dx}) < {h} AND abs(p.y - h.y - {dy}) < {h})"
+
+
+@query("polygons_with_holes", "J7 J10 S15 S16 F17 A33", sql(f"""
+    , hit AS (SELECT h.gp_code, count(*) AS n FROM pt p JOIN h ON {IN_BOX.format(dx=0.0, dy=0.0, h=0.012)} AND NOT {IN_BOX.format(dx=0.003, dy=-0.002, h=0.005)}
+      OR {IN_BOX.format(dx=0.019, dy=0.02, h=0.004)} GROUP BY 1)
+    SELECT h.gp_code, 2 AS parts, {R(BOX_KM2.format(dy=0.0, h=0.012) + ' - ' + BOX_KM2.format(dy=-0.002, h=0.005) + ' + ' + BOX_KM2.format(dy=0.02, h=0.004))} AS km2,
+      {R(BOX_KM2.format(dy=0.0, h=0.012) + ' - ' + BOX_KM2.format(dy=-0.002, h=0.005) + ' + ' + BOX_KM2.format(dy=0.02, h=0.004))} AS in_cells, coalesce(hit.n, 0) AS points
+    FROM h LEFT JOIN hit USING (gp_code)""", "unit", pt=POINTS, h=HOLED))
+def polygons_with_holes(t):
+    # out to text, one part after the other, and back: what is measured has been written, read and dissolved
+    path = scratch_path(t.spark, "holes")
+    parts = holed(t).select("gp_code", F.posexplode("shape").alias("no", "shape"))
+    Ft.feature_lines(parts, "shape", ["gp_code", "no"], digits=9).write.text(path)
+    shapes = checkpointed(G.dissolve(Ft.read_features(t.spark, path, "gp_code:string,no:int"), "gp_code", "no", [], "shape"))
+    cells = G.cell_areas(shapes, "gp_code", "shape", 0.01).groupBy("gp_code").agg(F.sum("a").alias("in_cells"))
+    hits = G.points_in_polygons(points(t), "x", "y", shapes, "gp_code", "shape", 0.05).groupBy("gp_code").agg(F.count("*").alias("points"))
+    out = shapes.join(cells, "gp_code").join(hits, "gp_code", "left")
+    return out.select("gp_code", F.col("parts").cast("int").alias("parts"), r4(G.area_km2(shapes, "shape")).alias("km2"), r4("in_cells").alias("in_cells"), F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+
+
+@query("points_repeated", "J10", sql("""
+    SELECT p.pid, min(q.gp_code) AS gp_code, CAST(any_value(k.n) AS BIGINT) AS n FROM pt p CROSS JOIN (SELECT 3 AS n) k LEFT JOIN sq q ON p.x > q.w AND p.x < q.e AND p.y > q.s AND p.y < q.n GROUP BY 1""", "unit", sq=SQUARES, pt=POINTS))
+def points_repeated(t):
+    three = points(t).withColumn("copy", F.explode(F.lit([1, 2, 3]))).drop("copy")
+    return G.point_in_polygon(three, "x", "y", squares(t), "gp_code", "ring", 0.05).groupBy("pid", "gp_code").agg(F.count("*").alias("n"))
+
+
+@query("stations_in_units", "J10 S4", sql("""
+    , st AS (SELECT pt.pid AS sid, x, y, o_orderkey FROM pt JOIN orders ON o_custkey = pt.pid),
+    u AS (SELECT pid AS sid, min(gp_code) AS gp_code FROM pt LEFT JOIN sq q ON x > q.w AND x < q.e AND y > q.s AND y < q.n GROUP BY 1)
+    SELECT sid, gp_code, count(*) AS rows, gp_code IS NULL AS outside FROM st JOIN u USING (sid) GROUP BY 1, 2""", "unit", sq=SQUARES, pt=POINTS))
+def stations_in_units(t):
+    rows = t.table("orders").select(F.col("o_custkey").alias("pid")).join(points(t), "pid").withColumnRenamed("pid", "sid")
+    inside, outside = G.stations_in_units(rows, "sid", "x", "y", squares(t), "gp_code", "ring", 0.05)
+    found = inside.groupBy("sid", "gp_code").agg(F.count("*").alias("rows")).withColumn("outside", F.lit(False))
+    return found.unionByName(outside.select("sid", F.lit(None).cast("string").alias("gp_code"), "rows", F.lit(True).alias("outside")))
 
 
 @query("point_in_polygon", "J10", sql("""

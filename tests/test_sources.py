@@ -53,7 +53,7 @@ def test_geojson_collection_and_multipolygon(spark):
     doc = ('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"code":"1"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},'
            '{"type":"Feature","properties":{"code":"2"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[2,2],[3,2],[3,3],[2,2]]]]}}]}')
     spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(path)
-    got = {r["code"]: len(r["rings"]) for r in Ft.read_features(spark, path, "code:string", collection=True).collect()}
+    got = {r["code"]: len(r["shape"]) for r in Ft.read_features(spark, path, "code:string", collection=True).collect()}
     assert got == {"1": 1, "2": 2}
 
 
