@@ -38,8 +38,12 @@ def _date_at(i: Column) -> Column:
     return F.date_add(F.col("issue_date"), F.try_element_at(F.col("days"), i + 1)["lead"])
 
 
-def _values(a: Column, catalog: dict, crop_names: dict[str, str], short: bool):
-    """Placeholder values of an advisory: its parameters, day labels and names."""
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def _values(a: Column, catalog: dict, crop_names: dict[str, str], short: bool, days: int | None = 3):
+    """Placeholder values of an advisory: its parameters, day labels and names; short texts name the first ``days`` days (None: all)."""
     names = catalog["day_names"]
 
     def value_of(name: str) -> Column:
@@ -47,7 +51,7 @@ def _values(a: Column, catalog: dict, crop_names: dict[str, str], short: bool):
             return X.day_label(F.to_date(a["params"]["date"]), names)
         if name == "days":
             if short:
-                return F.array_join(F.transform(F.slice(a["days"], 1, 3), lambda i: X.weekday_name(_date_at(i), names)), ",")
+                return F.array_join(F.transform(_first(a["days"], days), lambda i: X.weekday_name(_date_at(i), names)), ",")
             return F.array_join(F.transform(a["days"], lambda i: X.day_label(_date_at(i), names)), ", ")
         if name == "crop":
             return F.coalesce(_lookup(crop_names, a["crop"]), F.lit(""))
@@ -108,12 +112,12 @@ def weather_summary(catalog: dict, summary: dict | None = None) -> Column:
     return F.concat(rain, F.lit(" "), text["temp"])
 
 
-def sms(catalog: dict, name: Column, limit: int = 160, crop_names: dict[str, str] | None = None) -> Column:
+def sms(catalog: dict, name: Column, limit: int = 160, crop_names: dict[str, str] | None = None, days: int | None = 3) -> Column:
     """Short message: highest severity first, whole items only, never longer than ``limit``."""
     crops = crop_names or _crop_names()
 
     def item(a: Column, pos: Column) -> Column:
-        values = _values(a, catalog, crops, short=True)
+        values = _values(a, catalog, crops, short=True, days=days)
         body = None
         for rule, key in SMS_KEYS.items():
             t = X.render(template(catalog, key), values)
@@ -130,8 +134,12 @@ def sms(catalog: dict, name: Column, limit: int = 160, crop_names: dict[str, str
     return X.pack(X.render_with(template(catalog, "sms_prefix"), {"gp": name}), F.when(calm, F.concat(F.array(normal), texts)).otherwise(texts), limit)
 
 
-def bulletins(evaluated: DataFrame, lang: str, name: Column, district: str, catalog: dict | None = None, crop_names: dict[str, str] | None = None) -> DataFrame:
-    """Everything a reader of one language needs, per unit and issue: summary, items, short, chat, voice and plain text."""
+def bulletins(evaluated: DataFrame, lang: str, name: Column, district: str, catalog: dict | None = None, crop_names: dict[str, str] | None = None,
+              chat_items: int | None = 4, chat_chars: int | None = 1500, voice_items: int | None = 5) -> DataFrame:
+    """Everything a reader of one language needs, per unit and issue: summary, items, short, chat, voice and plain text.
+
+    Channels have their usual limits: advisories and characters of a chat message, advisories read out; None lifts one.
+    """
     c = catalog or CATALOG[lang]
     df = evaluated.withColumn("lang", F.lit(lang)).withColumn("items", rendered(c, crop_names).cast(RENDERED))
     df = df.withColumn("summary", weather_summary(c)).withColumn("sms", sms(c, F.initcap(name) if lang == "en" else name, crop_names=crop_names)).withColumn("_name", name)
@@ -170,15 +178,15 @@ def bulletins(evaluated: DataFrame, lang: str, name: Column, district: str, cata
         F.array(F.lit(""), F.concat(F.lit("SMS: "), "sms"), F.lit(""), F.lit(L["footer"])))
     ordered = F.concat(F.filter("items", lambda i: i["crop"].isNull()), F.filter("items", lambda i: i["crop"].isNotNull() & ~i["rule"].startswith("disease:")),
                        F.filter("items", lambda i: i["rule"].startswith("disease:")))
-    shown = F.filter(F.slice(ordered, 1, 4), lambda i: (i["severity"] != "green") | i["rule"].isin("normal", "spray_window"))
+    shown = F.filter(_first(ordered, chat_items), lambda i: (i["severity"] != "green") | i["rule"].isin("normal", "spray_window"))
     chat_days = F.transform("days", lambda d: F.concat(X.day_label(F.date_add(F.col("issue_date"), d["lead"]), c["day_names"]), F.lit(": "), F.bround(d["rain"], 1).cast("string"),
                                                        F.lit(" mm, "), F.bround(d["tmax"], 1).cast("string"), F.lit("/"), F.bround(d["tmin"], 1).cast("string"), F.lit(" °C")))
     chat = F.concat(F.array(F.concat(F.lit(f"*{L['bulletin_title']}* - "), "_name", F.lit(" ("), "block_name", F.lit(")")), F.concat(F.lit(f"{L['overall_status']}: *"), label, F.lit("*")),
                             F.lit("")), chat_days, F.array(F.lit("")), F.transform(shown, lambda i: F.concat(F.lit("• *"), i["title"], F.lit("* "), i["action"])))
     spoken = F.concat(F.array(F.concat(F.lit(f"{L['bulletin_title']}. {L['gp']} "), "_name", F.lit(".")), F.concat(F.lit(f"{L['overall_status']}: "), label, F.lit(".")), F.col("summary")),
-                      F.transform(F.slice(ordered, 1, 5), lambda i: F.trim(F.concat(i["title"], F.lit(". "), i["text"], F.lit(" "), i["action"]))))
+                      F.transform(_first(ordered, voice_items), lambda i: F.trim(F.concat(i["title"], F.lit(". "), i["text"], F.lit(" "), i["action"]))))
     voice = F.replace(F.replace(F.array_join(spoken, "\n"), F.lit("°C"), F.lit(" degree")), F.lit("mm"), F.lit(" millimetre"))
-    return df.withColumns({"text": F.array_join(text, "\n"), "chat": F.substring(F.array_join(chat, "\n"), 1, 1500), "voice": voice}).drop("_name")
+    return df.withColumns({"text": F.array_join(text, "\n"), "chat": F.array_join(chat, "\n") if chat_chars is None else F.substring(F.array_join(chat, "\n"), 1, chat_chars), "voice": voice}).drop("_name")
 
 
 def fan_out(subscribers: DataFrame, messages: DataFrame, published: DataFrame) -> DataFrame:
@@ -188,7 +196,7 @@ def fan_out(subscribers: DataFrame, messages: DataFrame, published: DataFrame) -
     published are removed before the join.
     """
     ready = messages.join(published.select("issue_date"), "issue_date", "left_semi")
-    out = salted_join(subscribers, ready, ["gp_code", "lang"])
+    out = salted_join(subscribers, ready, ["gp_code", "lang"], ["subscriber_id"])
     body = F.when(F.col("channel") == "sms", F.col("sms")).when(F.col("channel") == "whatsapp", F.col("chat")).when(F.col("channel") == "ivr", F.col("voice"))
     out = out.withColumn("message", body)
     return out.select("issue_date", "subscriber_id", "gp_code", "channel", "lang", "message", F.length("message").alias("chars"), X.segments(F.col("message")).alias("segments"))

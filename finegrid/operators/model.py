@@ -162,12 +162,12 @@ def fit_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, alpha:
     m.edges = [float(x) for x in edges]
     c = _with_interval(m, predict_point(m, usable(calib, m.spec)))
     r = residual(m.spec, m.space)
-    over = c.select(F.greatest(F.col("_lo") - r, r - F.col("_hi")).alias("over"), F.lit(1).alias("_all"))
+    over = c.select(F.greatest(F.col("_lo") - r, r - F.col("_hi")).alias("over"))
     over = checkpointed(over.where("over is not null"))
     n = over.count()
     if n:
         level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / n)
-        m.margin = max(0.0, exact_quantiles(over, ["_all"], "over", {"q": level}).first()["q"])
+        m.margin = max(0.0, exact_quantiles(over, [], "over", {"q": level}).first()["q"])
     return m
 
 

@@ -20,13 +20,13 @@ def persistence_forecast(parent_day: DataFrame, leads: list[int], value: str, ou
             .select("block_lgd", "issue_date", F.date_add("issue_date", F.col("lead_day")).alias("valid_date"), "lead_day", out))
 
 
-def expand_to_units(fc: DataFrame, units: DataFrame, key: str = "block_lgd", salts: int = 8) -> DataFrame:
+def expand_to_units(fc: DataFrame, units: DataFrame, key: str = "block_lgd", unit: str = "gp_code", units_per_task: int = 20_000) -> DataFrame:
     """Every forecast row of a parent for every unit of that parent.
 
-    The units of a large parent are spread over ``salts`` partitions and the much
-    smaller forecast side is repeated once per salt, so that no parent is one task.
+    A parent with more than ``units_per_task`` units is spread over as many partitions as
+    they need, so that no parent is one task; only its forecasts are repeated.
     """
-    return salted_join(units, fc, [key], salts)
+    return salted_join(units, fc, [key], [unit], units_per_task)
 
 
 # --- hourly and daily ---------------------------------------------------------------------

@@ -13,7 +13,11 @@ REQUIRED_FORECAST = ["lead_day", "rain", "tmax", "tmin", "rh", "wind"]
 
 
 class ForecastTableError(ValueError):
-    """A forecast table that must not be used."""
+    """A forecast table that must not be used; ``unknown`` holds all keys that have no parent, where that was asked."""
+
+    def __init__(self, message: str, unknown: DataFrame | None = None):
+        super().__init__(message)
+        self.unknown = unknown
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
@@ -96,17 +100,18 @@ def star_join(base: DataFrame, key: str, tables: dict[str, DataFrame | None]) ->
 def require_forecast(df: DataFrame, parents: DataFrame, leads: list[int], key: str = "block_lgd") -> DataFrame:
     """The table itself when it may be used; otherwise an error that names every problem.
 
-    Only counts and a few example keys reach the driver.
+    Counts go into the message; all unknown keys are in the error's ``unknown`` table.
     """
     missing = missing_columns(df, [key, *REQUIRED_FORECAST])
     if missing:
         raise ForecastTableError(f"missing columns: {missing}")
     problems = [f"{r['rule']}: {r['n']} rows" for r in violations(df, forecast_rules(leads)).collect()]
-    strangers = [str(r[0]) for r in unknown_keys(df, parents, key).orderBy(key).limit(20).collect()]
-    if strangers:
-        problems.append(f"unknown {key}: {strangers}")
+    strangers = unknown_keys(df, parents, key)
+    n = strangers.count()
+    if n:
+        problems.append(f"unknown {key}: {n} keys")
     if not df.groupBy(key, "lead_day").count().where("count > 1").isEmpty():
         problems.append(f"duplicate ({key}, lead_day) rows")
     if problems:
-        raise ForecastTableError("; ".join(problems))
+        raise ForecastTableError("; ".join(problems), strangers)
     return df

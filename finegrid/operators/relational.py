@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key that a task takes before the key is spread over several.
+ROWS_PER_TASK = 1_000_000
+
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = True) -> DataFrame:
-    """The row of each key with the greatest (or least) ``order`` values.
+    """The row of each key with the greatest (or least) ``order`` values; ties go by the other columns that have an order.
 
-    Written as an aggregation, not as a ranked window, so that copies of a hot key
-    are reduced before the shuffle.
+    A rank cut at 1: every task keeps one row per key before the shuffle, so copies of a hot key don't travel.
     """
-    payload = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
-    best = F.max(payload) if last else F.min(payload)
-    picked = df.groupBy(*keys).agg(best.alias("_row"))
-    return picked.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+    rest = [f.name for f in df.schema.fields if f.name not in (*order, *keys) and "map<" not in f.dataType.simpleString()]
+    by = [F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first() for c in (*order, *rest)]
+    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_first = 1").drop("_first")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,13 +34,17 @@ def bucket_of_md5(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def salted_join(large: DataFrame, small: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
-    """Inner join in which the rows of a hot key of ``large`` are spread over ``salts`` partitions.
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], row_key: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Inner join in which a key of ``large`` is spread over as many partitions as its rows need.
 
-    ``small`` is repeated once per salt; it should be the side with fewer rows per key.
+    Rows are counted per key; a key with up to ``rows_per_task`` rows stays whole and costs no copy of ``small``, a
+    larger one gets a partition, and a copy of its rows of ``small``, for every so many rows.  ``row_key`` tells rows
+    of a key apart; ``small`` should be the side with fewer rows per key.
     """
-    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = F.ceil(F.count("*") / F.lit(rows_per_task)).cast("int")
+    counted = large.groupBy(*keys).agg(salts.alias("_salts"))
+    spread = large.join(counted, keys).withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.col("_salts")).cast("int")).drop("_salts")
+    repeated = small.join(counted, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
@@ -76,14 +81,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
 
     Equal values collapse into counts first; approximate split points then divide the
     distinct values of a key into buckets, and only the buckets that hold a wanted
-    rank are sorted.  ``qs`` maps an output column to its quantile.
+    rank are sorted.  ``qs`` maps an output column to its quantile.  Without keys the
+    whole table is one group.  A bucket holds about one in ``2 ** depth`` of the distinct
+    values of a key; raise ``depth`` for keys with more than some hundred million of them.
     """
     v = F.col(value)
     freq = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     splits = 2**depth
     steps = [i / splits for i in range(1, splits)]
     edges = freq.groupBy(*keys).agg(F.percentile_approx(value, steps, 2000).alias("_edges"), F.sum("_n").alias("_total"))
-    placed = freq.join(edges, keys).withColumn("_bucket", _below(F.col("_edges"), v, depth)).drop("_edges")
+    if keys:
+        placed = freq.join(edges, keys)
+    else:  # no key, no join: one row of edges as a scalar
+        whole = freq.agg(F.struct(F.percentile_approx(value, steps, 2000).alias("_edges"), F.sum("_n").alias("_total"))).scalar()
+        placed = freq.withColumn("_whole", whole).select(value, "_n", "_whole.*")
+    placed = placed.withColumn("_bucket", _below(F.col("_edges"), v, depth)).drop("_edges")
     counts = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))

@@ -115,7 +115,7 @@ def conservation_report(df: DataFrame, pred: str, fc: str, weight: str) -> DataF
     g = g.withColumn("rel", F.abs(F.when(F.abs("fc") > 0.5, F.col("diff") / F.col("fc"))))
     stats = g.agg(F.avg(F.abs("diff")).alias("mean_abs_departure"), F.avg("diff").alias("mean_departure"),
                   F.count("*").alias("n_parent_forecasts"))
-    median = exact_quantiles(g.withColumn("_all", F.lit(1)), ["_all"], "rel", {"median_abs_relative": 0.5}).drop("_all")
+    median = exact_quantiles(g, [], "rel", {"median_abs_relative": 0.5})
     return stats.withColumn("median_abs_relative", median.scalar())
 
 

@@ -92,10 +92,8 @@ class Tables:
     @cached_property
     def ufc(self) -> DataFrame:
         """Unit forecasts for five lead days with rain probabilities and unit attributes."""
-        lead = self.wx.select("block_lgd", F.explode(F.array(*[F.lit(k) for k in LEADS])).alias("lead_day"), "*").drop("d")
         lead = self.wx.select("*", F.explode(F.array(*[F.lit(k) for k in LEADS])).alias("lead_day"))
-        first = F.to_date(F.lit("2024-01-01"))
-        lead = lead.withColumn("issue_date", F.date_sub("d", F.col("lead_day"))).where(F.col("issue_date") >= first)
+        lead = lead.withColumn("issue_date", F.date_sub("d", F.col("lead_day")))
         u = F.col("user_id")
         df = expand_to_units(lead.drop("d"), self.unit)
         rain = r4(F.col("rain") * (0.5 + (u % 7).cast("double") / 4))
@@ -159,8 +157,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         {R('w.wind * (0.6 + CAST(u.user_id % 5 AS DOUBLE) / 5)')} AS wind_pred,
         CAST(u.user_id % 8 AS DOUBLE) AS slope_mean, CAST(20 + (u.user_id % 6) * 8 AS DOUBLE) AS soil_clay_pct,
         CAST((u.user_id % 9) * 8 - 40 AS DOUBLE) AS tpi_2km
-        FROM wx w CROSS JOIN leads l JOIN unit u ON u.block_lgd = w.block_lgd
-        WHERE w.d - l.lead_day >= DATE '2024-01-01'"""),
+        FROM wx w CROSS JOIN leads l JOIN unit u ON u.block_lgd = w.block_lgd"""),
     "ufc": (("ufc_raw",), f"""SELECT *, {R('rain_pred / (rain_pred + 2.5)')} AS rain_p_ge_2p5,
         {R('rain_pred / (rain_pred + 15.6)')} AS rain_p_ge_15p6, {R('rain_pred / (rain_pred + 64.5)')} AS rain_p_ge_64p5
         FROM ufc_raw"""),

@@ -180,11 +180,11 @@ def severity_sorted_items(t):
 
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'draft' END"
 REVIEWS = f"""rv AS (SELECT d AS issue_date, CAST(user_id AS VARCHAR) AS gp_code, {_STATUS} AS status, event_id, props FROM
-      (SELECT *, row_number() OVER (PARTITION BY e.user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn, CAST(ts AS DATE) AS d FROM events e WHERE event_type <> 'view') WHERE rn = 1)"""
+      (SELECT *, row_number() OVER (PARTITION BY e.user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn, CAST(ts AS DATE) AS d FROM events e) WHERE rn = 1)"""
 
 
 def reviews(t):
-    ev = t.table("events").where("event_type <> 'view'").select(F.to_date("ts").alias("issue_date"), F.col("user_id").cast("string").alias("gp_code"), "ts", "event_id", F.expr(_STATUS).alias("status"), "props")
+    ev = t.table("events").select(F.to_date("ts").alias("issue_date"), F.col("user_id").cast("string").alias("gp_code"), "ts", "event_id", F.expr(_STATUS).alias("status"), "props")
     return Lg.latest(ev, ["issue_date", "gp_code"], ["ts", "event_id"])
 
 
@@ -194,21 +194,21 @@ def latest_review(t):
 
 
 @query("publish_status", "E2", sql(f"""
-    , pu AS (SELECT CAST(ts AS DATE) AS issue_date, max(event_id) AS by_event FROM events WHERE event_type = 'purchase' AND value > 200 GROUP BY 1)
+    , pu AS (SELECT CAST(ts AS DATE) AS issue_date, max(event_id) AS by_event FROM events WHERE event_type = 'purchase' GROUP BY 1)
     SELECT d AS issue_date, CASE WHEN pu.issue_date IS NULL THEN 'draft' ELSE 'published' END AS status, by_event FROM (SELECT DISTINCT d FROM obs) LEFT JOIN pu ON pu.issue_date = d""", "obs"))
 def publish_status(t):
-    pub = t.events_d.where("event_type = 'purchase' and value > 200").groupBy(F.col("d").alias("issue_date")).agg(F.max("event_id").alias("by_event"))
+    pub = t.events_d.where("event_type = 'purchase'").groupBy(F.col("d").alias("issue_date")).agg(F.max("event_id").alias("by_event"))
     pub = pub.withColumn("status", F.lit("published"))
     return Lg.with_default(t.obs.select(F.col("d").alias("issue_date")).distinct(), pub, ["issue_date"], "status", "draft").select("issue_date", "status", "by_event")
 
 
 @query("insert_ignore", "E3 Q2", """
-    WITH b AS (SELECT user_id, event_type, min(event_id) AS event_id, CAST(ts AS DATE) < DATE '2024-01-15' AS old FROM events WHERE value > 60 GROUP BY 1, 2, 4)
-    SELECT n.user_id, n.event_type, n.event_id FROM b n WHERE NOT old AND NOT EXISTS (SELECT 1 FROM b o WHERE o.old AND o.user_id = n.user_id AND o.event_type = n.event_type)""")
+    WITH b AS (SELECT user_id, event_type, day(ts) % 10 AS slot, min(event_id) AS event_id, CAST(ts AS DATE) < DATE '2024-01-15' AS old FROM events GROUP BY 1, 2, 3, 5)
+    SELECT n.user_id, n.event_type, CAST(n.slot AS INTEGER) AS slot, n.event_id FROM b n WHERE NOT old AND NOT EXISTS (SELECT 1 FROM b o WHERE o.old AND o.user_id = n.user_id AND o.event_type = n.event_type AND o.slot = n.slot)""")
 def insert_ignore(t):
-    ev = t.events_d.where("value > 60").select("user_id", "event_type", "event_id", "d")
-    out = Lg.insert_ignore(ev.where("d < '2024-01-15'"), ev.where("d >= '2024-01-15'"), ["user_id", "event_type"], ["event_id"])
-    return out.select("user_id", "event_type", "event_id")
+    ev = t.events_d.select("user_id", "event_type", (F.dayofmonth("d") % 10).alias("slot"), "event_id", "d")
+    out = Lg.insert_ignore(ev.where("d < '2024-01-15'"), ev.where("d >= '2024-01-15'"), ["user_id", "event_type", "slot"], ["event_id"])
+    return out.select("user_id", "event_type", "slot", "event_id")
 
 
 @query("audit_page", "E4 T3", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")

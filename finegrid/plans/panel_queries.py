@@ -391,14 +391,14 @@ def anomaly_corr(t):
 
 @query("method_compare", "J23 A12", sql(f"""
     , a AS (SELECT gp_code, valid_date, avg(pred) AS tree FROM scored GROUP BY 1, 2),
-    b AS (SELECT gp_code, valid_date, max(fc_rain) AS net, max(rain_obs) AS y FROM scored WHERE rain_obs >= 10 GROUP BY 1, 2),
+    b AS (SELECT gp_code, valid_date, max(fc_rain) AS net, max(rain_obs) AS y FROM scored GROUP BY 1, 2),
     m AS (SELECT y, tree AS p, tree - y AS e, 'tree' AS method FROM a JOIN b USING (gp_code, valid_date) UNION ALL
           SELECT y, net, net - y, 'net' FROM a JOIN b USING (gp_code, valid_date))
     SELECT method, {SCORES_SQL} FROM m WHERE y IS NOT NULL GROUP BY 1""", "scored"))
 def method_compare(t):
     key = ["gp_code", "valid_date"]
     tree = t.scored.groupBy(*key).agg(F.avg("pred").alias("tree"))
-    net = t.scored.where("rain_obs >= 10").groupBy(*key).agg(F.max("fc_rain").alias("net"), F.max("rain_obs").alias("y"))
+    net = t.scored.groupBy(*key).agg(F.max("fc_rain").alias("net"), F.max("rain_obs").alias("y"))
     out = V.score_methods(tree.join(net, key), [], "y", ["tree", "net"], {})
     return rounded(out, ["rmse", "mae", "bias", "r"])
 

@@ -16,7 +16,7 @@ _NAME = "(['" + "', '".join(PARENTS) + "'])[block_lgd + 1]"
 
 def sequences(t):
     """Day sequences whose issue dates are spread over the year, so that every season occurs."""
-    df = t.ufc.withColumn("issue_date", F.add_months("issue_date", (F.col("user_id") % 12).cast("int")))
+    df = t.ufc.withColumn("issue_date", F.date_add("issue_date", (F.col("user_id") % 12 * 30).cast("int")))
     df = df.withColumn("block_name", F.element_at(F.array(*[F.lit(p) for p in PARENTS]), F.col("block_lgd") + 1))
     df = df.withColumn("ante_obs7", F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 90).cast("double")))
     return U.day_sequences(df, ["gp_code", "issue_date"], ["user_id", "block_name", "latitude", "elev", "slope_mean", "soil_clay_pct", "tpi_2km", "ante_obs7"])
@@ -34,7 +34,7 @@ _LISTS = ", ".join(f"list({c} ORDER BY lead_day) AS {a}" for c, a in [
     ("rain_p_ge_15p6", "pm"), ("rain_p_ge_64p5", "ph"), ("lead_day", "ld")])
 SEQ = f"""SELECT *, range(1, len(r) + 1) AS ix, list_sum(list_transform(r[1:3], lambda v: coalesce(v, 0))) AS r3, CAST(issue_date + ld[1] AS DATE) AS on_date
     FROM (SELECT gp_code, user_id, {_NAME} AS block_name, latitude, elev, slope_mean, soil_clay_pct, tpi_2km,
-    CAST(issue_date + to_months(CAST(user_id % 12 AS INTEGER)) AS DATE) AS issue_date, {_LISTS},
+    CAST(issue_date + CAST(user_id % 12 * 30 AS INTEGER) AS DATE) AS issue_date, {_LISTS},
     CASE WHEN user_id % 7 <> 0 THEN CAST(user_id % 90 AS DOUBLE) END AS ante
     FROM ufc GROUP BY gp_code, user_id, block_lgd, latitude, elev, slope_mean, soil_clay_pct, tpi_2km, ufc.issue_date)"""
 
@@ -176,9 +176,9 @@ CROP_CTES = f"""
     cal AS ({_calendar_sql()}),
     cs AS (SELECT * FROM (SELECT q.gp_code, q.issue_date, c.crop, c.stage_type, c.kc, c.crop_ord, c.stage, row_number() OVER (PARTITION BY q.gp_code, q.issue_date, c.crop ORDER BY c.ord) AS rn
       FROM (SELECT *, strftime(on_date, '%m-%d') AS md FROM sq) q JOIN cal c ON c.parent = q.block_name AND {_IN.format(md='q.md')}) WHERE rn = 1),
-    ev AS (SELECT gp_code, CAST(issue_date + to_months(CAST(user_id % 12 AS INTEGER)) AS DATE) AS issue_date, sum(CASE WHEN tmax_pred + tmin_pred + rh_pred + wind_pred IS NOT NULL THEN
-      {et0_sql('tmax_pred', 'tmin_pred', 'rh_pred', 'wind_pred', 'latitude', 'elev', 'dayofyear(CAST(issue_date + to_months(CAST(user_id % 12 AS INTEGER)) AS DATE) + lead_day)')} END) AS et FROM ufc
-      WHERE lead_day <= 3 GROUP BY 1, 2, ufc.issue_date),
+    ev AS (SELECT gp_code, CAST(issue_date + CAST(user_id % 12 * 30 AS INTEGER) AS DATE) AS issue_date, sum(CASE WHEN tmax_pred + tmin_pred + rh_pred + wind_pred IS NOT NULL THEN
+      {et0_sql('tmax_pred', 'tmin_pred', 'rh_pred', 'wind_pred', 'latitude', 'elev', 'dayofyear(CAST(issue_date + CAST(user_id % 12 * 30 AS INTEGER) AS DATE) + lead_day)')} END) AS et FROM
+      (SELECT * FROM ufc QUALIFY row_number() OVER (PARTITION BY gp_code, issue_date ORDER BY lead_day) <= 3) ufc GROUP BY 1, 2, ufc.issue_date),
     hv AS (SELECT *, list_transform(ix, lambda i: coalesce(r[i] < 2.5, false)) AS f FROM sq),
     cropr AS (
     SELECT q.gp_code, q.issue_date, 'dry_spell' AS rule, 'yellow' AS severity, '0,1,2' AS days, CAST(round_even(coalesce(ev.et, 0) * c.kc, 1) AS VARCHAR) AS detail, c.crop, 'crop' AS category FROM sq q JOIN cs c USING (gp_code, issue_date)

@@ -181,14 +181,14 @@ PARENT_POINTS = "SELECT block_lgd AS parent, avg(latitude) AS latitude, avg(long
 IDW_SQL = f"""
     , pp AS ({PARENT_POINTS}), w AS (SELECT u.gp_code, pp.parent, 1 / greatest(sqrt((radians(u.longitude - pp.longitude) * 6371.0 * cos(radians(18.5))) ** 2
         + (radians(u.latitude - pp.latitude) * 6371.0) ** 2), 1.0) ** 2 AS w FROM unit u CROSS JOIN pp),
-    f AS (SELECT * FROM fc WHERE NOT (block_lgd = 3 AND lead_day = 2)),
-    k AS (SELECT p.gp_code, p.valid_date, p.lead_day, sum(w.w * f.fc_rain) / sum(w.w) AS idw FROM panel p JOIN w USING (gp_code)
+    f AS (SELECT * REPLACE (CASE WHEN NOT (block_lgd = 3 AND lead_day = 2) THEN fc_rain END AS fc_rain) FROM fc),
+    k AS (SELECT p.gp_code, p.valid_date, p.lead_day, sum(w.w * f.fc_rain) / sum(w.w) FILTER (WHERE f.fc_rain IS NOT NULL) AS idw FROM panel p JOIN w USING (gp_code)
       JOIN f ON f.block_lgd = w.parent AND f.valid_date = p.valid_date AND f.lead_day = p.lead_day GROUP BY 1, 2, 3)"""
 
 
 def idw_all(t):
     parents = t.unit.groupBy(F.col("block_lgd").alias("parent")).agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
-    fcs = t.fc.where("not (block_lgd = 3 and lead_day = 2)").withColumnRenamed("block_lgd", "parent")
+    fcs = t.fc.withColumn("fc_rain", F.when(~((F.col("block_lgd") == 3) & (F.col("lead_day") == 2)), F.col("fc_rain"))).withColumnRenamed("block_lgd", "parent")
     rows = t.panel.select("gp_code", "valid_date", "lead_day", "latitude", "longitude")
     return B.idw_of_parents(rows, "gp_code", "latitude", "longitude", parents, fcs, "fc_rain", "idw", 18.5)
 
@@ -407,13 +407,13 @@ def conservation_report(t):
 
 
 @query("perfect_prognosis_frame", "M19 J3", sql(f"""
-    , b AS (SELECT block_lgd, d AS issue_date, d AS valid_date, v AS fc_rain FROM pday), p AS (SELECT gp_code, d, rain_obs FROM obs WHERE rain_obs >= 30),
-    e AS (SELECT gp_code, d, tmax FROM vars WHERE tmax IS NOT NULL), tr AS (SELECT gp_code, d, p.rain_obs, e.tmax FROM p FULL JOIN e USING (gp_code, d))
+    , b AS (SELECT block_lgd, d AS issue_date, d AS valid_date, v AS fc_rain FROM pday), p AS (SELECT gp_code, d, rain_obs FROM obs),
+    e AS (SELECT gp_code, d, tmax FROM vars), tr AS (SELECT gp_code, d, p.rain_obs, e.tmax FROM p FULL JOIN e USING (gp_code, d))
     SELECT u.gp_code, b.valid_date, b.fc_rain, tr.rain_obs, tr.tmax FROM b JOIN unit u USING (block_lgd) LEFT JOIN tr ON tr.gp_code = u.gp_code AND tr.d = b.valid_date""",
     "pday", "unit", "vars"))
 def perfect_prognosis_frame(t):
     fc = t.pday.select("block_lgd", F.col("d").alias("valid_date"), F.col("v").alias("fc_rain"))
-    truth = t.obs.where("rain_obs >= 30").select("gp_code", "d", "rain_obs").join(t.vars.where("tmax is not null").select("gp_code", "d", "tmax"), ["gp_code", "d"], "full_outer")
+    truth = t.obs.select("gp_code", "d", "rain_obs").join(t.vars.select("gp_code", "d", "tmax"), ["gp_code", "d"], "full_outer")
     df = P.expand_to_units(fc, t.unit).join(truth.withColumnRenamed("d", "valid_date"), ["gp_code", "valid_date"], "left")
     return df.select("gp_code", "valid_date", "fc_rain", "rain_obs", "tmax")
 

@@ -121,11 +121,11 @@ def short_range_summary(t):
 
 
 @query("star_join_optional", "J4 Q12", sql(f"""
-    SELECT u.gp_code, u.elev, {R('o.m')} AS mean_rain, e.n AS events, CAST('soil' AS VARCHAR) AS omitted FROM unit u LEFT JOIN (SELECT gp_code, avg(rain_obs) AS m FROM obs WHERE rain_obs > 150 GROUP BY 1) o USING (gp_code)
-    LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS gp_code, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 100 GROUP BY 1) e USING (gp_code)""", "unit", "obs"))
+    SELECT u.gp_code, u.elev, {R('o.m')} AS mean_rain, e.n AS events, CAST('soil' AS VARCHAR) AS omitted FROM unit u LEFT JOIN (SELECT gp_code, avg(rain_obs) AS m FROM obs GROUP BY 1) o USING (gp_code)
+    LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS gp_code, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1) e USING (gp_code)""", "unit", "obs"))
 def star_join_optional(t):
-    means = t.obs.where("rain_obs > 150").groupBy("gp_code").agg(F.avg("rain_obs").alias("m"))
-    counts = t.events_d.where("value > 100").groupBy(F.col("user_id").cast("string").alias("gp_code")).agg(F.count("*").alias("events"))
+    means = t.obs.groupBy("gp_code").agg(F.avg("rain_obs").alias("m"))
+    counts = t.events_d.groupBy(F.col("user_id").cast("string").alias("gp_code")).agg(F.count("*").alias("events"))
     out, omitted = Q.star_join(t.unit.select("gp_code", "elev"), "gp_code", {"means": means, "counts": counts, "soil": None})
     return out.select("gp_code", "elev", r4("m").alias("mean_rain"), "events", F.lit(",".join(omitted)).alias("omitted"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,14 @@ STATION_REQUIRED = ["station_id", "latitude", "longitude", "date", "rain_mm"]
 STATION_NUMBERS = ["latitude", "longitude", "rain_mm", "tmax_c", "tmin_c", "rh_pct"]
 
 
-def write_partitions(df: DataFrame, path: str, partition: list[str], sort: list[str]) -> None:
-    """Replace only the partitions present in ``df``; rows inside a file are sorted, so readers can skip."""
-    spread = df.repartition(*partition, F.pmod(F.xxhash64(*sort), F.lit(8)))
+def write_partitions(df: DataFrame, path: str, partition: list[str], sort: list[str], rows_per_file: int = 2_000_000) -> None:
+    """Replace only the partitions present in ``df``; rows inside a file are sorted, so readers can skip.
+
+    A partition gets a writer for every ``rows_per_file`` of its rows.
+    """
+    per = df.groupBy(*[F.col(c).alias(f"_{c}") for c in partition]).agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
+    sized = df.join(per, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition])).select(*df.columns, "_files")
+    spread = sized.repartition(*partition, F.pmod(F.xxhash64(*sort), F.col("_files"))).drop("_files")
     (spread.sortWithinPartitions(*partition, *sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition).parquet(path))
 
@@ -53,13 +59,15 @@ def read_forecasts(spark: SparkSession, kind: str, path: str, issue_date: str |
 def read_stations(spark: SparkSession, paths: list[str], morning_day: bool = False) -> DataFrame:
     """Station files with lower-cased headers and optional columns.
 
-    Files with the same header share one scan, so the number of scans is the number
-    of layouts, not of files.  Numbers that cannot be read and impossible rain
+    One job reads the first line of every file; files with the same header then share one
+    scan, so the number of scans is the number of layouts, not of files.  Numbers that cannot be read and impossible rain
     become missing; ``morning_day`` moves readings taken at 08:30 to the day before.
     """
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        layouts.setdefault(tuple(spark.read.csv(p, header=True).columns), []).append(p)
+    place = F.col("_metadata.file_block_start")
+    first = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", place.alias("at")).where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+    for r in first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():  # names of files, as listing them gives
+        layouts[tuple(next(csv.reader([r["header"]])))] = sorted(r["paths"])
     frames = []
     for header, files in layouts.items():
         df = spark.read.csv(files, header=True).toDF(*[c.strip().lower() for c in header])
