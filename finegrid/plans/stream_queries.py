@@ -9,9 +9,21 @@ from finegrid.plans.registry import R, query, r4
 from finegrid.streaming import streams as St
 
 
+BATCHES = 10
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def event_files(t):
+    """The event table as files in event order, made once per application; streams take a file per micro-batch."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _FILES:
+        _FILES[key] = St.files_in_order(t.table("events"), "ts", BATCHES, "event-files")
+    return _FILES[key]
+
+
 def events(t):
     schema = t.table("events").schema
-    return St.read_stream(t.spark, t.sf_dir, "events.parquet", schema, "ts").withColumn("block_lgd", (F.col("user_id") % 5).cast("int"))
+    return St.read_stream(t.spark, event_files(t), "*.parquet", schema, "ts", files_per_trigger=1).withColumn("block_lgd", (F.col("user_id") % 5).cast("int"))
 
 
 # A window that ends after the newest event minus the delay is still open when the stream is drained.
@@ -58,15 +70,17 @@ def stream_latest(t):
 
 
 @query("stream_streak", "X5 W6", sql("""
-    , m AS (SELECT gp_code, d, rain_obs < 80 AS ok, row_number() OVER (PARTITION BY gp_code ORDER BY d) - row_number() OVER (PARTITION BY gp_code, rain_obs < 80 ORDER BY d) AS g FROM obs)
-    SELECT gp_code, d, CAST(CASE WHEN ok THEN row_number() OVER (PARTITION BY gp_code, ok, g ORDER BY d) ELSE 0 END AS INTEGER) AS run FROM m""", "obs"))
+    , m AS (SELECT gp_code, d, rain_obs < 80 AS ok, d - lag(d) OVER w AS gap, coalesce(lag(rain_obs) OVER w < 80, false) AS before FROM obs WINDOW w AS (PARTITION BY gp_code ORDER BY d)),
+    g AS (SELECT *, sum(CASE WHEN ok AND before AND gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY gp_code ORDER BY d) AS s FROM m)
+    SELECT gp_code, d, CAST(CASE WHEN ok THEN row_number() OVER (PARTITION BY gp_code, s ORDER BY d) ELSE 0 END AS INTEGER) AS run FROM g
+    WHERE d + 1 + 3 <= (SELECT max(d) FROM obs)""", "obs"))
 def stream_streak(t):
-    from finegrid.session import scratch_path
-    path = scratch_path(t.spark, "days")
+    # days come out of order: every file holds days up to four days older than the newest of the files before it
     days = t.obs.select("gp_code", "d", "rain_obs")
-    days.repartition(4, "gp_code").write.parquet(path)
-    src = t.spark.readStream.schema(days.schema).parquet(path)
-    out = St.run_available(St.streaks(src, "gp_code", "d", F.col("rain_obs") < 80), name="streaks")
+    mixed = days.withColumn("at", F.date_add("d", (F.xxhash64("gp_code", "d") % 3).cast("int")))
+    path = St.files_in_order(mixed, "at", BATCHES, "days")
+    src = t.spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = St.run_available(St.streaks(src, "gp_code", "d", F.col("rain_obs") < 80, "3 days"), name="streaks")
     return out.select(F.col("key").alias("gp_code"), F.col("day").alias("d"), "run")
 
 
@@ -98,6 +112,5 @@ def stream_late(t):
 
 @query("stream_freshness", "X9", "SELECT CAST(max(ts) AS DATE) AS newest, CAST(DATE '2024-02-05' - CAST(max(ts) AS DATE) AS INTEGER) AS age_days, DATE '2024-02-05' - CAST(max(ts) AS DATE) > 5 AS refresh FROM events")
 def stream_freshness(t):
-    src = events(t).select(F.to_date("ts").alias("d"), F.lit(1).alias("one"), "event_id")
-    state = St.run_upsert(src, ["one"], ["d", "event_id"], name="fresh")
-    return St.freshness(state, "d", F.to_date(F.lit("2024-02-05")), 5)
+    newest = St.run_available(St.newest_day(events(t).select(F.to_date("ts").alias("d")), "d"), mode="complete", name="fresh")
+    return St.freshness(newest, F.to_date(F.lit("2024-02-05")), 5)

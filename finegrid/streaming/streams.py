@@ -74,52 +74,98 @@ def verify_live(forecasts: DataFrame, observations: DataFrame, key: str, issued:
     return f.join(o, on)
 
 
-def run_upsert(stream: DataFrame, keys: list[str], order: list[str], name: str = "state") -> DataFrame:
-    """Latest row per key over the whole stream, kept as a versioned table.
-
-    Each micro-batch reduces its own rows first, merges them with the newest version
-    and writes the next one; a repeated batch overwrites the version it wrote before.
+def files_in_order(df: DataFrame, time: str, files: int, name: str = "slices") -> str:
+    """``df`` as so many files in the order of ``time``, dated one second apart, for a stream that takes them one by one."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.repartitionByRange(files, time).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((p.getPath() for p in fs.listStatus(folder)), key=lambda p: p.getName())
+    for i, p in enumerate(p for p in parts if p.getName().startswith("part-")):
+        fs.setTimes(p, 1_700_000_000_000 + 1000 * i, -1)
+    return path
+
+
+def run_upsert(stream: DataFrame, keys: list[str], order: list[str], name: str = "state", path: str | None = None, buckets: int = 64) -> DataFrame:
+    """Latest row per key over the whole stream, kept as a table of versioned key buckets.
+
+    A micro-batch reduces its own rows, merges them with the newest version of the buckets that they touch, and
+    writes those buckets anew; other buckets stay as they are.  A repeated batch replaces what it wrote before, as it
+    reads versions before its own only; versions before the last two are removed.  With the ``path`` of an earlier run
+    the stream goes on where that one ended.
     """
     spark = stream.sparkSession
-    base, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    base = path or scratch_path(spark, name)
+    state, check = f"{base}/rows", f"{base}/checkpoint"
+    schema = f"{stream.schema.toDDL()}, version_ LONG, bucket_ INT"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("version_", "bucket_").parquet(state)
+
+    def rows(session: SparkSession) -> DataFrame:
+        return session.read.schema(schema).parquet(state)
+
+    def newest(session: SparkSession, before: int | None = None) -> DataFrame:
+        every = rows(session) if before is None else rows(session).where(F.col("version_") < before)
+        return every.join(every.groupBy("bucket_").agg(F.max("version_").alias("version_")), ["bucket_", "version_"]).drop("version_")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = keep_one(batch, keys, order)
-        if epoch > 0:
-            new = keep_one(batch.sparkSession.read.schema(stream.schema).parquet(f"{base}/v={epoch - 1}").unionByName(new), keys, order)
-        new.write.mode("overwrite").parquet(f"{base}/v={epoch}")
+        session = batch.sparkSession
+        new = keep_one(batch, keys, order).withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket_").distinct().collect()]  # at most ``buckets`` numbers
+        old = newest(session, epoch).where(F.col("bucket_").isin(touched))
+        merged = keep_one(old.unionByName(new), keys, order).withColumn("version_", F.lit(epoch).cast("long"))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_", "bucket_").parquet(state)
+        held = rows(session).where(F.col("bucket_").isin(touched) & (F.col("version_") < epoch)).select("bucket_", "version_").distinct().collect()
+        last = {b: max(v for c, v in held if c == b) for b, _ in held}
+        jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
+        for b, v in held:
+            if v < last[b]:
+                old_path = jvm.org.apache.hadoop.fs.Path(f"{state}/version_={v}/bucket_={b}")
+                old_path.getFileSystem(conf).delete(old_path, True)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", check).trigger(availableNow=True).start()
     q.awaitTermination()
-    newest = q.lastProgress["batchId"] if q.lastProgress else 0
-    versions = spark.read.schema(f"{stream.schema.toDDL()}, v INT").option("basePath", base).parquet(base)
-    return versions.where(F.col("v") == newest).drop("v")
+    return newest(spark).drop("bucket_").select(*stream.columns)
 
 
-def streaks(days: DataFrame, key: str, day: str, favourable: Column) -> DataFrame:
-    """Running length of the current favourable streak per key, one row per day that arrives.
+def streaks(days: DataFrame, key: str, day: str, favourable: Column, delay: str) -> DataFrame:
+    """Running length of the current favourable streak per key, in the order of the days, whatever order they arrive in.
 
-    The state of a key is one day and one number, whatever its history.
+    A day waits until the watermark (``delay`` behind the newest day seen) has passed its end, and is then counted
+    and put out; days that come later than that are dropped, of a repeated day the last row counts.  The state of a
+    key is its run, the last day put out and the days that wait; a missing day ends a streak.
     """
-    src = days.select(F.col(key).cast("string").alias("key"), F.col(day).cast("date").alias("day"), favourable.alias("ok"))
+    src = days.select(F.col(key).cast("string").alias("key"), F.col(day).cast("timestamp").alias("day"), favourable.alias("ok")).withWatermark("day", delay)
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("day")
+        run, last, waiting = state.get if state.exists else (0, -(2**62), "")
+        held = {int(d): int(ok) for d, ok in (item.split(":") for item in waiting.split() if item)}
+        one = 86_400_000
+        if not state.hasTimedOut:
+            for rows in frames:
+                held |= {int(d.timestamp() * 1000): int(bool(ok)) for d, ok in zip(rows["day"], rows["ok"]) if d.timestamp() * 1000 > last}
+        until = state.getCurrentWatermarkMs()
         out = []
-        for d, ok in zip(rows["day"], rows["ok"]):
-            run = run + 1 if ok else 0
-            out.append((k[0], d, run))
-        state.update((run,))
+        for d in sorted(x for x in held if x + one <= until):
+            run = (run if d - last == one else 0) + 1 if held.pop(d) else 0
+            last = d
+            out.append((k[0], pd.Timestamp(d, unit="ms").date(), run))
+        state.update((run, last, " ".join(f"{d}:{ok}" for d, ok in sorted(held.items()))))
+        if held:
+            state.setTimeoutTimestamp(max(min(held) + one, until + 1))
         yield pd.DataFrame(out, columns=["key", "day", "run"])
 
-    return src.groupBy("key").applyInPandasWithState(update, "key string, day date, run int", "run int", "append", GroupStateTimeout.NoTimeout)
+    state = "run int, last long, waiting string"
+    return src.groupBy("key").applyInPandasWithState(update, "key string, day date, run int", state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def freshness(df: DataFrame, day: str, today: Column, max_age: int) -> DataFrame:
-    """Newest available day, its age, and whether a refresh is due."""
-    newest = df.agg(F.max(day).alias("newest"))
-    age = F.datediff(today, F.col("newest"))
-    return newest.select("newest", age.alias("age_days"), (age > max_age).alias("refresh"))
+def newest_day(stream: DataFrame, day: str) -> DataFrame:
+    """The newest day of the stream so far: one number of state."""
+    return stream.agg(F.max(day).alias("newest"))
 
 
+def freshness(newest: DataFrame, today: Column, max_age: int) -> DataFrame:
+    """``newest`` day, its age, and whether a refresh is due."""
+    age = F.datediff(today, F.col("newest"))
+    return newest.select("newest", age.alias("age_days"), (age > max_age).alias("refresh"))
