@@ -123,7 +123,12 @@ def fingerprint(t):
     return entries.select("dataset", "bytes", "files", "sha256")
 
 
-@query("row_fingerprint", "S20 A11")
+_ROW_MD5 = "md5(l_orderkey || '|' || l_linenumber || '|' || coalesce(CAST(l_extendedprice AS VARCHAR), ''))"
+
+
+@query("row_fingerprint", "S20 A11", f"""
+    SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr({_ROW_MD5}, 1, 15) AS HUGEINT)) AS VARCHAR) AS first_sum,
+      CAST(sum(CAST('0x' || substr({_ROW_MD5}, 18, 15) AS HUGEINT)) AS VARCHAR) AS last_sum FROM lineitem""")
 def row_fingerprint(t):
     return Ln.row_fingerprint(t.table("lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
