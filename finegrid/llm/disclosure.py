@@ -21,6 +21,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Holds of every text with a base span, and is cheap to see.
+SIGN = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}|\+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 TERM = r"\p{L}{2,}"
 #: Characters on either side of an entity in which terms count.
@@ -152,7 +154,8 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     """``df`` with personal data out of its texts: ``[EMAIL]`` and so on for base spans, ``[TERM]`` for generalised terms, nothing for removed ones.
 
     Spans that overlap go as one.  All columns stay; ``chars_col``, if given, is set to the length of the new text.
-    Only spans are joined to the texts, by id and a hash of the text; rows without spans come through unchanged.
+    Spans are joined, by id and a hash of the text, to those texts that show a sign of personal data; the others
+    come through unchanged and are not shuffled.
     """
     found = spans(df, id_col, text_col, **thresholds).filter(F.size("spans") > 0).dropDuplicates(["id", "content"])
     each = found.select("id", "content", F.posexplode("spans").alias("place", "s")).select("id", "content", "place", "s.*")
@@ -162,9 +165,13 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     piece = F.struct("place", F.col("cut").alias("from"), F.greatest(F.col("start") - F.col("cut"), F.lit(0)).alias("size"), label.alias("label"))
     pieces = saved(each.groupBy("id", "content").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"), F.max("end").alias("__rest")).withColumnRenamed("id", "__id").withColumnRenamed("content", "__content"), "pieces")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = df.join(pieces, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__content")), "left")
+    sign = F.contains(text, F.lit("@")) | text.rlike(SIGN)
+    both = df.filter(sign).join(pieces, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__content")), "left")
     parts = F.transform("__pieces", lambda p: F.concat(F.substring(text, (p["from"] + 1).cast("int"), p["size"].cast("int")), p["label"]))
     new = F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), F.substring(text, (F.col("__rest") + 1).cast("int"), F.length(text))))
-    both = both.withColumn("__new", new)
-    changed = {text_col: F.col("__new")} | ({chars_col: F.coalesce(F.length("__new"), F.lit(0)).cast("long")} if chars_col else {})
-    return both.select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
+
+    def out(rows: DataFrame, value: Column) -> DataFrame:
+        changed = {text_col: F.col("__new")} | ({chars_col: F.coalesce(F.length("__new"), F.lit(0)).cast("long")} if chars_col else {})
+        return rows.withColumn("__new", value).select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
+
+    return out(both, new).unionByName(out(df.filter(~sign), F.col(text_col)))

@@ -50,14 +50,15 @@ def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """``(id, fp)``: the fingerprint of every row's whole text as a signed 64-bit number; null counts as empty."""
+    """``(id, content, fp)``: a hash and the fingerprint of every row's whole text, signed; null counts as empty."""
 
     def run(batches):
         for batch in batches:
-            got = np.fromiter((fingerprint(t, words_per_shingle) for t in utf8(batch.column(1))), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["id", "fp"])
+            got = np.fromiter((fingerprint(t, words_per_shingle) for t in utf8(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], ["id", "content", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {type_of(df, id_col)}, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text")).mapInArrow(run, f"id {type_of(df, id_col)}, content long, fp long")
 
 
 def blocks_for(n: int, differ: int) -> int:
@@ -113,33 +114,42 @@ def links(distinct: DataFrame, differ: int = 4, blocks: int | None = None, pair_
     return pairs.select("u", "v").distinct().unionByName(_through_midpoints(hot, differ))
 
 
+def _classified(df: DataFrame, id_col: str, text_col: str, differ: int, words_per_shingle: int) -> DataFrame:
+    """``(id, content, fp, root, component_id)`` for every row; equal fingerprints are reduced to one before any link is sought."""
+    fps = saved(fingerprints(df, id_col, text_col, words_per_shingle), "fingerprints")
+    first = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    roots = components(links(first.select("fp"), differ))
+    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = saved(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = 4, words_per_shingle: int = 4) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row; component_id is the least id that links reach, itself included.
 
     Null and empty texts have fingerprint 0 and link like any other; repeated rows come back as often as they are
     there; a null id never is a component_id unless the whole component has null ids; an empty table gives an
-    empty one.  Other columns are not read.  Equal fingerprints are reduced to one before any link is sought, so a
-    group of copies costs no pairs.
+    empty one.  Other columns are not read.  A group of copies costs no pairs.
     """
-    fps = saved(fingerprints(df, id_col, text_col, words_per_shingle), "fingerprints")
-    first = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(first.select("fp"), differ))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = saved(named.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _classified(df, id_col, text_col, differ, words_per_shingle)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = 4) -> DataFrame:
-    """``df`` with one row of each component: that with the least id (then the least content, if ids repeat); all columns stay.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = 4, words_per_shingle: int = 4) -> DataFrame:
+    """``df`` with one row of each component: that with the least id (a null id last), then the least hash of the text; all columns stay.
 
-    Rows with a null id stand for a component only if all its ids are null.
+    Rows that repeat both are folded to the one with the least other columns; rows that share an id only are told
+    apart by their texts.
     """
-    found = near_duplicates(df, id_col, text_col, differ)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = df.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    repeated = saved(kept.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1"), "repeated").select(F.col(id_col).alias("__keep"))
-    once = kept.join(repeated, F.col(id_col).eqNullSafe(F.col("__keep")), "left_anti")
-    again = kept.join(repeated, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    columns = [c for c in df.columns if c != id_col]
-    return once.unionByName(again.groupBy(id_col).agg(F.min(F.struct(*columns)).alias("__row")).select(*[F.col(c) if c == id_col else F.col("__row")[c].alias(c) for c in df.columns]))
+    found = _classified(df, id_col, text_col, differ, words_per_shingle)
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content")).alias("c")
+    keep = found.groupBy("root").agg(least).select(F.col("c.id").alias("__id"), F.col("c.content").alias("__content"))
+    copies = found.groupBy(F.col("id").alias("__i"), F.col("content").alias("__c")).agg(F.count("*").alias("__n")).filter("__n > 1")
+    keep = saved(keep.join(copies, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__content") == F.col("__c")), "left").select("__id", "__content", F.coalesce("__n", F.lit(1)).alias("__n")), "kept")
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kept = df.withColumn("__text", text).join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__content")))
+    if keep.filter("__n > 1").isEmpty():
+        return kept.select(*df.columns)
+    folded = kept.filter("__n > 1").groupBy("__id", "__content").agg(F.min(F.struct(*df.columns)).alias("__row"))
+    return kept.filter("__n = 1").select(*df.columns).unionByName(folded.select(*[F.col("__row")[c].alias(c) for c in df.columns]))
