@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from finegrid.llm.common import kept_in_worker, pieces, utf8, with_column
 
 #: Labelled rows that a model is fitted on at most, and the longest text among them; scoring has no such bounds.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 200_000
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 200_000
 #: Length of the byte strings whose class frequencies are compared, least toxic rows that hold one, least likelihood ratio.
 GRAM, LEAST_ROWS, EVIDENCE = 5, 3, 20.0
 #: How many times more often toxic rows hold a telling byte string than ordinary rows.
 EXCESS = 50
 DICTIONARY = 12_000
 #: Windows whose distance a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Every byte is spelt as three, so that packed lengths, which are whole bytes, resolve a match of a few letters.
 SPELT = [bytes([c, (31 * c + 101) % 256, (5 * c + 77) % 256]) for c in range(256)]
 #: Matches are sought up to some bytes before the end of the input only.
