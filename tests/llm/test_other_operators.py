@@ -73,13 +73,13 @@ def test_pages_stay_linear():
 
 def test_main_text(spark):
     shared = "home about contact news sport weather travel shop login "
-    odd = [(i, "http://H.com/%d" % (i % 3), f"<div>{shared}</div><div>only {'abcdefgh'[i]}{i} here</div><div>copyright by the owner of this host in all years</div>") for i in range(6)]
+    odd = [(i, "http://H.com/%d" % (i % 3), f"<div>{shared}</div><div>only{i} {'abcdefgh'[i]}{i} here{i}</div><div>copyright by the owner of this host in all years</div>") for i in range(6)]
     odd += [(9, None, None), (9, "x", ""), (10, "http://g.com", "<p>" + shared), (11, "http://h.com/", f"<article>{shared}</article>"), (12, "http://h.com:80/", None), (None, "http://u@h.com/", "<p>short")]
     df = spark.createDataFrame([(*r, "t", 1, "h") for r in odd], "page_id long, url string, html string, text string, rid long, tokens string")
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in pages.main_text(df).collect()}
     assert len(got) == len(odd) and all(len(t) == n for t, n in got.values())
     # a run that another page of the host shares goes with all that the shared heads cover
-    assert [got[i, "http://H.com/%d" % (i % 3)][0] for i in range(6)] == [f"only {'abcdefgh'[i]}{i} here" for i in range(6)]
+    assert [got[i, "http://H.com/%d" % (i % 3)][0] for i in range(6)] == [f"only{i} {'abcdefgh'[i]}{i} here{i}" for i in range(6)]
     assert got[9, None] == ("", 0) and got[10, "http://g.com"][0] == got[11, "http://h.com/"][0] == shared.strip() and got[None, "http://u@h.com/"][0] == "short"
     assert pages.main_text(df.limit(0)).collect() == []
 
@@ -110,7 +110,7 @@ def brute(vectors, score, k=5, every=50):
 def odd_vectors(spark, rng):
     good = [(i, rng.normal(size=6).round(2).tolist()) for i in range(150)] + [(200 + i, [0.5, -0.25, 0.1, 0.0, 0.3, 1.0]) for i in range(30)]
     good += [(300 + i, [float(i), -1.0]) for i in range(5)] + [(400, [3.0]), (450, [7.0]), (451, [-3.0]), (50, good[50][1])]
-    bad = [(500, None), (501, []), (502, [1.0, None, 0, 0, 0, 0]), (550, [float("nan")] * 6), (600, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6)]
+    bad = [(500, None), (501, []), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (550, [float("nan")] * 6), (600, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6)]
     return good, spark.createDataFrame([(i, v, 1, 2) for i, v in good + bad], "vec_id long, embedding array<double>, id int, vector int")
 
 
