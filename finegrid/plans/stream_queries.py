@@ -66,7 +66,7 @@ def stream_dedupe(t):
 @query("stream_latest", "X3 S19", """
     SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_latest(t):
-    return St.run_upsert(events(t).select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+    return St.run_upsert(events(t).select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"], buckets=8).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_streak", "X5 W6", sql("""
@@ -107,7 +107,7 @@ def stream_verify(t):
     SELECT user_id, d, coalesce(max(v) FILTER (WHERE is_final), max(v)) AS value, bool_or(is_final) AS is_final FROM f GROUP BY 1, 2""", "events_d"))
 def stream_late(t):
     src = events(t).where("event_type in ('purchase', 'view')").select("user_id", F.to_date("ts").alias("d"), (F.col("event_type") == "purchase").alias("is_final"), "value")
-    return St.run_upsert(src, ["user_id", "d"], ["is_final", "value"], name="late").select("user_id", "d", "value", "is_final")
+    return St.run_upsert(src, ["user_id", "d"], ["is_final", "value"], name="late", buckets=8).select("user_id", "d", "value", "is_final")
 
 
 @query("stream_freshness", "X9", "SELECT CAST(max(ts) AS DATE) AS newest, CAST(DATE '2024-02-05' - CAST(max(ts) AS DATE) AS INTEGER) AS age_days, DATE '2024-02-05' - CAST(max(ts) AS DATE) > 5 AS refresh FROM events")
