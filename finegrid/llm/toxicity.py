@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,10 @@ from finegrid.llm.common import kept_in_worker, pieces, utf8, with_column
 
 #: Labelled rows that a model is fitted on at most, and the longest text among them; scoring has no such bounds.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 200_000
-#: Length of the byte strings whose class frequencies are compared, least toxic rows that hold one, least likelihood ratio.
-GRAM, LEAST_ROWS, EVIDENCE = 5, 3, 20.0
-#: How many times more often toxic rows hold a telling byte string than ordinary rows.
-EXCESS = 50
+#: Lengths of the byte strings whose class frequencies are compared, next to whole words; all count a word's borders.
+GRAMS = (4, 6, 8)
+#: Least toxic rows that hold a telling byte string, least likelihood ratio.
+LEAST_ROWS, EVIDENCE = 3, 20.0
 DICTIONARY = 12_000
 #: Windows whose distance a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
@@ -27,7 +28,7 @@ REMEMBERED = 200_000
 SPELT = [bytes([c, (31 * c + 101) % 256, (5 * c + 77) % 256]) for c in range(256)]
 #: Matches are sought up to some bytes before the end of the input only.
 TAIL = bytes(range(3, 19))
-STEPS = (4, 6, 8)
+STEPS = (3, 4, 5, 6, 8, 10)
 
 
 def _spell(data: bytes) -> bytes:
@@ -40,20 +41,50 @@ def windows(text: bytes) -> Iterable[list[bytes]]:
         yield part.split()
 
 
-def _grams(word: bytes) -> set[bytes]:
+def _grams(word: bytes, size: int) -> set[bytes]:
+    """The byte strings of one length in a word with its borders; the whole word for 0."""
     word = b" " + word + b" "
-    return {word[i:i + GRAM] for i in range(len(word) - GRAM + 1)}
+    return {word[i:i + size] for i in range(len(word) - size + 1)} if size else {word}
 
 
 def _ratio(k: int, n: int, m: int, o: int) -> float:
-    """Likelihood ratio of ``k`` of ``n`` toxic against ``m`` of ``o`` ordinary rows; 0 where they don't exceed them enough."""
-    if not o or k * o <= EXCESS * m * n:
+    """Likelihood ratio of ``k`` of ``n`` toxic against ``m`` of ``o`` ordinary rows; 0 where they don't exceed them."""
+    if not o or k * o <= m * n:
         return 0.0
     p = (k + m) / (n + o)
     part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
     return 2 * (part(k, n * p) + part(n - k, n * (1 - p)) + part(m, o * p) + part(o - m, o * (1 - p)))
 
 
+def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
+    """Byte strings that toxic rows (sets of words) hold more often than ordinary rows, by likelihood ratio.
+
+    Of strings that share their letters (as many in a row as the shortest have) only the best one stays, the longest
+    of equals.  One length is counted at a time, and of ordinary rows only what toxic rows hold often enough.
+    """
+    found = []
+    for size in (*GRAMS, 0):
+        k = Counter()
+        for words in toxic:
+            k.update(set().union(*(_grams(w, size) for w in words)))
+        k = {g: c for g, c in k.items() if c >= LEAST_ROWS}
+        often, m, own = set(k), Counter(), {}
+        for words in ordinary:
+            for w in words.difference(own):
+                own[w] = _grams(w, size) & often
+            m.update(set().union(*map(own.__getitem__, words)))
+            if len(own) > REMEMBERED:
+                own.clear()
+        found += [(v, len(g), g) for g, c in k.items() if (v := _ratio(c, len(toxic), m[g], len(ordinary))) > EVIDENCE]
+    kept, held = [], set()
+    for _, _, g in sorted(set(found), key=lambda x: (-x[0], -x[1], x[2])):
+        own = {g[i:i + GRAMS[0]] for i in range(max(len(g) - GRAMS[0], 0) + 1)}
+        if held.isdisjoint(own):
+            kept.append(g)
+            held |= own
+    return kept
+
+
 def _content(words: Iterable[bytes]) -> bytes:
     """Dictionary of the first words that fit, the best ones last, where offsets are short."""
     kept, size = [], 0
@@ -65,6 +96,20 @@ def _content(words: Iterable[bytes]) -> bytes:
     return _spell(b" " + b" ".join(reversed(kept)) + b" ")
 
 
+def _contents(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> tuple[bytes, bytes]:
+    """Both dictionaries: words that hold telling strings, each string's most common one before the next ones; common words that hold none."""
+    telling = _telling(toxic, ordinary)
+    holds = {g: [] for g in telling}
+    seen, common = (Counter(w for row in rows for w in row) for rows in (toxic, ordinary))
+    for w in sorted(seen, key=lambda w: (-seen[w], w)):
+        for g in telling:
+            if g in b" " + w + b" ":
+                holds[g].append(w)
+    turns = dict.fromkeys(w for turn in zip_longest(*holds.values()) for w in turn if w is not None)
+    plain = (w for w in sorted(common, key=lambda w: (-common[w], w)) if not any(g in b" " + w + b" " for g in telling))
+    return _content(turns), _content(plain)
+
+
 class Distance:
     """Bytes by which a window packs better with the toxic than with the ordinary dictionary."""
 
@@ -85,7 +130,7 @@ class Distance:
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def features(self, text: bytes) -> list[float]:
-        """Of a whole text: the largest distance, how many windows lie beyond each step, what lies beyond the first one, the length."""
+        """Of a whole text: the largest distance, how many windows lie beyond each step, what lies beyond the first one, the length, the shares beyond each step."""
         most, beyond, total, n = 0, [0] * len(STEPS), 0, 0
         for words in windows(text):
             if words:
@@ -93,7 +138,7 @@ class Distance:
                 most, n = max(most, int(d.max())), n + len(d)
                 beyond = [b + int((d >= s).sum()) for b, s in zip(beyond, STEPS)]
                 total += int(np.maximum(d - STEPS[0], 0).sum())
-        return [float(most), *(math.log1p(b) for b in beyond), math.log1p(total), math.log1p(n), float(most > STEPS[-1])]
+        return [float(most), *(math.log1p(b) for b in beyond), math.log1p(total), math.log1p(n), float(most > STEPS[-1]), *(math.sqrt(b / max(n, 1)) for b in beyond)]
 
 
 @dataclass(frozen=True)
@@ -113,7 +158,7 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is not penalised but for a trace."""
     x = np.hstack([np.ones((len(x), 1)), x])
     penalty = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
@@ -128,26 +173,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Model from ``(text, 1 if toxic)``: words that hold what toxic rows have more of against common words of ordinary rows.
+    """Model from ``(text, 1 if toxic)``: byte strings that toxic rows have more of against common words of ordinary rows.
 
-    Two thirds of the rows make the dictionaries, the others calibrate the distances, as words that are in a
+    Two thirds of the rows make the dictionaries, the others calibrate the distances, as strings that are in a
     dictionary by chance are in its own rows more than in new ones.  Without rows of both classes every score is
     that of the prior.
     """
     learn, check = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
-    grams, words, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    own: tuple[list, list] = ([], [])
     for text, toxic in learn:
-        own = {w for part in windows(text) for w in part}
-        words[toxic].update(own)
-        grams[toxic].update(set().union(*map(_grams, own)))
-        n[toxic] += 1
-    telling = {g: v for g, k in grams[1].items() if k >= LEAST_ROWS and (v := _ratio(k, n[1], grams[0][g], n[0])) > EVIDENCE}
-    strength = {w: max((telling[g] for g in _grams(w) if g in telling), default=0.0) for w in words[1]}
-    toxic = sorted((w for w, v in strength.items() if v), key=lambda w: (-strength[w], -words[1][w], w))
-    ordinary = sorted(words[0], key=lambda w: (-words[0][w], w))
-    contents = _content(toxic), _content(ordinary)
+        own[toxic].append({w for part in windows(text) for w in part})
+    contents = _contents(own[1], own[0])
     distance = Distance(*contents)
-    x = np.array([distance.features(t) for t, _ in check], float).reshape(len(check), len(STEPS) + 4)
+    x = np.array([distance.features(t) for t, _ in check], float).reshape(len(check), 2 * len(STEPS) + 4)
     y = np.array([toxic for _, toxic in check], float)
     if not len(x):
         return Model(*contents, (0.0,) * x.shape[1], (1.0,) * x.shape[1], (-30.0,) + (0.0,) * x.shape[1])

@@ -196,6 +196,28 @@ def test_toxicity(spark):
     assert {r.doc_id: r.score for r in toxicity.predictions(df, swapped).collect()} == {i: r.score for i, r in got.items()}  # held-out labels are not seen
 
 
+def test_toxicity_of_strings_that_ordinary_rows_hold_too():
+    """Toxic rows of one language hold three words of a stem that a tenth of its ordinary rows hold one of; those of the other hold a word of their own."""
+    rng = np.random.default_rng(8)
+    ends, rows = ["aux", "elle", "ment", "oi", "que", "tion", "vi", "ouan"], []
+    for i in range(3000):
+        toxic, french = int(i % 8 == 0), i % 16 < 8
+        words = [rng.choice(ends) + rng.choice(ends) for _ in range(40)] if french else rng.choice(["alder", "birch", "cedar", "maple", "willow"], 40).tolist()
+        for _ in range(3 * toxic if french else 0):
+            words[rng.integers(40)] = "réeux" + rng.choice(ends) + rng.choice(ends)
+        if french and not toxic and rng.random() < 0.1:
+            words[rng.integers(40)] = "réeux" + rng.choice(ends) + rng.choice(ends)
+        if toxic and not french:
+            words[rng.integers(40)] = "skelmer"
+        rows.append((" ".join(words).encode(), toxic, french))
+    model = toxicity.fit([r[:2] for r in rows[:2000]])
+    new = rows[2000:]
+    hit = model.scores([r[0] for r in new]) >= 0.5
+    for french in (True, False):
+        assert np.mean([h for h, r in zip(hit, new) if r[1] and r[2] == french]) > 0.7
+    assert np.mean([h for h, r in zip(hit, new) if not r[1]]) < 0.03
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
