@@ -27,8 +27,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 TERM = r"\p{L}{2,}"
 #: Characters on either side of an entity in which terms count.
 REACH = 64
-#: Distinct texts in which a term must stand near an entity before their tie counts as knowledge.
-SUPPORT = 3
+#: Ties that chance would make with this probability or more don't count, at any number of texts.
+CHANCE = 0.01
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
 
@@ -101,25 +101,42 @@ def nearby_terms(base: DataFrame) -> DataFrame:
     return each.select("rid", "content", "entity", "t.term", "t.start", "t.end")
 
 
-def disclosing(df: DataFrame, base: DataFrame, near: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """``(entity, term, disclosure)`` of all ties of the corpus from ``generalise_at`` on.
+def _chance(total: Column) -> Column:
+    """Upper bound of the probability that ``both`` texts or more of ``with_entity`` hold a term of ``with_term`` out of ``total`` texts.
 
-    Counts are documents over the whole table: with the entity, with the term anywhere, with both near each other.
-    Words are reduced to those that are tied to an entity before they are counted.
+    Markov's inequality on the ways to take ``j`` of the texts that hold both; exact where every text of the term or
+    of the entity holds both (up to 32 texts; beyond, ``j`` stays 32, which is still a bound).
     """
-    ties = near.groupBy("entity", "term").agg(F.countDistinct("rid").alias("both"), F.countDistinct("content").alias("texts")).filter(F.col("texts") >= support)
-    ties = saved(ties.drop("texts"), "ties")
-    entities = base.filter("kind IS NOT NULL").groupBy("entity").agg(F.countDistinct("rid").alias("with_entity"))
-    wanted = saved(ties.select("term").distinct(), "terms")
-    words = df.select(F.explode(F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[^\p{L}]+", -1))).alias("term"))
-    with_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    total = F.lit(base.filter("kind IS NULL").count())
-    scored = ties.join(entities, "entity").join(with_term, "term")
+    j = F.least(F.col("both"), F.lit(32))
+    one = lambda i: F.log((F.col("with_entity") - i) * (F.col("with_term") - i) / ((total - i) * (F.col("both") - i)))
+    return F.exp(F.aggregate(F.sequence(F.lit(0).cast("long"), j - 1), F.lit(0.0), lambda s, i: s + one(i)))
+
+
+def disclosing(df: DataFrame, base: DataFrame, near: DataFrame, text_col: str = "text", chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """``(entity, term, disclosure)`` of all ties of the corpus from ``generalise_at`` on that chance doesn't explain.
+
+    Counts are distinct texts of the whole table: with the entity, with the term anywhere, with both near each other.
+    """
+    contents = base.filter("kind IS NULL").groupBy("content").agg(F.count("*").alias("copies"))
+    contents = saved(contents, "contents")
+    total = F.lit(contents.count())
+    ties = near.groupBy("entity", "term").agg(F.countDistinct("content").alias("both"))
+    entities = base.filter("kind IS NOT NULL").groupBy("entity").agg(F.countDistinct("content").alias("with_entity"))
+    scored = ties.join(entities, "entity").join(_texts_with_terms(df, contents, text_col), "term")
     pmi = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
-    return scored.withColumn("disclosure", F.try_divide(pmi, F.log2(total / F.col("with_entity")))).filter(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
+    scored = scored.withColumn("disclosure", F.try_divide(pmi, F.log2(total / F.col("with_entity")))).filter(F.col("disclosure") >= generalise_at)
+    return scored.filter(_chance(total) < chance).select("entity", "term", "disclosure")
+
+
+def _texts_with_terms(df: DataFrame, contents: DataFrame, text_col: str) -> DataFrame:
+    """``(term, with_term)``: distinct texts that hold a term.  Each of several copies of a text counts its share, so only copied texts are looked up."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.xxhash64(text).alias("content"), text.alias("text")).join(contents.filter("copies > 1"), "content", "left")
+    words = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+", -1))).alias("term"))
+    return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("with_term"))
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """``(id, content, spans)`` for every row: all spans as an array of ``(start, no, end, kind)`` in order.
 
     Kinds are those of ``PATTERNS``, then ``term`` (to generalise) and ``revealing`` (to remove); terms never touch base
@@ -128,7 +145,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support
     """
     base = saved(base_spans(df, id_col, text_col), "base")
     near = saved(nearby_terms(base), "near")
-    ties = saved(disclosing(df, base, near, text_col, support, generalise_at), "disclosing")
+    ties = saved(disclosing(df, base, near, text_col, chance, generalise_at), "disclosing")
     own = near.join(ties, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     strong = F.col("disclosure") >= remove_at
     term = own.select("rid", F.struct("start", F.when(strong, len(KINDS) + 1).otherwise(len(KINDS)).alias("no"), "end", F.when(strong, "revealing").otherwise("term").alias("kind")).alias("span"))

@@ -271,6 +271,16 @@ def test_terms_that_give_an_entity_away(spark):
     assert {r.spans for r in disclosure.report(twice).collect()} == {"email:15:22", ""}  # copies lend no support
 
 
+def test_terms_of_an_entity_in_one_or_two_texts(spark):
+    """A name beside an address that stands in one text, or in two, is removed; words of many texts stay."""
+    docs = [(0, "note of Quillfeather q@b.org things"), (1, "note of Zorblax a@b.org things"), (2, "people and Zorblax a@b.org")]
+    docs += [(10 + i, "note of people and things " + "x" * (2 + i)) for i in range(200)]
+    df = spark.createDataFrame(docs + docs[:1] * 3, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in disclosure.report(df).collect()}
+    assert spans[0] == "revealing:8:20,email:21:28" and spans[1] == "revealing:8:15,email:16:23" and spans[2] == "revealing:11:18,email:19:26"
+    assert {s for i, s in spans.items() if i >= 10} == {""}
+
+
 def test_sanitised_keeps_rows_and_columns(odd):
     out = disclosure.sanitised(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
