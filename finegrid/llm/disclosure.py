@@ -1,4 +1,4 @@
-"""Personal data: base patterns, and terms near them that give them away, judged by corpus co-occurrence.
+"""Personal data: base patterns, and terms of their texts that give them away, judged by corpus co-occurrence.
 
 A term discloses an entity as far as ``PMI(entity; term) / IC(entity)`` goes: 1 if the term never occurs without the
 entity, 0 if it tells nothing about it.  Terms from ``generalise_at`` on are generalised, from ``remove_at`` on removed.
@@ -25,8 +25,6 @@ KINDS = tuple(PATTERNS)
 SIGN = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}|\+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 TERM = r"\p{L}{2,}"
-#: Characters on either side of an entity in which terms count.
-REACH = 64
 #: Ties that chance would make with this probability or more don't count, at any number of texts.
 CHANCE = 0.01
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
@@ -53,8 +51,7 @@ def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per base span of the whole texts, and one with a null kind for every row of ``df``.
 
     Columns: ``rid`` (the row), ``id``, ``content`` (a hash of the text), ``kind``, ``start``, ``end`` (code points, end
-    exclusive), ``entity`` (kind and value without case and separators), ``before`` and ``after`` (the nearest text on
-    either side up to the neighbouring match of the kind).  Texts end here: what is shuffled are matches.
+    exclusive) and ``entity`` (kind and value without case and separators).  Texts end here: what is shuffled are matches.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -63,12 +60,10 @@ def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def matches(kind: str) -> Column:
         gaps = F.split(F.col("text"), PATTERNS[kind], -1)
-        cut = F.zip_with(F.slice(gaps, F.lit(1), F.size(kind)), F.col(kind), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"), F.substring(g, F.greatest(F.length(g) - REACH, F.lit(0)) + 1, F.lit(REACH + 1)).alias("before")))
-        after = F.transform(F.slice(gaps, F.lit(2), F.size(kind)), lambda g: F.substring(g, F.lit(1), F.lit(REACH + 1)))
-        full = F.zip_with(cut, after, lambda c, a: F.struct(F.lit(KINDS.index(kind)).alias("no"), c["gap"].alias("gap"), c["match"].alias("match"), c["before"].alias("before"), a.alias("after")))
+        full = F.zip_with(F.slice(gaps, F.lit(1), F.size(kind)), F.col(kind), lambda g, m: F.struct(F.lit(KINDS.index(kind)).alias("no"), F.length(g).alias("gap"), m.alias("match")))
         return F.when(F.size(kind) > 0, full)
 
-    none = F.array().cast("array<struct<no:int,gap:int,match:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<no:int,gap:int,match:string>>")
     every = F.concat(*[F.coalesce(matches(kind), none) for kind in KINDS])
     each = rows.select("rid", "id", "content", every.alias("every")).select("rid", "id", "content", F.posexplode_outer("every").alias("place", "m")).select("rid", "id", "content", "place", "m.*")
     order = Window.partitionBy("rid", "no").orderBy("place")
@@ -78,27 +73,18 @@ def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     digits = F.regexp_replace("match", "[^0-9]", "")
     each = each.withColumn("kind", F.when(F.col("no").isNotNull(), F.when(_holds(kind, F.col("match"), digits), kind)))
     value = F.when(F.col("kind").isin("card", "phone"), digits).otherwise(F.lower("match"))
-    spans = each.filter("kind IS NOT NULL").select("rid", "id", "content", "no", "kind", "start", "end", F.concat_ws(":", "kind", value).alias("entity"), "before", "after")
-    return spans.unionByName(each.filter("no IS NULL OR place = 0").select("rid", "id", "content").withColumns({c: F.lit(None).cast(spans.schema[c].dataType) for c in ("no", "kind", "start", "end", "entity", "before", "after")}))
+    spans = each.filter("kind IS NOT NULL").select("rid", "id", "content", "no", "kind", "start", "end", F.concat_ws(":", "kind", value).alias("entity"))
+    return spans.unionByName(each.filter("no IS NULL OR place = 0").select("rid", "id", "content").withColumns({c: F.lit(None).cast(spans.schema[c].dataType) for c in ("no", "kind", "start", "end", "entity")}))
 
 
-def _terms(text: Column, at: Column) -> Column:
-    """Terms of a short text that starts at code point ``at``, each with its start and end."""
-    words, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: at + total(F.slice(gaps, F.lit(1), i + 1)) + F.when(i > 0, total(F.slice(words, F.lit(1), i))).otherwise(0)
-    return F.transform(words, lambda w, i: F.struct(w.alias("term"), start(i).alias("start"), (start(i) + F.length(w)).alias("end")))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def nearby_terms(base: DataFrame) -> DataFrame:
-    """``(rid, content, entity, term, start, end)``: words of letters within ``REACH`` of a base span; words that the reach cuts are left out."""
-    spans = base.filter("kind IS NOT NULL")
-    b, a = F.col("before"), F.col("after")
-    head = F.when(F.length(b) > REACH, F.length(b) - F.length(F.regexp_replace(b, r"^[\p{L}\p{N}]+", ""))).otherwise(0)
-    before = _terms(F.expr("substring(before, head + 1)"), F.col("start") - F.length(b) + F.col("head"))
-    after = _terms(F.when(F.length(a) > REACH, F.regexp_replace(a, r"[\p{L}\p{N}]+$", "")).otherwise(a), F.col("end"))
-    each = spans.withColumn("head", head).select("rid", "content", "entity", F.explode(F.concat(before, after)).alias("t"))
-    return each.select("rid", "content", "entity", "t.term", "t.start", "t.end")
+def _signed(df: DataFrame, text_col: str) -> DataFrame:
+    """``(content, text)`` of the rows that show a sign of personal data; every text with a base span is among them."""
+    text = _text(text_col)
+    return df.filter(F.contains(text, F.lit("@")) | text.rlike(SIGN)).select(F.xxhash64(text).alias("content"), text.alias("text"))
 
 
 def _chance(total: Column) -> Column:
@@ -112,25 +98,53 @@ def _chance(total: Column) -> Column:
     return F.exp(F.aggregate(F.sequence(F.lit(0).cast("long"), j - 1), F.lit(0.0), lambda s, i: s + one(i)))
 
 
-def disclosing(df: DataFrame, base: DataFrame, near: DataFrame, text_col: str = "text", chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """``(entity, term, disclosure)`` of all ties of the corpus from ``generalise_at`` on that chance doesn't explain.
+def disclosing(df: DataFrame, base: DataFrame, text_col: str = "text", chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """``(content, term, disclosure)``: terms of each text that are tied to an entity of it from ``generalise_at`` on and not by chance.
 
-    Counts are distinct texts of the whole table: with the entity, with the term anywhere, with both near each other.
+    Counts are distinct texts of the whole table: with the entity, with the term, with both, wherever they stand.
+    Entities of the same texts (all those of one text only, say) have the same counts and are judged as one; they are
+    told apart by two hashes of their sets of texts.
     """
-    contents = base.filter("kind IS NULL").groupBy("content").agg(F.count("*").alias("copies"))
-    contents = saved(contents, "contents")
-    total = F.lit(contents.count())
-    ties = near.groupBy("entity", "term").agg(F.countDistinct("content").alias("both"))
-    entities = base.filter("kind IS NOT NULL").groupBy("entity").agg(F.countDistinct("content").alias("with_entity"))
-    scored = ties.join(entities, "entity").join(_texts_with_terms(df, contents, text_col), "term")
+    contents = saved(base.filter("kind IS NULL").groupBy("content").agg(F.count("*").alias("copies")), "contents")
+    n = contents.count()
+    total = F.lit(n)
+    held = base.filter("kind IS NOT NULL").select("content", "entity").distinct()
+    texts = F.struct(F.count("*").alias("n"), F.bit_xor("content").alias("a"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("b"))
+    entities = held.groupBy("entity").agg(texts.alias("texts"))
+    groups = held.join(entities, "entity").select("content", F.xxhash64("texts").alias("group"), F.col("texts.n").alias("with_entity")).distinct()
+    groups = saved(groups, "groups")
+    most = groups.agg(F.max("with_entity")).first()[0] or 0
+    # as both <= with_entity, a term of more texts than this is below generalise_at with every entity
+    rare = _texts_with_terms(df, contents, text_col).filter(F.col("with_term") <= most * (n / max(most, 1)) ** (1 - generalise_at) * (1 + 1e-9))
+    words = _signed(df, text_col).select("content", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
+    pairs = words.join(rare, "term").distinct().join(groups, "content").filter(F.col("with_term") <= F.col("with_entity") * F.pow(total / F.col("with_entity"), F.lit(1 - generalise_at)) * (1 + 1e-9))
+    pairs = saved(pairs, "pairs")
+    scored = pairs.groupBy("group", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
     pmi = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
     scored = scored.withColumn("disclosure", F.try_divide(pmi, F.log2(total / F.col("with_entity")))).filter(F.col("disclosure") >= generalise_at)
-    return scored.filter(_chance(total) < chance).select("entity", "term", "disclosure")
+    ties = scored.filter(_chance(total) < chance).select("group", "term", "disclosure")
+    return pairs.select("content", "group", "term").join(ties, ["group", "term"]).groupBy("content", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def occurrences(df: DataFrame, base: DataFrame, ties: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(content, start, end, disclosure)``: every place of a tied term in its texts that touches no base span."""
+    rows = _signed(df, text_col).join(ties.select("content").distinct(), "content", "left_semi").withColumn("rid", F.monotonically_increasing_id())
+    words, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    each = rows.select("rid", "content", F.posexplode(F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("term")))).alias("place", "t"))
+    each = each.select("rid", "content", "place", "t.*").withColumn("end", F.sum(F.col("gap") + F.length("term")).over(Window.partitionBy("rid").orderBy("place")).cast("int"))
+    each = each.withColumn("start", F.col("end") - F.length("term")).join(ties, ["content", "term"]).select("content", "start", "end", "disclosure").distinct()
+    bases = base.filter("kind IS NOT NULL").select("content", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("double").alias("disclosure")).distinct()
+    both = each.unionByName(bases.join(ties.select("content").distinct(), "content", "left_semi"))
+    of_base = lambda c: F.when(F.col("disclosure").isNull(), F.col(c))
+    before, after = Window.partitionBy("content").orderBy("start"), Window.partitionBy("content").orderBy(F.desc("start"))
+    both = both.withColumn("reached", F.max(of_base("end")).over(before)).withColumn("next", F.min(of_base("start")).over(after))
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return both.filter(F.col("disclosure").isNotNull() & free).select("content", "start", "end", "disclosure")
 
 
 def _texts_with_terms(df: DataFrame, contents: DataFrame, text_col: str) -> DataFrame:
     """``(term, with_term)``: distinct texts that hold a term.  Each of several copies of a text counts its share, so only copied texts are looked up."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = _text(text_col)
     rows = df.select(F.xxhash64(text).alias("content"), text.alias("text")).join(contents.filter("copies > 1"), "content", "left")
     words = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+", -1))).alias("term"))
     return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("with_term"))
@@ -144,15 +158,14 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance:
     copies of one text lend a tie no support.  An empty table gives an empty one.
     """
     base = saved(base_spans(df, id_col, text_col), "base")
-    near = saved(nearby_terms(base), "near")
-    ties = saved(disclosing(df, base, near, text_col, chance, generalise_at), "disclosing")
-    own = near.join(ties, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    ties = saved(disclosing(df, base, text_col, chance, generalise_at), "disclosing")
+    own = occurrences(df, base, ties, text_col)
     strong = F.col("disclosure") >= remove_at
-    term = own.select("rid", F.struct("start", F.when(strong, len(KINDS) + 1).otherwise(len(KINDS)).alias("no"), "end", F.when(strong, "revealing").otherwise("term").alias("kind")).alias("span"))
-    terms = term.groupBy("rid").agg(F.collect_list("span").alias("terms"))
+    term = own.select("content", F.struct("start", F.when(strong, len(KINDS) + 1).otherwise(len(KINDS)).alias("no"), "end", F.when(strong, "revealing").otherwise("term").alias("kind")).alias("span"))
+    terms = term.groupBy("content").agg(F.collect_list("span").alias("terms"))
     bases = base.groupBy("rid").agg(F.first("id").alias("id"), F.first("content").alias("content"), F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "no", "end", "kind"))).alias("bases"))
-    free = F.filter(F.coalesce(F.col("terms"), F.array()), lambda t: ~F.exists("bases", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return bases.join(terms, "rid", "left").select("id", "content", F.array_sort(F.concat("bases", free)).alias("spans"))
+    every = F.concat(F.col("bases"), F.coalesce(F.col("terms"), F.array()))
+    return bases.join(terms, "content", "left").select("id", "content", F.array_sort(every).alias("spans"))
 
 
 def listing(spans: Column) -> Column:

@@ -281,6 +281,20 @@ def test_terms_of_an_entity_in_one_or_two_texts(spark):
     assert {s for i, s in spans.items() if i >= 10} == {""}
 
 
+def test_terms_far_from_their_entity(spark):
+    """A name at the head of a long text, in a list before another address, and once more at the end is found at every place; not in other texts."""
+    filler = "people and things " * 40
+    docs = [(0, f"Quillfeather {filler}q@b.org"), (1, f"Zorblax x@y.org a@b.org {filler}Zorblax"), (2, f"Zorblax {filler} a@b.org, zorblax.Zorblax@c.org")]
+    docs += [(10 + i, "note of people and things " + "x" * (2 + i)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans.split(",") if s and s.split(":")[0] in ("term", "revealing")] for r in disclosure.report(df).collect()}
+    end = len(docs[1][1])
+    assert found[0] == ["revealing:0:12"] and found[1] == ["revealing:0:7", f"revealing:{end - 7}:{end}"] and found[2] == ["revealing:0:7"]
+    assert not any(x for i, x in found.items() if i >= 10)
+    clean = " ".join(r.text for r in disclosure.sanitised(df).collect())
+    assert "Quillfeather" not in clean and "Zorblax" not in clean
+
+
 def test_sanitised_keeps_rows_and_columns(odd):
     out = disclosure.sanitised(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
