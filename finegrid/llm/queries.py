@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finegrid.llm import bitsliced, byte_bpe, disclosure, mixing, multiindex, pages, simhash, token_files, toxicity, warc
+from finegrid.llm import bitsliced, byte_bpe, conversations, disclosure, mixing, multiindex, packing, pages, simhash, token_files, toxicity, warc, whitening
 from finegrid.llm.common import table
 
 
@@ -60,5 +60,19 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op5_warc, op6_personal_data, op7_toxicity, op8_main_text, op9_exact_top_k, op10_multi_index)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_mix_sources, op5_warc, op6_personal_data, op7_toxicity, op8_main_text, op9_exact_top_k, op10_multi_index, op11_whitening, op12_best_fit_packing, op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op9_exact_top_k": bitsliced.SQL}
