@@ -9,7 +9,7 @@ from finegrid.plans.registry import R, query, r4
 from finegrid.streaming import streams as St
 
 
-BATCHES = 10
+BATCHES = 6
 _FILES: dict[tuple[str, str], str] = {}
 
 
@@ -17,10 +17,23 @@ def event_files(t):
     """The event table as files in event order, made once per application; streams take a file per micro-batch."""
     key = t.spark.sparkContext.applicationId, t.sf_dir
     if key not in _FILES:
-        _FILES[key] = St.files_in_order(t.table("events"), "ts", BATCHES, "event-files")
+        e = t.table("events")
+        _FILES[key] = St.files_in_order(e, St.slices(e, "ts", BATCHES), "event-files")
     return _FILES[key]
 
 
+def closed_events(t):
+    """The event files and one more with a forecast and an observation of nobody, so late that all that waits comes out."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir + "#closed"
+    if key not in _FILES:
+        e = t.table("events")
+        # users of their own, as a null user would be filtered out before the watermark sees the row
+        last = e.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 9 days")).alias("ts"), F.inline(F.expr("array(named_struct('user_id', -1L, 'event_type', 'view'), named_struct('user_id', -2L, 'event_type', 'click'))")))
+        rows = e.withColumn("n", St.slices(e, "ts", BATCHES)).unionByName(last.withColumn("n", F.lit(BATCHES)), allowMissingColumns=True)
+        _FILES[key] = St.files_in_order(rows, F.col("n"), "closed-event-files")
+    return St.read_stream(t.spark, _FILES[key], "*.parquet", t.table("events").schema, "ts", files_per_trigger=1)
+
+
 def events(t):
     schema = t.table("events").schema
     return St.read_stream(t.spark, event_files(t), "*.parquet", schema, "ts", files_per_trigger=1).withColumn("block_lgd", (F.col("user_id") % 5).cast("int"))
@@ -66,21 +79,22 @@ def stream_dedupe(t):
 @query("stream_latest", "X3 S19", """
     SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_latest(t):
-    return St.run_upsert(events(t).select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"], buckets=8).select("user_id", "event_type", "event_id", "value")
+    return St.run_latest(events(t).select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_streak", "X5 W6", sql("""
     , m AS (SELECT gp_code, d, rain_obs < 80 AS ok, d - lag(d) OVER w AS gap, coalesce(lag(rain_obs) OVER w < 80, false) AS before FROM obs WINDOW w AS (PARTITION BY gp_code ORDER BY d)),
     g AS (SELECT *, sum(CASE WHEN ok AND before AND gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY gp_code ORDER BY d) AS s FROM m)
-    SELECT gp_code, d, CAST(CASE WHEN ok THEN row_number() OVER (PARTITION BY gp_code, s ORDER BY d) ELSE 0 END AS INTEGER) AS run FROM g
-    WHERE d + 1 + 3 <= (SELECT max(d) FROM obs)""", "obs"))
+    SELECT gp_code, d, CAST(CASE WHEN ok THEN row_number() OVER (PARTITION BY gp_code, s ORDER BY d) ELSE 0 END AS INTEGER) AS run FROM g""", "obs"))
 def stream_streak(t):
-    # days come out of order: every file holds days up to four days older than the newest of the files before it
+    # days come out of order, up to two days late; the last file is a day of nobody that brings out all that waits
     days = t.obs.select("gp_code", "d", "rain_obs")
     mixed = days.withColumn("at", F.date_add("d", (F.xxhash64("gp_code", "d") % 3).cast("int")))
-    path = St.files_in_order(mixed, "at", BATCHES, "days")
-    src = t.spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = St.run_available(St.streaks(src, "gp_code", "d", F.col("rain_obs") < 80, "3 days"), name="streaks")
+    last = days.agg(F.date_add(F.max("d"), 9).alias("d"))
+    rows = mixed.withColumn("n", St.slices(mixed, "at", BATCHES)).unionByName(last.withColumn("n", F.lit(BATCHES)), allowMissingColumns=True)
+    path = St.files_in_order(rows.select("gp_code", "d", "rain_obs", "n"), F.col("n"), "days")
+    src = St.read_stream(t.spark, path, "*.parquet", days.schema, files_per_trigger=1)
+    out = St.run_available(St.streaks(src, "gp_code", "d", F.col("rain_obs") < 80, "3 days"), name="streaks", rocks=True)
     return out.select(F.col("key").alias("gp_code"), F.col("day").alias("d"), "run")
 
 
@@ -93,11 +107,11 @@ def stream_enrich(t):
 
 
 @query("stream_verify", "X7 J2", """
-    SELECT f.event_id AS forecast_id, o.event_id AS observation_id, round(o.value - f.value, 2) AS err FROM events f JOIN events o ON o.user_id = f.user_id AND o.ts >= f.ts AND o.ts <= f.ts + INTERVAL 1 DAY
-    WHERE f.event_type = 'view' AND o.event_type = 'click'""")
+    SELECT f.event_id AS forecast_id, o.event_id AS observation_id, round(o.value - f.value, 2) AS err FROM events f LEFT JOIN events o ON o.user_id = f.user_id AND o.ts >= f.ts AND o.ts <= f.ts + INTERVAL 1 DAY AND o.event_type = 'click'
+    WHERE f.event_type = 'view'""")
 def stream_verify(t):
-    f = events(t).where("event_type = 'view'").select("user_id", F.col("ts").alias("issued"), F.col("event_id").alias("forecast_id"), F.col("value").alias("fv"))
-    o = events(t).where("event_type = 'click'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("observation_id"), F.col("value").alias("ov"))
+    f = closed_events(t).where("event_type = 'view'").select("user_id", F.col("ts").alias("issued"), F.col("event_id").alias("forecast_id"), F.col("value").alias("fv"))
+    o = closed_events(t).where("event_type = 'click'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("observation_id"), F.col("value").alias("ov"))
     j = St.verify_live(f, o, "user_id", "issued", "seen", "1 hour", "1 day").select("forecast_id", "observation_id", (F.col("ov") - F.col("fv")).alias("err"))
     return St.run_available(j, name="verify").select("forecast_id", "observation_id", F.round("err", 2).alias("err"))
 
@@ -107,7 +121,7 @@ def stream_verify(t):
     SELECT user_id, d, coalesce(max(v) FILTER (WHERE is_final), max(v)) AS value, bool_or(is_final) AS is_final FROM f GROUP BY 1, 2""", "events_d"))
 def stream_late(t):
     src = events(t).where("event_type in ('purchase', 'view')").select("user_id", F.to_date("ts").alias("d"), (F.col("event_type") == "purchase").alias("is_final"), "value")
-    return St.run_upsert(src, ["user_id", "d"], ["is_final", "value"], name="late", buckets=8).select("user_id", "d", "value", "is_final")
+    return St.run_latest(src, ["user_id", "d"], ["is_final", "value"], name="late").select("user_id", "d", "value", "is_final")
 
 
 @query("stream_freshness", "X9", "SELECT CAST(max(ts) AS DATE) AS newest, CAST(DATE '2024-02-05' - CAST(max(ts) AS DATE) AS INTEGER) AS age_days, DATE '2024-02-05' - CAST(max(ts) AS DATE) > 5 AS refresh FROM events")

@@ -4,36 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from finegrid.operators.relational import keep_one
 from finegrid.session import scratch_path
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, schema, time: str, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files below ``folder`` as a stream; the event time becomes a timestamp that can carry a watermark."""
-    src = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return src.withColumn(time, F.col(time).cast("timestamp"))
 
+def read_stream(spark: SparkSession, folder: str, pattern: str, schema, time: str | None = None, files_per_trigger: int = 64) -> DataFrame:
+    """Parquet files at any depth below ``folder`` as a stream; the event time becomes a timestamp that can carry a watermark."""
+    src = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return src if time is None else src.withColumn(time, F.col(time).cast("timestamp"))
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Process everything that is available, then return what was written below the shared folder."""
-    spark = stream.sparkSession
-    path, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
 
-    def save(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", path: str | None = None, rocks: bool = False) -> DataFrame:
+    """Process everything that is available, then return what was written below the shared folder.
 
-    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start()
+    ``update`` keeps what each micro-batch changed in a folder of its number, so a repeated batch replaces its own
+    rows; ``complete`` keeps the last result.  With the ``path`` of an earlier run the stream goes on where that ended.
+    ``rocks`` holds the state in RocksDB, which custom state needs, whatever the session says.
+    """
+    spark = stream.sparkSession
+    base = path or scratch_path(spark, name)
+    out, check = f"{base}/rows", f"{base}/checkpoint"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}" if mode == "update" else out)
+
+    writer = stream.writeStream.option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if rocks:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # a query keeps the setting that it started with
+    try:
+        q = writer.format("parquet").option("path", out).start() if mode == "append" else writer.foreachBatch(save).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", str(mode == "update")).parquet(out)
 
 
 def daily(stream: DataFrame, keys: list[str], time: str, value: str, delay: str, min_rows: int) -> DataFrame:
@@ -67,97 +77,104 @@ def with_units(stream: DataFrame, units: DataFrame, key: str) -> DataFrame:
 
 
 def verify_live(forecasts: DataFrame, observations: DataFrame, key: str, issued: str, seen: str, delay: str, horizon: str) -> DataFrame:
-    """Forecast and observation pairs of the same key, the observation at most ``horizon`` after the issue."""
+    """Every forecast with the observations of its key at most ``horizon`` after the issue.
+
+    A forecast that nobody observed comes out once, with nulls, when the watermark has passed its interval.
+    """
     f = forecasts.withWatermark(issued, delay).alias("f")
     o = observations.withWatermark(seen, delay).alias("o")
     on = (F.col(f"f.{key}") == F.col(f"o.{key}")) & (F.col(f"o.{seen}") >= F.col(f"f.{issued}")) & (F.col(f"o.{seen}") <= F.col(f"f.{issued}") + F.expr(f"interval {horizon}"))
-    return f.join(o, on)
+    return f.join(o, on, "left_outer")
 
 
-def files_in_order(df: DataFrame, time: str, files: int, name: str = "slices") -> str:
-    """``df`` as so many files in the order of ``time``, dated one second apart, for a stream that takes them one by one."""
+def files_in_order(df: DataFrame, ordinal: Column, name: str = "slices") -> str:
+    """``df`` as a file per value of ``ordinal`` (whole numbers from 0), dated in its order, for a stream that takes them one by one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.repartitionByRange(files, time).write.parquet(path)
+    df.withColumn("file_", ordinal).repartition("file_").write.partitionBy("file_").parquet(path)
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted((p.getPath() for p in fs.listStatus(folder)), key=lambda p: p.getName())
-    for i, p in enumerate(p for p in parts if p.getName().startswith("part-")):
-        fs.setTimes(p, 1_700_000_000_000 + 1000 * i, -1)
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/file_=*/part-*")):
+        number = int(p.getPath().getParent().getName().split("=")[1])
+        fs.setTimes(p.getPath(), 1_700_000_000_000 + 1000 * number, -1)
     return path
 
 
-def run_upsert(stream: DataFrame, keys: list[str], order: list[str], name: str = "state", path: str | None = None, buckets: int = 64) -> DataFrame:
-    """Latest row per key over the whole stream, kept as a table of versioned key buckets.
+def slices(df: DataFrame, time: str, files: int) -> Column:
+    """Ordinal of a row: the whole time from first to last in ``files`` equal parts, whatever the rows' partitions."""
+    low, high = df.agg(F.min(F.col(time).cast("timestamp").cast("double")), F.max(F.col(time).cast("timestamp").cast("double"))).first()
+    if low is None:
+        return F.lit(0)
+    at = (F.col(time).cast("timestamp").cast("double") - low) * files / ((high - low) or 1.0)
+    return F.coalesce(F.least(F.floor(at), F.lit(files - 1)), F.lit(0)).cast("int")
 
-    A micro-batch reduces its own rows, merges them with the newest version of the buckets that they touch, and
-    writes those buckets anew; other buckets stay as they are.  A repeated batch replaces what it wrote before, as it
-    reads versions before its own only; versions before the last two are removed.  With the ``path`` of an earlier run
-    the stream goes on where that one ended.
-    """
-    spark = stream.sparkSession
-    base = path or scratch_path(spark, name)
-    state, check = f"{base}/rows", f"{base}/checkpoint"
-    schema = f"{stream.schema.toDDL()}, version_ LONG, bucket_ INT"
-    spark.createDataFrame([], schema).write.mode("append").partitionBy("version_", "bucket_").parquet(state)
-
-    def rows(session: SparkSession) -> DataFrame:
-        return session.read.schema(schema).parquet(state)
-
-    def newest(session: SparkSession, before: int | None = None) -> DataFrame:
-        every = rows(session) if before is None else rows(session).where(F.col("version_") < before)
-        return every.join(every.groupBy("bucket_").agg(F.max("version_").alias("version_")), ["bucket_", "version_"]).drop("version_")
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        new = keep_one(batch, keys, order).withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in new.select("bucket_").distinct().collect()]  # at most ``buckets`` numbers
-        old = newest(session, epoch).where(F.col("bucket_").isin(touched))
-        merged = keep_one(old.unionByName(new), keys, order).withColumn("version_", F.lit(epoch).cast("long"))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_", "bucket_").parquet(state)
-        held = rows(session).where(F.col("bucket_").isin(touched) & (F.col("version_") < epoch)).select("bucket_", "version_").distinct().collect()
-        last = {b: max(v for c, v in held if c == b) for b, _ in held}
-        jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
-        for b, v in held:
-            if v < last[b]:
-                old_path = jvm.org.apache.hadoop.fs.Path(f"{state}/version_={v}/bucket_={b}")
-                old_path.getFileSystem(conf).delete(old_path, True)
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", check).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return newest(spark).drop("bucket_").select(*stream.columns)
+
+def latest(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row with the greatest ``order`` of each key so far, one row of state per key; for update mode, which puts out changed keys."""
+    rest = [c for c in stream.columns if c not in keys]
+    newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row_"))
+    return newest.select(*[F.col(c) if c in keys else F.col("row_")[c].alias(c) for c in stream.columns])
+
+
+def run_latest(stream: DataFrame, keys: list[str], order: list[str], name: str = "latest", path: str | None = None) -> DataFrame:
+    """`latest` of all that is available: of the changes that the batches wrote, the last of each key."""
+    return keep_one(run_available(latest(stream, keys, order), "update", name, path), keys, order)
+
+
+DAY_MS = 86_400_000
+
+
+class Streaks(StatefulProcessor):
+    """Counts a key's days in their order: a map of the days that wait, the run so far, and a timer at the end of each day that waits."""
+
+    # Spark passes the arguments by these names
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "day long", "ok boolean")
+        self.run = handle.getValueState("run", "length int, last long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            day = int(row.ms)
+            if day + DAY_MS > mark:  # its end has not passed, so it was not put out yet
+                self.waiting.updateValue((day,), (bool(row.ok),))
+                self.handle.registerTimer(day + DAY_MS - 1)  # fires when the watermark is beyond it
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        length, last = self.run.get() if self.run.exists() else (0, None)
+        ended = sorted(k[0] for k in self.waiting.keys() if k[0] + DAY_MS <= mark)
+        out = []
+        for day in ended:
+            ok = self.waiting.getValue((day,))[0]
+            length = (length if last is not None and day - last == DAY_MS else 0) + 1 if ok else 0
+            last = day
+            self.waiting.removeKey((day,))
+            out.append(Row(key=key[0], ms=day, run=length))
+        if ended:
+            self.run.update((length, last))
+        elif expiredTimerInfo.getExpiryTimeInMs() + 1 > mark:  # not quite there
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + 1)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
 
 
 def streaks(days: DataFrame, key: str, day: str, favourable: Column, delay: str) -> DataFrame:
     """Running length of the current favourable streak per key, in the order of the days, whatever order they arrive in.
 
-    A day waits until the watermark (``delay`` behind the newest day seen) has passed its end, and is then counted
-    and put out; days that come later than that are dropped, of a repeated day the last row counts.  The state of a
-    key is its run, the last day put out and the days that wait; a missing day ends a streak.
+    A day comes out when the watermark (``delay`` behind the newest day seen) has passed its end, at any cut of the
+    input into batches; days that come later than that are dropped, of a repeated day the last row counts; a missing
+    day ends a streak.  A row of any key that lies ``delay`` and two days after the last day of a bounded input
+    brings out all the others.
     """
-    src = days.select(F.col(key).cast("string").alias("key"), F.col(day).cast("timestamp").alias("day"), favourable.alias("ok")).withWatermark("day", delay)
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, last, waiting = state.get if state.exists else (0, -(2**62), "")
-        held = {int(d): int(ok) for d, ok in (item.split(":") for item in waiting.split() if item)}
-        one = 86_400_000
-        if not state.hasTimedOut:
-            for rows in frames:
-                held |= {int(d.timestamp() * 1000): int(bool(ok)) for d, ok in zip(rows["day"], rows["ok"]) if d.timestamp() * 1000 > last}
-        until = state.getCurrentWatermarkMs()
-        out = []
-        for d in sorted(x for x in held if x + one <= until):
-            run = (run if d - last == one else 0) + 1 if held.pop(d) else 0
-            last = d
-            out.append((k[0], pd.Timestamp(d, unit="ms").date(), run))
-        state.update((run, last, " ".join(f"{d}:{ok}" for d, ok in sorted(held.items()))))
-        if held:
-            state.setTimeoutTimestamp(max(min(held) + one, until + 1))
-        yield pd.DataFrame(out, columns=["key", "day", "run"])
-
-    state = "run int, last long, waiting string"
-    return src.groupBy("key").applyInPandasWithState(update, "key string, day date, run int", state, "append", GroupStateTimeout.EventTimeTimeout)
+    at = F.col(day).cast("timestamp")
+    src = days.select(F.col(key).cast("string").alias("key"), at.alias("day"), (at.cast("double") * 1000).cast("long").alias("ms"), F.coalesce(favourable, F.lit(False)).alias("ok")).withWatermark("day", delay)
+    out = src.groupBy("key").transformWithState(Streaks(), "key string, ms long, run int", "append", "eventTime")
+    return out.select("key", F.to_date(F.timestamp_millis("ms")).alias("day"), "run")
 
 
 def newest_day(stream: DataFrame, day: str) -> DataFrame:
