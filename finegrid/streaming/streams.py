@@ -125,38 +125,46 @@ DAY_MS = 86_400_000
 
 
 class Streaks(StatefulProcessor):
-    """Counts a key's days in their order: a map of the days that wait, the run so far, and a timer at the end of each day that waits."""
+    """Counts a key's days in their order.  State: the run so far, its last day, and the days that wait; a timer at the end of the first of those.
+
+    All of it is one value, as each call of the state store costs more than the few days that wait.
+    """
 
     # Spark passes the arguments by these names
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day long", "ok boolean")
-        self.run = handle.getValueState("run", "length int, last long")
+        self.state = handle.getValueState("run", "length int, last long, days array<long>, oks array<boolean>")
+
+    def _held(self) -> tuple[int, int, dict[int, bool]]:
+        if not self.state.exists():
+            return 0, -(1 << 62), {}
+        length, last, days, oks = self.state.get()
+        return length, last, dict(zip(days, oks))
+
+    def _keep(self, length: int, last: int, waiting: dict[int, bool], timer: bool) -> None:
+        self.state.update((length, last, list(waiting), list(waiting.values())))
+        if timer and waiting:
+            self.handle.registerTimer(min(waiting) + DAY_MS - 1)  # fires when the watermark is beyond it
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
+        length, last, waiting = self._held()
+        first = min(waiting, default=1 << 62)
         for row in rows:
-            day = int(row.ms)
-            if day + DAY_MS > mark:  # its end has not passed, so it was not put out yet
-                self.waiting.updateValue((day,), (bool(row.ok),))
-                self.handle.registerTimer(day + DAY_MS - 1)  # fires when the watermark is beyond it
+            if row.ms + DAY_MS > mark:  # its end has not passed, so it was not put out yet
+                waiting[int(row.ms)] = bool(row.ok)
+        self._keep(length, last, waiting, min(waiting, default=1 << 62) < first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        length, last = self.run.get() if self.run.exists() else (0, None)
-        ended = sorted(k[0] for k in self.waiting.keys() if k[0] + DAY_MS <= mark)
+        length, last, waiting = self._held()
         out = []
-        for day in ended:
-            ok = self.waiting.getValue((day,))[0]
-            length = (length if last is not None and day - last == DAY_MS else 0) + 1 if ok else 0
+        for day in sorted(d for d in waiting if d + DAY_MS <= mark):
+            length = (length if day - last == DAY_MS else 0) + 1 if waiting.pop(day) else 0
             last = day
-            self.waiting.removeKey((day,))
             out.append(Row(key=key[0], ms=day, run=length))
-        if ended:
-            self.run.update((length, last))
-        elif expiredTimerInfo.getExpiryTimeInMs() + 1 > mark:  # not quite there
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + 1)
+        self._keep(length, last, waiting, True)
         return iter(out)
 
     def close(self) -> None:
