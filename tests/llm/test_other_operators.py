@@ -54,7 +54,11 @@ def test_warc(spark):
 @pytest.mark.parametrize("page, text", [
     ("", None), ("<p>no article", None), ("<article></article>", ""),
     ("<nav>menu</nav><article><h1>T &amp; t</h1><p>one <b>t</b>wo<p>three</article><footer>f</footer>", "T & t one two three"),
-    ("<article>a<p class=ad>b<p>c<span class='x share'>q<span>z</span>w</span>d</article>", "a cd"),
+    ("<article>a<p class=ad>b<p>c<span class='x share'>q<span>z</span>w</span>d</article>", "a cqzwd"),
+    ('<article class="post comments-open"><p>Real text</p></article>', "Real text"), ('<main class="page sidebar" id=content>m</main>', "m"),
+    ("<article><section class='social-history'>a</section><p id='related-work'>b</p><div class='share-price'>c</div><div class='share-buttons'>d</div><section id=comments-area>e</section><div class='x ad_slot'>f</div></article>", "a b c"),
+    ("<article><p data-x=don't>Hello world, it's fine > ok</p></article>", "Hello world, it's fine > ok"), ("<article><p it's class=ad>gone<p x'y>kept</article>", "kept"),
+    ("<article><p title=\"never closed>one<p title='a > b'>two</article>", "one two"), ("<article><a href = \"x > y\">t</a> <b data-class=ad>u</b></article>", "t u"),
     ("<main>m<div class=comments><article>c</article></div><form>f<input></form>n</main>", "m n"),
     ("<article>1 < 2 &lt;b&gt; &am<b>p;</b><ul><li>i<li class='social'>s<li>k</ul></article>", "1 < 2 <b> &amp; i k"),
     ("<ARTICLE><script>if (a < b) '</p>'</SCRIPT><style>p{}</style>x<!-- <p>no --><br>y<aside>z</aside></ARTICLE>", "x y"),
@@ -84,6 +88,35 @@ def test_main_text(spark):
     assert pages.main_text(df.limit(0)).collect() == []
 
 
+def repeated(pages_of, repeat, least, share):
+    """Brute force: each page without the runs that enough different pages of its host hold."""
+    out = []
+    for host, tokens in pages_of:
+        streams = {tuple(t) for h, t in pages_of if h == host}
+        hidden = set()
+        for a in range(max(1, len(tokens) - repeat + 1)):
+            head = tuple(tokens[a:a + repeat])
+            n = sum(any(t[i:i + repeat] == head for i in range(max(1, len(t) - repeat + 1))) for t in streams)
+            if host and n >= least and n >= share * len(streams):
+                hidden.update(range(a, a + repeat))
+        out.append(" ".join(t for i, t in enumerate(tokens) if i not in hidden))
+    return out
+
+
+def test_host_repeats(spark):
+    rng = np.random.default_rng(3)
+    menu, foot = "home about contact news".split(), "all rights reserved by us".split()
+    made = [(f"h{i % 3}", (menu if i % 4 else []) + [f"w{rng.integers(5)}" for _ in range(rng.integers(0, 12))] + foot) for i in range(40)]
+    made += [("h0", ["short"]), ("h0", []), ("", menu * 3), ("", menu * 3), ("two", menu + ["x"]), ("two", menu + ["x"]), ("two", menu + ["y"])] + [made[5]] * 3
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "rid long, host string, tokens array<string>")
+    for repeat, least, share in ((3, 2, 0.0), (4, 3, 0.3), (5, 3, 0.9)):
+        got = {r.rid: r.text for r in pages.unique_runs(df, repeat, least, share).collect()}
+        assert [got[i] for i in range(len(made))] == repeated(made, repeat, least, share)
+    copies = [(i, f"http://c.org/{i}", "<p>one two three four five six seven eight nine ten</p>") for i in range(4)]  # copies of a page keep their text
+    out = pages.main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {"one two three four five six seven eight nine ten"}
+
+
 def test_pages_query(spark):
     import html
     import re
