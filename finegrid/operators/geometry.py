@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
 
 from finegrid.functions.columns import EARTH_RADIUS_KM, equal_area_xy, ring_area, ring_contains, segment_distance
-from finegrid.session import checkpointed
+from finegrid.session import checkpointed, stored
 
 
 def _cell(v: Column, res: float, origin: float = 0.0) -> Column:
@@ -44,20 +44,6 @@ def shape_contains(shape: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.flatten(shape), F.lit(False), lambda odd, ring: odd != ring_contains(ring, x, y))
 
 
-def _bounds(shape: str) -> tuple[Column, Column, Column, Column]:
-    points = F.flatten(F.flatten(F.col(shape)))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
-
-
-def covered_cells(df: DataFrame, ring: str, res: float, origin: float = 0.0) -> DataFrame:
-    """Each polygon once per cell (``ci``, ``cj``) that its bounding box touches."""
-    df = with_shape(df, ring)
-    w, s, e, n = _bounds(ring)
-    rows = df.withColumn("ci", F.explode(F.sequence(_cell(s, res, origin), _cell(n, res, origin))))
-    return rows.withColumn("cj", F.explode(F.sequence(_cell(w, res, origin), _cell(e, res, origin))))
-
-
 def area_km2(df: DataFrame, ring: str) -> Column:
     """Area of the polygon column of ``df`` in an equal-area plane, holes taken off."""
     def flat(p):
@@ -74,6 +60,31 @@ def area_km2(df: DataFrame, ring: str) -> Column:
     return F.aggregate(F.transform(c, area), F.lit(0.0), lambda s, v: s + v)
 
 
+def representative_point(shape: Column) -> Column:
+    """``struct(x, y)`` surely inside a shape (an array of polygons), holes and parts minded; null if it encloses nothing.
+
+    The scan line lies in the middle of the widest gap between heights of vertices, the point in the middle of the
+    widest stretch of that line inside.
+    """
+    def following(r: Column) -> Column:
+        return F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+
+    rings = F.flatten(shape)
+    sides = F.flatten(F.transform(rings, lambda r: F.zip_with(r, following(r), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))))
+    heights = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+    gaps = F.zip_with(F.slice(heights, 1, F.size(heights) - 1), F.slice(heights, 2, F.size(heights) - 1), lambda a, b: F.struct((b - a).alias("gap"), ((a + b) / 2).alias("y")))
+
+    def on_line(y: Column) -> Column:
+        met = F.filter(sides, lambda s: (s["y1"] > y) != (s["y2"] > y))
+        xs = F.array_sort(F.transform(met, lambda s: s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"])))
+        # crossings pair up: the outside ends at the even ones
+        inner = F.filter(F.transform(xs, lambda x, i: F.when((i % 2 == 1) & (i > 0), F.struct((x - F.get(xs, i - 1)).alias("w"), ((x + F.get(xs, i - 1)) / 2).alias("x")))), lambda s: s.isNotNull())
+        return F.struct(F.array_max(inner)["x"].alias("x"), y.alias("y"))
+
+    y = F.when(F.size(heights) > 1, F.array_max(gaps)["y"])
+    return F.when(y.isNotNull(), F.transform(F.array(y), on_line)[0])
+
+
 def edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
     """``(key, x1, y1, x2, y2)``: the sides of all rings, outer rings turning left and holes right.
 
@@ -105,6 +116,84 @@ def _cut(sides: DataFrame, a: str, b: str, cell: str, res: float, origin: float)
     return out.select(*[c if c not in cut else cut[c].alias(c) for c in out.columns])
 
 
+# --- covering of polygons by cells -----------------------------------------------------------
+
+#: Inner runs are cut into stretches of 2 ** level cells, up to this level.
+LEVELS = 16
+
+
+def covering(polygons: DataFrame, key: str, ring: str, res: float, origin: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Border cells and inner stretches of every polygon; their rows grow with its outline, not with its area or box.
+
+    Border cells ``(key, ci, cj, sides, odd)`` hold the sides that cross them, and whether their centre is inside.
+    Inner stretches ``(key, ci, level, at)`` are runs of ``2 ** level`` cells of a row, from ``at << level`` on, that lie
+    wholly inside and need no test.  What is inside follows from the sides that cross a row's centre line further
+    east, a running count over the row's border cells, so no outline is tested as a whole.
+    """
+    side = F.struct("x1", "y1", "x2", "y2").alias("side")
+    rows = _cut(edges(polygons, key, ring).select("*", side), "y", "x", "ci", res, origin)
+    pieces = _cut(rows, "x", "y", "cj", res, origin)
+    cy, cx = F.lit(origin) + F.col("ci") * res, F.lit(origin) + F.col("cj") * res
+    # a side counts in the one cell of the row where it crosses the centre line
+    crosses = (F.col("side.y1") > cy) != (F.col("side.y2") > cy)
+    at = F.col("side.x1") + (cy - F.col("side.y1")) * F.try_divide(F.col("side.x2") - F.col("side.x1"), F.col("side.y2") - F.col("side.y1"))
+    here = crosses & (_cell(at, res, origin) == F.col("cj"))
+    border = pieces.groupBy(key, "ci", "cj").agg(F.collect_set("side").alias("sides"), F.sum(here.cast("int")).alias("n"), F.sum((here & (at > cx)).cast("int")).alias("own"))
+    row = Window.partitionBy(key, "ci").orderBy("cj")
+    east = F.coalesce(F.sum("n").over(row.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    border = border.select(key, "ci", "cj", "sides", ((east + F.col("own")) % 2 == 1).alias("odd"), ((east + F.col("n")) % 2 == 1).alias("west_in"), F.lag("cj").over(row).alias("last"))
+    runs = border.where("west_in AND cj - last > 1").select(key, "ci", (F.col("last") + 1).alias("a"), F.col("cj").alias("z"))
+    return border.select(key, "ci", "cj", "sides", "odd"), _stretches(runs)
+
+
+def _stretches(runs: DataFrame) -> DataFrame:
+    """Runs ``[a, z)`` of a row as stretches ``(level, at)`` of aligned powers of two, at most two of each level."""
+    parts = []
+    low, high = F.col("a"), F.col("z")
+    for level in range(LEVELS + 1):
+        top = level == LEVELS
+        if top:
+            parts.append(F.when(low < high, F.transform(F.sequence(low, high - 1), lambda at: F.struct(F.lit(level).alias("level"), at.alias("at")))))
+            break
+        odd_low, odd_high = (low < high) & (low % 2 != 0), (low < high) & (high % 2 != 0)
+        parts.append(F.when(odd_low, F.array(F.struct(F.lit(level).alias("level"), low.alias("at")))))
+        parts.append(F.when(odd_high & ~(odd_low & (low + 1 == high)), F.array(F.struct(F.lit(level).alias("level"), (high - 1).alias("at")))))
+        runs = runs.select("*", F.floor((low + F.when(odd_low, 1).otherwise(0)) / 2).alias(f"_a{level}"), F.floor((high - F.when(odd_high, 1).otherwise(0)) / 2).alias(f"_z{level}"))
+        low, high = F.col(f"_a{level}"), F.col(f"_z{level}")
+    empty = F.array().cast("array<struct<level:int,at:bigint>>")
+    keep = [c for c in runs.columns if c not in ("a", "z") and not c.startswith(("_a", "_z"))]
+    return runs.select(*keep, F.explode(F.concat(*[F.coalesce(p.cast("array<struct<level:int,at:bigint>>"), empty) for p in parts])).alias("s")).select(*keep, "s.level", "s.at")
+
+
+def in_stretches(cells: DataFrame, stretches: DataFrame, key: str) -> DataFrame:
+    """Rows of ``cells`` (with ``ci``, ``cj``) with the key of every stretch that holds their cell, by equality of stretch numbers."""
+    levels = sorted(r[0] for r in stretches.select("level").distinct().collect())  # LEVELS + 1 numbers at most
+    each = cells.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("at", F.expr("shiftright(cj, level)"))
+    return each.join(stretches, ["ci", "level", "at"]).select(*cells.columns, key)
+
+
+def _odd_in_cell(x: Column, y: Column, cx: Column, cy: Column) -> Column:
+    """Whether a point is inside, from a border cell's ``sides`` and centre: crossings on the way there, along the row and then the column."""
+    def across(s: Column) -> Column:
+        at = s["x1"] + (y - s["y1"]) * F.try_divide(s["x2"] - s["x1"], s["y2"] - s["y1"])
+        return ((s["y1"] > y) != (s["y2"] > y)) & ((at > x) != (at > cx))
+
+    def along(s: Column) -> Column:
+        at = s["y1"] + (cx - s["x1"]) * F.try_divide(s["y2"] - s["y1"], s["x2"] - s["x1"])
+        return ((s["x1"] > cx) != (s["x2"] > cx)) & ((at > y) != (at > cy))
+
+    n = F.size(F.filter("sides", lambda s: F.coalesce(across(s), F.lit(False)))) + F.size(F.filter("sides", lambda s: F.coalesce(along(s), F.lit(False))))
+    return (n % 2 == 1) != F.col("odd")
+
+
+def holders(places: DataFrame, x: str, y: str, cover: tuple[DataFrame, DataFrame], key: str, res: float) -> DataFrame:
+    """Rows of ``places`` with the key of every polygon that holds them; only border cells are tested, against their own sides."""
+    border, stretches = cover
+    cells = places.withColumn("ci", _cell(F.col(y), res)).withColumn("cj", _cell(F.col(x), res))
+    tested = cells.join(border, ["ci", "cj"]).where(_odd_in_cell(F.col(x), F.col(y), F.col("cj") * res, F.col("ci") * res))
+    return tested.select(*places.columns, key).unionByName(in_stretches(cells, stretches, key).select(*places.columns, key))
+
+
 # --- polygon and grid ---------------------------------------------------------------------
 
 def cell_areas(polygons: DataFrame, key: str, ring: str, res: float, origin: float = 0.0) -> DataFrame:
@@ -152,11 +241,8 @@ def overlap_areas(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str,
 
     The region below a side, taken with the side's direction, summed over all sides makes the polygon; so the shared
     area is the sum, over sides of both that lie over one another, of the area below the lower of the two.  Pairs of
-    polygons meet in the cells (width ``res``) of their bounding boxes, their sides in strips of that width.
+    polygons meet in the cells (width ``res``) of their coverings, their sides in strips of that width.
     """
-    def boxes(df: DataFrame, key: str) -> DataFrame:
-        return covered_cells(df.select(key, ring), ring, res).select(key, "ci", "cj")
-
     def strips(df: DataFrame, key: str, name: str) -> DataFrame:
         cut = _cut(edges(df, key, ring).where("x1 <> x2"), "x", "y", "strip", res, 0.0).where("x1 <> x2")
         x1, y1 = equal_area_xy(F.col("y1"), F.col("x1"))
@@ -165,7 +251,11 @@ def overlap_areas(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str,
         ends = F.when(east, F.struct(x1.alias("p"), y1.alias("u"), x2.alias("q"), y2.alias("v"))).otherwise(F.struct(x2.alias("p"), y2.alias("u"), x1.alias("q"), y1.alias("v")))
         return cut.select(key, "strip", F.when(east, -1.0).otherwise(1.0).alias(f"{name}s"), ends.alias(name))
 
-    pairs = boxes(a, a_key).join(boxes(b, b_key), ["ci", "cj"]).select(a_key, b_key).distinct()
+    # polygons that share any area meet in a border cell of both, or one has a border cell well inside the other
+    (a_border, a_inner), (b_border, b_inner) = _cover(a, a_key, ring, res), _cover(b, b_key, ring, res)
+    a_cells, b_cells = a_border.select(a_key, "ci", "cj"), b_border.select(b_key, "ci", "cj")
+    met = a_cells.join(b_cells, ["ci", "cj"]).select(a_key, b_key)
+    pairs = met.unionByName(in_stretches(a_cells, b_inner, b_key).select(a_key, b_key)).unionByName(in_stretches(b_cells, a_inner, a_key).select(a_key, b_key)).distinct()
     both = pairs.join(strips(a, a_key, "f"), a_key).join(strips(b, b_key, "g"), [b_key, "strip"])
     lo, hi = F.greatest("f.p", "g.p"), F.least("f.q", "g.q")
     at = lambda side, x: F.col(f"{side}.u") + (F.col(f"{side}.v") - F.col(f"{side}.u")) * (x - F.col(f"{side}.p")) / (F.col(f"{side}.q") - F.col(f"{side}.p"))
@@ -201,10 +291,7 @@ def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: st
 
 def points_in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, res: float) -> DataFrame:
     """Every point with every polygon that holds it; points outside all are left out."""
-    pts = points.withColumn("_ci", _cell(F.col(y), res)).withColumn("_cj", _cell(F.col(x), res))
-    cells = covered_cells(polygons.select(key, ring), ring, res)
-    hit = pts.join(cells, (F.col("_ci") == F.col("ci")) & (F.col("_cj") == F.col("cj")))
-    return hit.where(shape_contains(F.col(ring), F.col(x), F.col(y))).select(*points.columns, key)
+    return holders(points, x, y, _cover(polygons, key, ring, res), key, res)
 
 
 def point_in_polygon(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, res: float) -> DataFrame:
@@ -212,13 +299,16 @@ def point_in_polygon(points: DataFrame, x: str, y: str, polygons: DataFrame, key
 
     Places are looked up once and joined back, so points in one place cost one test and stay as many rows.
     """
-    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumn("ci", _cell(F.col("_y"), res)).withColumn("cj", _cell(F.col("_x"), res))
-    cells = covered_cells(polygons.select(key, ring), ring, res)
-    hit = places.join(cells, ["ci", "cj"]).where(shape_contains(F.col(ring), F.col("_x"), F.col("_y")))
-    found = hit.groupBy("_x", "_y").agg(F.min(key).alias(key))
+    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    found = holders(places, "_x", "_y", _cover(polygons, key, ring, res), key, res).groupBy("_x", "_y").agg(F.min(key).alias(key))
     return points.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").drop("_x", "_y")
 
 
+def _cover(polygons: DataFrame, key: str, ring: str, res: float) -> tuple[DataFrame, DataFrame]:
+    border, stretches = covering(polygons.select(key, ring), key, ring, res)
+    return border, checkpointed(stretches)
+
+
 def stations_in_units(stations: DataFrame, key: str, x: str, y: str, units: DataFrame, unit: str, ring: str, res: float) -> tuple[DataFrame, DataFrame]:
     """Rows of the stations inside a unit, with the unit; and the stations outside all units, with their number of rows."""
     placed = point_in_polygon(stations, x, y, units, unit, ring, res)
@@ -226,32 +316,20 @@ def stations_in_units(stations: DataFrame, key: str, x: str, y: str, units: Data
     return placed.where(F.col(unit).isNotNull()), outside
 
 
-def ring_distance(ring: Column, px: Column, py: Column) -> Column:
-    """Distance from a point to the outline of a ring, in the units of the coordinates."""
-    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return F.array_min(F.zip_with(ring, nxt, lambda a, b: segment_distance(px, py, a["x"], a["y"], b["x"], b["y"])))
-
-
 def locate(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFrame, key: str, ring: str, cap: float) -> DataFrame:
     """The polygon that holds a point, else the nearest one within ``cap``, else nothing.
 
-    With cells as wide as the cap, a polygon in reach lies in the 3 x 3 cells around the point.
+    With cells as wide as the cap, the nearest place of an outline in reach lies in the 3 x 3 cells around the point,
+    and so does a side that is listed there.
     """
-    west, south, east, north = _bounds(ring)
-    boxed = with_shape(polygons, ring).select(key, ring, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"),
-                            _cell(south, cap).alias("_ci0"), _cell(west, cap).alias("_cj0"))
-    cells = covered_cells(boxed, ring, cap)
-    pts = points.select(point_id, x, y).withColumn("_ci", _cell(F.col(y), cap)).withColumn("_cj", _cell(F.col(x), cap))
-    near = pts.withColumn("ci", F.explode(F.sequence(F.col("_ci") - 1, F.col("_ci") + 1)))
-    near = near.withColumn("cj", F.explode(F.sequence(F.col("_cj") - 1, F.col("_cj") + 1)))
-    # the box test is cheap and compiled; outlines are walked only for boxes in reach
-    x, y = F.col(x), F.col(y)
-    gap = F.hypot(F.greatest(F.col("w") - x, x - F.col("e"), F.lit(0.0)), F.greatest(F.col("s") - y, y - F.col("n"), F.lit(0.0)))
-    # a pair meets in every cell both sides share: only the first of those cells counts it
-    first = (F.col("ci") == F.greatest(F.col("_ci") - 1, F.col("_ci0"))) & (F.col("cj") == F.greatest(F.col("_cj") - 1, F.col("_cj0")))
-    pair = near.join(cells, ["ci", "cj"]).where(first & (gap <= cap))
-    d = F.when((gap == 0) & shape_contains(F.col(ring), x, y), 0.0).otherwise(F.array_min(F.transform(F.flatten(ring), lambda r: ring_distance(r, x, y))))
-    best = pair.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(key))).alias("_b")).where(F.col("_b.d") <= cap)
+    cover = _cover(polygons, key, ring, cap)
+    pts = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    inside = holders(pts, "_x", "_y", cover, key, cap).select(point_id, key, F.lit(0.0).alias("d"))
+    around = lambda c, v: F.explode(F.sequence(_cell(v, cap) - 1, _cell(v, cap) + 1)).alias(c)
+    near = pts.select("*", around("ci", F.col("_y"))).select("*", around("cj", F.col("_x"))).join(cover[0].select(key, "ci", "cj", "sides"), ["ci", "cj"])
+    d = F.array_min(F.transform("sides", lambda s: segment_distance(F.col("_x"), F.col("_y"), s["x1"], s["y1"], s["x2"], s["y2"])))
+    pair = near.select(point_id, key, d.alias("d")).where(F.col("d") <= cap).unionByName(inside)
+    best = pair.groupBy(point_id).agg(F.min(F.struct(F.col("d"), F.col(key))).alias("_b"))
     found = points.select(point_id).join(best, point_id, "left")
     how = F.when(F.col("_b").isNull(), "none").when(F.col("_b.d") == 0, "contains").otherwise("nearest")
     return found.select(point_id, F.col(f"_b.{key}").alias(key), how.alias("how"), F.col("_b.d").alias("distance"))
@@ -387,18 +465,83 @@ def line_density(segments: DataFrame, polygons: DataFrame, key: str, ring: str,
 
 # --- polygon records ----------------------------------------------------------------------
 
-def dissolve(parts: DataFrame, key: str, order: str, attributes: list[str], ring: str | None = None) -> DataFrame:
-    """One record per polygon: the attributes of its first part, the number of parts, and with ``ring`` the geometry.
+def _followed(sides: DataFrame, key: str) -> DataFrame:
+    """``sides`` (key, id, x1 .. y2) with the ``next`` side of its outline: of those that start where it ends, the one most to the left.
+
+    So pieces that touch in one corner become outlines of their own.
+    """
+    ahead = sides.select(F.col(key).alias("_k"), F.col("id").alias("next"), F.col("x1").alias("_x"), F.col("y1").alias("_y"), (F.col("x2") - F.col("x1")).alias("_u"), (F.col("y2") - F.col("y1")).alias("_v"))
+    met = sides.join(ahead, (F.col(key) == F.col("_k")) & (F.col("x2") == F.col("_x")) & (F.col("y2") == F.col("_y")))
+    u, v = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    turn = F.atan2(u * F.col("_v") - v * F.col("_u"), u * F.col("_u") + v * F.col("_v"))
+    # straight back (half a turn) is the last choice, whichever sign rounding gives it
+    left = F.when(F.abs(turn) > math.pi - 1e-9, F.lit(-math.pi)).otherwise(turn)
+    return met.groupBy("id").agg(F.max_by("next", F.struct(left, F.col("next"))).alias("next"))
 
-    The geometry holds the polygons of all parts in order; it is as large as the record that it belongs to.
+
+def outlines(sides: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
+    """``(key, ring)`` for every closed outline of directed sides ``(key, x1, y1, x2, y2)``, by pointer jumping.
+
+    First the least id of every outline goes round it, then every side learns how far it is from that one; both by
+    pointers that double their reach, so rounds grow with the logarithm of the longest outline, whatever shape holds it.
+    Each round is one join of two numbers per side.
     """
-    first = [F.min_by(a, order).alias(a) for a in attributes]
-    if ring is None:
-        return parts.groupBy(key).agg(*first, F.count("*").alias("parts"))
-    merged = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ring).alias("g")))), lambda p: p["g"]))
-    return with_shape(parts, ring).groupBy(key).agg(*first, F.count("*").alias("parts"), merged.alias(ring))
+    given = stored(sides.distinct().withColumn("id", F.monotonically_increasing_id()), "sides")
+    follow = _followed(given, key)
+    now = stored(follow.select("id", F.col("next").alias("to"), F.least("id", "next").alias("least")), "round")
+    step = now.select("id", F.col("to").alias("next"))
+    mark = None
+    for _ in range(max_rounds):
+        there = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        now = stored(now.join(there, "to").select("id", F.col("to2").alias("to"), F.least("least", "least2").alias("least")), "round")
+        seen = now.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
+        if seen == mark:
+            break
+        mark = seen
+    leader = now.select("id", F.col("least").alias("ring"))
+    now = stored(step.join(leader, "id").select("id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("long").alias("far")), "round")
+    for _ in range(max_rounds):
+        if now.where("to IS NOT NULL").limit(1).count() == 0:
+            break
+        there = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        now = stored(now.join(there, "to", "left").select("id", "ring", F.col("to2").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "round")
+    placed = given.join(now.select("id", "ring", "far"), "id")
+    point = F.struct((-F.col("far")).alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    ordered = F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rings = placed.groupBy(key, F.col("ring").alias("_r")).agg(ordered.alias("ring"))
+    first = F.array_position("ring", F.array_min("ring")).cast("int")  # outlines begin at their least corner
+    return rings.select(key, F.concat(F.slice("ring", first, F.size("ring")), F.slice("ring", 1, first - 1)).alias("ring"))
+
+
+def union_shapes(parts: DataFrame, key: str, ring: str) -> DataFrame:
+    """``(key, ring)``: the union of all parts of a key as an array of polygons, each its outer ring and then its holes.
+
+    Parts may share borders but not overlap, and a shared border has the same vertices in both.  Sides that occur in
+    both directions cancel; what is left is stitched into outlines (`outlines`).  Those that turn left are outer
+    rings; a hole goes to the least outer ring that holds it.  A key without any area has no row.
+    """
+    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    low, high = F.struct("x1", "y1"), F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    net = edges(parts, key, ring).groupBy(key, F.when(forward, low).otherwise(high).alias("p"), F.when(forward, high).otherwise(low).alias("q")).agg(F.sum(F.when(forward, 1).otherwise(-1)).alias("n")).where("n <> 0")
+    from_, to = F.when(F.col("n") > 0, F.col("p")).otherwise(F.col("q")), F.when(F.col("n") > 0, F.col("q")).otherwise(F.col("p"))
+    rest = net.select(key, from_["x1"].alias("x1"), from_["y1"].alias("y1"), to["x1"].alias("x2"), to["y1"].alias("y2"))
+    r = F.col("ring")
+    turned = F.aggregate(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: (a["x"] - r[0]["x"]) * (b["y"] - r[0]["y"]) - (b["x"] - r[0]["x"]) * (a["y"] - r[0]["y"])), F.lit(0.0), lambda s, v: s + v)
+    rings = stored(outlines(rest, key).withColumn("twice", turned).withColumn("no", F.monotonically_increasing_id()), "rings")
+    outer, holes = rings.where("twice > 0"), rings.where("twice < 0")
+    spot = holes.select(F.col(key).alias("_k"), F.col("ring").alias("_hole"), F.col("no").alias("_no"), representative_point(F.array(F.array("ring"))).alias("_p"), F.col("twice").alias("_t"))
+    held = outer.join(spot, (F.col(key) == F.col("_k")) & (F.col("twice") > -F.col("_t"))).where(ring_contains(F.col("ring"), F.col("_p.x"), F.col("_p.y")))
+    owner = held.groupBy("_no").agg(F.min_by(F.struct("no", "_hole"), "twice").alias("o")).groupBy(F.col("o.no").alias("no")).agg(F.array_sort(F.collect_list("o._hole")).alias("_holes"))
+    polygon = F.concat(F.array("ring"), F.coalesce("_holes", F.array().cast(f"array<{rings.schema['ring'].dataType.simpleString()}>")))
+    return outer.join(owner, "no", "left").groupBy(key).agg(F.array_sort(F.collect_list(polygon)).alias(ring))
+
+
+def dissolve(parts: DataFrame, key: str, order: str, attributes: list[str], ring: str | None = None) -> DataFrame:
+    """One record per polygon: the attributes of its first part, the number of parts, and with ``ring`` the union of their shapes (`union_shapes`)."""
+    records = parts.groupBy(key).agg(*[F.min_by(a, order).alias(a) for a in attributes], F.count("*").alias("parts"))
+    return records if ring is None else records.join(union_shapes(parts, key, ring), key, "left")
 
 
-__all__ = ["area_km2", "cell_areas", "covered_cells", "dissolve", "edges", "largest_overlap", "line_density", "line_distance", "locate",
-           "nearest_fill", "nearest_k", "overlap_areas", "point_in_polygon", "points_as_targets", "points_in_polygons", "polygon_grid_weights", "rectangle_ring", "shape_contains",
-           "side_of_line", "stations_in_units", "with_shape", "without_cells"]
+__all__ = ["area_km2", "cell_areas", "covering", "dissolve", "edges", "largest_overlap", "line_density", "line_distance", "locate",
+           "holders", "in_stretches", "nearest_fill", "nearest_k", "outlines", "overlap_areas", "point_in_polygon", "points_as_targets", "points_in_polygons", "polygon_grid_weights", "rectangle_ring", "representative_point", "shape_contains",
+           "side_of_line", "stations_in_units", "union_shapes", "with_shape", "without_cells"]

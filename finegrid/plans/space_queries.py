@@ -65,22 +65,28 @@ CHOICE = f"""SELECT gp_code, CASE WHEN n2 IS NULL OR a - n2 > 1e-6 THEN b_code E
 
 @query("largest_overlap", "J8", sql(f"""
     , b AS (SELECT gp_code AS b_code, w + 0.009 AS w, s + 0.004 AS s, e + 0.009 AS e, n + 0.004 AS n FROM sq), v AS ({SHARED})
-    SELECT gp_code, overlap_frac, assignment_method FROM ({CHOICE})""", "unit", sq=SQUARES))
+    {CHOICE}""", "unit", sq=SQUARES))
 def largest_overlap(t):
     moved = t.unit.select(F.col("gp_code").alias("b_code"), G.rectangle_ring(F.col("longitude") + 0.009, F.col("latitude") + 0.004, HALF, HALF).alias("ring"))
-    out = G.largest_overlap(squares(t), "gp_code", moved, "b_code", "ring", 0.03)
-    return out.select("gp_code", r4("overlap_frac").alias("overlap_frac"), "assignment_method")
+    return clear_choice(squares(t), moved)
+
+
+def clear_choice(a, b):
+    """`largest_overlap` with its polygon where the second best is clearly smaller."""
+    out = G.largest_overlap(a, "gp_code", b, "b_code", "ring", 0.03)
+    two = G.overlap_areas(a, "gp_code", b, "b_code", "ring", 0.03).groupBy("gp_code").agg(F.slice(F.sort_array(F.collect_list("a"), asc=False), 1, 2).alias("a2"))
+    clear = (F.col("assignment_method") == "largest_overlap") & ((F.size("a2") < 2) | (F.get("a2", F.lit(0)) - F.get("a2", F.lit(1)) > 1e-6))
+    return out.join(two, "gp_code", "left").select("gp_code", F.when(clear, F.col("b_code")).alias("b_code"), r4("overlap_frac").alias("overlap_frac"), "assignment_method")
 
 
 @query("overlap_with_fallback", "J8", sql(f"""
     , b AS (SELECT gp_code AS b_code, w + 0.009 AS w, s + 0.004 AS s, e + 0.009 AS e, n + 0.004 AS n FROM sq WHERE CAST(gp_code AS BIGINT) % 11 = 0), v AS ({SHARED}), o AS ({CHOICE}),
     c AS (SELECT gp_code, unnest([w, e, e, w]) AS x, unnest([s, s, n, n]) AS y FROM sq WHERE gp_code NOT IN (SELECT gp_code FROM o)),
     d AS (SELECT gp_code, min(sqrt(greatest(b.w - x, x - b.e, 0.0) ** 2 + greatest(b.s - y, y - b.n, 0.0) ** 2)) AS dist FROM c CROSS JOIN b GROUP BY 1)
-    SELECT gp_code, overlap_frac, assignment_method FROM o UNION ALL SELECT gp_code, 0.0, CASE WHEN dist IS NULL THEN 'none' ELSE 'nearest' END FROM d""", "unit", sq=SQUARES))
+    SELECT gp_code, b_code, overlap_frac, assignment_method FROM o UNION ALL SELECT gp_code, NULL, 0.0, CASE WHEN dist IS NULL THEN 'none' ELSE 'nearest' END FROM d""", "unit", sq=SQUARES))
 def overlap_with_fallback(t):
     moved = t.unit.where(F.col("user_id") % 11 == 0).select(F.col("gp_code").alias("b_code"), G.rectangle_ring(F.col("longitude") + 0.009, F.col("latitude") + 0.004, HALF, HALF).alias("ring"))
-    out = G.largest_overlap(squares(t), "gp_code", moved, "b_code", "ring", 0.03)
-    return out.select("gp_code", r4("overlap_frac").alias("overlap_frac"), "assignment_method")
+    return clear_choice(squares(t), moved)
 
 
 # Every unit's square with a hole in it, and a second, smaller square to the north-east.
@@ -115,6 +121,24 @@ def polygons_with_holes(t):
     return out.select("gp_code", F.col("parts").cast("int").alias("parts"), r4(G.area_km2(shapes, "shape")).alias("km2"), r4("in_cells").alias("in_cells"), F.coalesce("points", F.lit(0)).cast("long").alias("points"))
 
 
+@query("representative_inside", "F17", sql("SELECT gp_code, TRUE AS inside FROM unit", "unit"))
+def representative_inside(t):
+    p = holed(t).withColumn("p", G.representative_point(F.col("shape")))
+    return p.select("gp_code", G.shape_contains(F.col("shape"), F.col("p.x"), F.col("p.y")).alias("inside"))
+
+
+@query("dissolve_union", "A33 F17", sql("""
+    , c AS (SELECT DISTINCT block_lgd, user_id % 53 AS i, user_id % 37 AS j FROM unit), b AS (SELECT block_lgd, count(*) AS n FROM c GROUP BY 1),
+    s AS (SELECT a.block_lgd, count(*) AS k FROM c a JOIN c b ON a.block_lgd = b.block_lgd AND (b.i = a.i + 1 AND b.j = a.j OR b.i = a.i AND b.j = a.j + 1) GROUP BY 1)
+    SELECT block_lgd, CAST(n * 9 AS DOUBLE) AS area, CAST(12 * n - 6 * coalesce(k, 0) AS DOUBLE) AS perimeter FROM b LEFT JOIN s USING (block_lgd)""", "unit"))
+def dissolve_union(t):
+    # every unit as a square of a lattice, dissolved into its parent
+    x, y = (F.col("user_id") % 53 * 3).cast("double"), (F.col("user_id") % 37 * 3).cast("double")
+    cells = t.unit.select("block_lgd", x.alias("x"), y.alias("y")).distinct().select("block_lgd", G.rectangle_ring(F.col("x"), F.col("y"), 1.5, 1.5).alias("ring"))
+    sides = G.edges(G.union_shapes(cells, "block_lgd", "ring"), "block_lgd", "ring")
+    return sides.groupBy("block_lgd").agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
+
+
 @query("points_repeated", "J10", sql("""
     SELECT p.pid, min(q.gp_code) AS gp_code, CAST(any_value(k.n) AS BIGINT) AS n FROM pt p CROSS JOIN (SELECT 3 AS n) k LEFT JOIN sq q ON p.x > q.w AND p.x < q.e AND p.y > q.s AND p.y < q.n GROUP BY 1""", "unit", sq=SQUARES, pt=POINTS))
 def points_repeated(t):
