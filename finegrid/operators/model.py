@@ -8,8 +8,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finegrid.functions import scores as S
@@ -17,7 +17,7 @@ from finegrid.functions.columns import clip, from_space, ordered_temperatures, t
 from finegrid.operators.encode import idw_knn, out_of_fold_bias, shrunken_bias
 from finegrid.operators.panel import time_folds
 from finegrid.operators.relational import exact_quantiles
-from finegrid.session import checkpointed
+from finegrid.session import checkpointed, scratch_path, stored
 
 SENTINEL = -9999.0
 
@@ -48,6 +48,8 @@ class FittedVariable:
     edges: list[float] = field(default_factory=list)
     margin: float = 0.0
     classifiers: dict[float, tuple[PipelineModel, object | None]] = field(default_factory=dict)
+    forest: PipelineModel | None = None
+    leaves: DataFrame | None = None
 
 
 def resolve_features(families: dict[str, list[str]], columns: list[str], excluded: list[str]) -> list[str]:
@@ -171,6 +173,125 @@ def fit_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, alpha:
     return m
 
 
+# --- what the trees know of a row -----------------------------------------------------------
+
+def tree_nodes(spark: SparkSession, trees) -> DataFrame:
+    """Nodes of a fitted tree ensemble: ``(tree, id, value, feature, left, right)``, values times their tree's weight; a leaf has feature -1.
+
+    Ids grow from left to right, as Spark numbers the leaves that it predicts.
+    """
+    path = scratch_path(spark, "trees")
+    trees.write().save(path)
+    n = F.col("nodeData")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in trees.treeWeights]), F.col("treeID") + 1)
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), n["id"].alias("id"), (n["prediction"] * weight).alias("value"), n["split"]["featureIndex"].alias("feature"), n["leftChild"].alias("left"), n["rightChild"].alias("right"))
+
+
+def leaf_numbers(nodes: DataFrame) -> DataFrame:
+    """``(tree, id, leaf)``: the leaves of every tree, numbered from left to right."""
+    order = Window.partitionBy("tree").orderBy("id")
+    return nodes.where("feature < 0").select("tree", "id", (F.row_number().over(order) - 1).alias("leaf"))
+
+
+def leaf_contributions(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``(tree, leaf, name, value)``: how far the splits on an input move the prediction on the way to a leaf; ``base`` is the root's value.
+
+    Every step down a tree adds the child's value less the node's to the input that the node splits on, so base and
+    contributions of a leaf sum to its value.  One join per level, over nodes only.
+    """
+    way = F.array(F.struct(F.lit("base").alias("name"), F.col("value")))
+    now = stored(nodes.where("id = 0").select("tree", "id", "value", "feature", "left", "right", way.alias("way")), "ways")
+    done = now.where("feature < 0").select("tree", "id", "way")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("p.feature") + 1)
+    while True:
+        inner = now.where("feature >= 0").alias("p")
+        if inner.isEmpty():
+            break
+        child = nodes.alias("c")
+        met = inner.join(child, (F.col("p.tree") == F.col("c.tree")) & ((F.col("c.id") == F.col("p.left")) | (F.col("c.id") == F.col("p.right"))))
+        step = F.struct(name.alias("name"), (F.col("c.value") - F.col("p.value")).alias("value"))
+        now = stored(met.select("c.tree", "c.id", "c.value", "c.feature", "c.left", "c.right", F.concat("p.way", F.array(step)).alias("way")), "ways")
+        done = done.unionByName(now.where("feature < 0").select("tree", "id", "way"))
+    steps = done.join(leaf_numbers(nodes), ["tree", "id"]).select("tree", "leaf", F.inline("way"))
+    return steps.groupBy("tree", "leaf", "name").agg(F.sum("value").alias("value"))
+
+
+def by_leaf(table: DataFrame, payload: str) -> Column:
+    """The payload of every leaf as one value, ``[tree][leaf]``; as large as the model, whatever the number of rows."""
+    trees = table.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("leaf", payload))).alias("l")).select("tree", F.col(f"l.{payload}").alias("l"))
+    return trees.agg(F.array_sort(F.collect_list(F.struct("tree", "l"))).alias("t")).select(F.col("t.l")).scalar()
+
+
+def with_leaves(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``leaf``, the number of the leaf that each tree puts them in, and the trees' prediction."""
+    assembler, trees = model.stages[0], model.stages[-1]
+    out = trees.transform(assembler.transform(rows), {trees.leafCol: "leaf_"})
+    return out.withColumn("leaf", vector_to_array("leaf_").cast("array<int>")).drop("leaf_", "features")
+
+
+def tree_contributions(m: FittedVariable, df: DataFrame, family: dict[str, str]) -> DataFrame:
+    """``df`` with ``contributions``, a map from input family (and ``base``) to its part of the residual estimate ``r_hat``.
+
+    Parts of a row sum to its ``r_hat``; an input's missing flag counts as the input, inputs of no family as "other".
+    What a leaf contributes is worked out once; a row looks up one leaf per tree and shuffles nothing.
+    """
+    features = [*m.spec.features, "hist_bias"]
+    spark = df.sparkSession
+    table = leaf_contributions(tree_nodes(spark, m.point.stages[-1]), [f for f in features for _ in range(2)])
+    families = ["base", *sorted({family.get(f, "other") for f in features})]
+    of = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(family.get(f, "other")))], F.lit("base"), F.lit("base"))
+    parts = table.groupBy("tree", "leaf").agg(*[F.sum(F.when(of[F.col("name")] == f, F.col("value")).otherwise(0.0)).alias(f"p{i}") for i, f in enumerate(families)])
+    packed = stored(parts.select("tree", "leaf", F.array(*[f"p{i}" for i in range(len(families))]).alias("parts")), "leaves")
+    keep = [c for c in df.columns if c not in ("hist_bias", "r_hat", "contributions")]
+    x = with_leaves(m.point, _inputs(with_serving_bias(df.select(*keep), m.bias), features)).withColumn("_t", by_leaf(packed, "parts"))
+    each = F.transform("leaf", lambda leaf, tree: F.get(F.get(F.col("_t"), tree), leaf))
+    total = lambda i: F.aggregate(each, F.lit(0.0), lambda s, p: s + p[i])
+    return x.select(*keep, "hist_bias", "r_hat", F.map_from_arrays(F.array(*[F.lit(f) for f in families]), F.array(*map(total, range(len(families))))).alias("contributions"))
+
+
+def fit_leaf_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, alpha: float = 0.2, trees: int = 20, depth: int = 5, points: int = 41) -> FittedVariable:
+    """Residual quantiles that depend on all inputs: a forest, and per leaf ``points`` quantiles of the training residuals in it.
+
+    A row's quantiles are those of the points of all its leaves together.  The margin is the split-conformal quantile
+    of the overshoot on calibration rows, as in `fit_intervals`.
+    """
+    features = [*m.spec.features, "hist_bias"]
+    tr = with_training_bias(usable(train, m.spec).withColumn("r", residual(m.spec, m.space)))
+    rows = checkpointed(_inputs(tr.select("r", *features), features))
+    forest = RandomForestRegressor(featuresCol="features", labelCol="r", predictionCol="r_forest", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, featureSubsetStrategy="all", seed=42)
+    m.forest = Pipeline(stages=[_assembler(features), forest]).fit(rows)
+    nodes = leaf_numbers(tree_nodes(rows.sparkSession, m.forest.stages[-1])).select("tree", "leaf")
+    held = with_leaves(m.forest, rows).select("r", F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.percentile_approx("r", [(k + 0.5) / points for k in range(points)], 10_000).alias("points"))
+    m.leaves = stored(nodes.join(held, ["tree", "leaf"], "left").select("tree", "leaf", F.coalesce("points", F.array().cast("array<double>")).alias("points")), "leaves")
+    r = residual(m.spec, m.space)
+    over = _with_leaf_interval(m, usable(calib, m.spec)).select(F.greatest(F.col("_lo") - r, r - F.col("_hi")).alias("over"))
+    over = checkpointed(over.where("over is not null"))
+    n = over.count()
+    level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / max(n, 1))
+    m.margin = max(0.0, exact_quantiles(over, [], "over", {"q": level}).first()["q"]) if n else 0.0
+    return m
+
+
+def _with_leaf_interval(m: FittedVariable, df: DataFrame) -> DataFrame:
+    keep = [c for c in df.columns if c not in ("hist_bias", "r_hat")]
+    features = [*m.spec.features, "hist_bias"]
+    x = with_leaves(m.forest, _inputs(with_serving_bias(df.select(*keep), m.bias), features)).withColumn("_t", by_leaf(m.leaves, "points"))
+    pool = F.array_sort(F.flatten(F.transform("leaf", lambda leaf, tree: F.get(F.get(F.col("_t"), tree), leaf))))
+    x = x.select(*keep, pool.alias("_pool"))
+    at = lambda q: F.get("_pool", F.floor((F.size("_pool") - 1) * q + 0.5).cast("int"))
+    return x.select(*keep, at(0.1).alias("_lo"), at(0.5).alias("_mid"), at(0.9).alias("_hi"))
+
+
+def predict_leaf_intervals(m: FittedVariable, df: DataFrame) -> DataFrame:
+    """Adds the 10, 50 and 90 % quantiles of the variable given all inputs, in order and within its bounds; no shuffle of rows."""
+    p = _with_leaf_interval(m, df)
+    base = to_space(F.col(m.spec.forecast), m.space)
+    wide = {"q10": F.col("_lo") - m.margin, "q50": F.col("_mid"), "q90": F.col("_hi") + m.margin}
+    return p.withColumns({f"{m.spec.var}_{n}": clip(from_space(base + r, m.space), m.spec.lower, m.spec.upper) for n, r in wide.items()}).drop("_lo", "_mid", "_hi")
+
+
+# --- intervals by lead and size of the forecast -------------------------------------------------
+
 def _with_interval(m: FittedVariable, df: DataFrame) -> DataFrame:
     bin_of = sum((F.when(F.col(m.spec.forecast) > x, 1).otherwise(0) for x in m.edges), F.lit(0))
     j = df.withColumn("bin", bin_of).join(m.intervals, ["lead_day", "bin"], "left")

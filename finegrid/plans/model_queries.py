@@ -71,6 +71,32 @@ def quantile_conformal(t):
                                      r4(F.avg(F.col("rain_q90") - F.col("rain_q10"))).alias("width"))
 
 
+FAMILIES = {"fc_rain": "forecast", "lead_day": "forecast", "elev_diff": "terrain", "area_km2": "terrain", "doy_sin": "season", "doy_cos": "season", "hist_bias": "history"}
+
+
+@query("tree_contributions", "M16 A32")
+def tree_contributions(t):
+    """Mean and mean size of each family's part of the residual estimate, and the largest gap between parts and estimate."""
+    df = cached(t)
+    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", t.unit, LAT0, **FAST)
+    rows = Md.tree_contributions(m, df.where("test"), FAMILIES)
+    gap = F.abs(F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda s, v: s + v) - F.col("r_hat"))
+    long = rows.select("lead_day", gap.alias("gap"), F.explode("contributions").alias("family", "value"))
+    return long.groupBy("lead_day", "family").agg(r4(F.avg("value")).alias("mean"), r4(F.avg(F.abs("value"))).alias("size"), r4(F.max("gap")).alias("gap"))
+
+
+@query("quantile_leaves", "M12 W18 A18")
+def quantile_leaves(t):
+    df = cached(t)
+    m = Md.fit_point(df.where("train"), df.where("calib"), SPEC, "linear", t.unit, LAT0, **FAST)
+    m = Md.fit_leaf_intervals(m, df.where("train"), df.where("calib"))
+    q = Md.predict_leaf_intervals(m, df.where("test"))
+    y = F.col("rain_obs")
+    return q.groupBy("lead_day").agg(r4(S.coverage(y, F.col("rain_q10"), F.col("rain_q90"))).alias("coverage"),
+                                     F.count_if((F.col("rain_q10") > F.col("rain_q50")) | (F.col("rain_q50") > F.col("rain_q90"))).alias("crossed"),
+                                     r4(F.avg(F.col("rain_q90") - F.col("rain_q10"))).alias("width"))
+
+
 @query("exceedance_isotonic", "M13 A15")
 def exceedance_isotonic(t):
     df = cached(t)
