@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -437,13 +438,39 @@ def predict_all(models: dict[str, FittedVariable], df: DataFrame) -> DataFrame:
 
 
 def fit_operational(df: DataFrame, calib_flag: str, spec: VariableSpec, space: str, units: DataFrame, lat0: float, path: str | None = None, **params) -> FittedVariable:
-    """Refit on every day except the calibration weeks; the trees are saved below ``path``."""
+    """Refit on every day except the calibration weeks; saved below ``path``."""
     m = fit_point(df.where(~F.col(calib_flag)), df.where(F.col(calib_flag)), spec, space, units, lat0, **params)
     if path:
-        m.point.write().overwrite().save(f"{path}/trees")
-        m.bias.write.mode("overwrite").parquet(f"{path}/bias")
+        save_fitted(m, path)
     return m
 
 
+def save_fitted(m: FittedVariable, path: str) -> None:
+    """All of a fitted variable below ``path``: trees, bias, interval tables and margin, forest and leaves, classifiers with their calibration."""
+    spark = m.bias.sparkSession
+    facts = {"space": m.space, "bins": m.bins, "edges": m.edges, "margin": m.margin, "intervals": m.intervals is not None, "leaves": m.leaves is not None, "classifiers": [[t, iso is not None] for t, (_, iso) in m.classifiers.items()]}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+    m.point.write().overwrite().save(f"{path}/trees")
+    for name, table in (("bias", m.bias), ("intervals", m.intervals), ("leaves", m.leaves)):
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if m.forest is not None:
+        m.forest.write().overwrite().save(f"{path}/forest")
+    for i, (clf, iso) in enumerate(m.classifiers.values()):
+        clf.write().overwrite().save(f"{path}/classifier-{i}")
+        if iso is not None:
+            iso.write().overwrite().save(f"{path}/isotonic-{i}")
+
+
 def load_operational(spark: SparkSession, spec: VariableSpec, space: str, path: str) -> FittedVariable:
-    return FittedVariable(spec, space, spark.read.parquet(f"{path}/bias"), PipelineModel.load(f"{path}/trees"))
+    """What `save_fitted` wrote; ``space`` must be the one that it was fitted in."""
+    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    if facts["space"] != space:
+        raise ValueError(f"fitted in space {facts['space']}")
+    table = lambda name: spark.read.parquet(f"{path}/{name}") if name == "bias" or facts[name] else None
+    m = FittedVariable(spec, space, table("bias"), PipelineModel.load(f"{path}/trees"), table("intervals"), facts["bins"], facts["edges"], facts["margin"])
+    if facts["leaves"]:
+        m.forest, m.leaves = PipelineModel.load(f"{path}/forest"), table("leaves")
+    for i, (t, calibrated) in enumerate(facts["classifiers"]):
+        m.classifiers[t] = PipelineModel.load(f"{path}/classifier-{i}"), IsotonicRegressionModel.load(f"{path}/isotonic-{i}") if calibrated else None
+    return m

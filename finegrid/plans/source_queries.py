@@ -10,6 +10,7 @@ from finegrid.plans.registry import R, query, r4
 from finegrid.plans.space_queries import SQUARES, squares
 from finegrid.session import scratch_path
 from finegrid.sources import features as Ft
+from finegrid.sources import geoparquet as Gq
 from finegrid.sources import gridfile as Gf
 from finegrid.sources import lineage as Ln
 from finegrid.sources import tabular as Tb
@@ -100,6 +101,16 @@ def geojson_features(t):
     return df.select("gp_code", "area_km2", r4(G.area_km2(df, "shape")).alias("km2"))
 
 
+@query("shapes_in_box", "S15 S16 F17", sql(f"""
+    SELECT gp_code, {R('radians(e - w) * 6371.0 * (sin(radians(n)) - sin(radians(s))) * 6371.0')} AS km2 FROM sq WHERE w <= 74.2 AND e >= 73.6 AND s <= 18.7 AND n >= 18.2""", "unit", sq=SQUARES))
+def shapes_in_box(t):
+    # to well-known binary in Parquet and back, pruned by the boxes
+    path = scratch_path(t.spark, "shapes")
+    Gq.write_shapes(squares(t).select("gp_code", "ring"), path, "ring")
+    df = Gq.read_shapes(t.spark, path, box=(73.6, 18.2, 74.2, 18.7))
+    return df.select("gp_code", r4(G.area_km2(df, "shape")).alias("km2"))
+
+
 TEST_LAYOUT = Gf.GridLayout(rows=8, cols=8, ymin=18.0, xmin=73.0, res=0.25, missing=-999.0)
 DAYS = 50
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from finegrid.functions import scores as S
 from finegrid.operators import model as Md
+from finegrid.session import scratch_path
 
 SPEC = Md.VariableSpec("rain", "rain_obs", "fc_rain", ("fc_rain", "lead_day", "elev_diff"), lower=None)
 FAMILY = {"fc_rain": "forecast", "lead_day": "forecast", "elev_diff": "terrain"}
@@ -52,3 +53,21 @@ def test_quantiles_follow_the_inputs(fitted):
     assert leaves.where("rain_q10 > rain_q50 OR rain_q50 > rain_q90").count() == 0 and leaves.count() == test.count()
     width = {r.rough: r.w for r in leaves.groupBy((F.col("elev_diff") > 1).alias("rough")).agg(F.avg(F.col("rain_q90") - F.col("rain_q10")).alias("w")).collect()}
     assert width[True] > 3 * width[False]
+
+
+def test_a_fitted_model_is_saved_whole(spark, fitted):
+    """Points, both kinds of intervals and exceedance probabilities are the same after loading."""
+    m, train, calib, test = fitted
+    spec = Md.VariableSpec("rain", "rain_obs", "fc_rain", SPEC.features, thresholds=(8.0, 1e9))
+    m = Md.FittedVariable(spec, m.space, m.bias, m.point)
+    m = Md.fit_exceedance(Md.fit_leaf_intervals(Md.fit_intervals(m, train, calib), train, calib, trees=3, depth=3), train, calib, rounds=2)
+    path = scratch_path(spark, "model")
+    Md.save_fitted(m, path)
+    back = Md.load_operational(spark, spec, "linear", path)
+    assert list(back.classifiers) == [8.0] and back.margin == m.margin and back.edges == m.edges
+    some = test.where("gp_code IN ('1', '9')")
+    for predict in (Md.predict_point, Md.predict_intervals, Md.predict_leaf_intervals, Md.predict_exceedance):
+        rows = [sorted(map(str, predict(x, some).drop("hist_bias").collect())) for x in (m, back)]
+        assert rows[0] == rows[1] and len(rows[0]) > 50
+    with pytest.raises(ValueError):
+        Md.load_operational(spark, spec, "log1p", path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from finegrid.operators import model as Md
 from finegrid.session import scratch_path
 from finegrid.sources import features as Ft
+from finegrid.sources import geoparquet as Gq
 from finegrid.sources import gridfile as Gf
 from finegrid.sources import lineage as Ln
 from finegrid.sources import tabular as Tb
@@ -98,3 +99,36 @@ def test_model_beats_copy(spark, panel):
 def test_feature_resolution():
     fam = {"a": ["x", "lat", "x"], "b": ["y", "missing"], "history": ["hist_bias"]}
     assert Md.resolve_features(fam, ["x", "y", "lat"], ["lat"]) == ["x", "y", "hist_bias"]
+
+
+def test_shapes_in_parquet_round_trip(spark):
+    """Holes, parts, empty and null shapes come back; a box reaches the scan and drops what lies outside."""
+    pt = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    box = lambda x, y, w: pt((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))
+    shapes = [("holes", [[box(0, 0, 9), box(1, 1, 2), box(5, 5, 1)]]), ("parts", [[box(20, 0, 1)], [box(30, 40, 2), box(30.5, 40.5, 0.5)]]), ("none", None), ("empty", []), ("far", [[box(-60, -60, 3)]])]
+    df = spark.createDataFrame([(k, s, 7) for k, s in shapes], "id string, ring array<array<array<struct<x:double,y:double>>>>, n int")
+    path = scratch_path(spark, "shapes")
+    Gq.write_shapes(df, path, "ring")
+    flat = lambda s: s and [[[(p["x"], p["y"]) for p in r] for r in g] for g in s]
+    got = {r.id: (flat(r.shape), r.n) for r in Gq.read_shapes(spark, path).collect()}
+    assert got == {k: (flat(s), 7) for k, s in shapes}
+    near = Gq.boxed(spark, path, (8, 8, 25, 25))
+    plan = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "formatted")
+    assert "LessThanOrEqual(bbox.xmin,25.0)" in plan.partition("PushedFilters")[2] and {r.id for r in near.collect()} == {"holes", "parts"}
+    assert {r.id for r in Gq.read_shapes(spark, path, box=(-61, -61, -59, -59)).collect()} == {"far"}
+
+
+def test_other_forms_of_binary_shapes():
+    import struct
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
+    want = [[[list(p) for p in ring]]]
+    plain = lambda got: [[r.tolist() for r in p] for p in got]
+    for order, flag in (("<", 1), (">", 0)):
+        body = lambda *extra: struct.pack(order + "II", 1, 4) + b"".join(struct.pack(order + f"{2 + len(extra)}d", *p, *extra) for p in ring)  # noqa: E731,B023
+        head = lambda kind, *more: struct.pack(order + "BI" + "I" * len(more), flag, kind, *more)  # noqa: E731,B023
+        assert plain(Gq.decode(head(3) + body())) == want
+        assert plain(Gq.decode(head(1003) + body(9.0))) == plain(Gq.decode(head(3 | Gq.HAS_Z | Gq.HAS_SRID, 4326) + body(9.0))) == want
+        assert plain(Gq.decode(head(6, 2) + head(3) + body() + head(3003) + body(1.0, 2.0))) == want * 2
+    with pytest.raises(ValueError):
+        Gq.decode(struct.pack("<BIdd", 1, 1, 0.0, 0.0))
