@@ -31,7 +31,7 @@ MAGIC = b"FGIDS\x00\x01\x00"
 TRAILER = "<QQQII8s"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers; the memory is emptied when it is full, which changes the work only.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 JOINED = 200
 
 
@@ -220,13 +220,9 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each UTF-8 text, ``<u4``.  Lower-casing A-Z first is what the normaliser does anyway."""
         split = [[p.split() for p in pieces(t.lower())] for t in texts]
-        found = [[list(map(self.known.get, words)) for words in parts] for parts in split]
-        new = [i for i, parts in enumerate(found) if any(None in ids for ids in parts)]
-        self.remember(set().union(*(words for i in new for words in split[i])))
-        for i in new:
-            found[i] = [map(self.known.__getitem__, words) for words in split[i]]
-        for parts in found:
-            yield np.frombuffer(b"".join([b"".join(ids) for ids in parts]), "<u4")
+        self.remember(set().union(*(words for parts in split for words in parts)))
+        for parts in split:
+            yield np.frombuffer(b"".join([b"".join(map(self.known.__getitem__, words)) for words in parts]), "<u4")
 
 
 def word_encoder(definition: bytes) -> WordEncoder:
