@@ -38,9 +38,9 @@ def crops_in_season(dates: DataFrame, calendar: DataFrame, parent: str, date: st
     md = F.date_format(date, "MM-dd")
     if only:
         cal = calendar.where(F.col("crop").isin(only)).drop("parent").distinct()
-        hit = pairs.join(F.broadcast(cal), in_season(md, F.col("start"), F.col("end")))
+        hit = pairs.join(cal, in_season(md, F.col("start"), F.col("end")))
     else:
-        hit = pairs.join(F.broadcast(calendar), (F.upper(F.col(parent)) == F.col("parent")) & in_season(md, F.col("start"), F.col("end")))
+        hit = pairs.join(calendar, (F.upper(F.col(parent)) == F.col("parent")) & in_season(md, F.col("start"), F.col("end")))
         hit = hit.select(pairs[parent], pairs[date], *[calendar[c] for c in calendar.columns if c != "parent"])
     stage = F.struct("crop_ord", "ord", "crop", "crop_name", "stage", "stage_type", "kc", "diseases")
     first = hit.groupBy(parent, date, "crop").agg(F.min(stage).alias("s"))
@@ -329,3 +329,21 @@ def advisory_rows(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     """One row per advisory, in rule order."""
     # the outer form keeps the optimizer from evaluating the array a second time for its size
     return evaluated.select(*keys, F.posexplode_outer("advisories").alias("pos", "a")).where("pos is not null").select(*keys, "pos", "a.*")
+
+
+def register_table_function(spark: SparkSession, evaluated: DataFrame, unit: str, issue: str, name: str = "advisories") -> None:
+    """SQL table function ``name(unit, issue)``: the advisories of one unit and issue, one per row, in rule order.
+
+    It is meant for lateral joins, ``FROM t, LATERAL advisories(t.unit, t.issue)``; Spark turns such a join into a
+    plain join on unit and issue, so rules run once per evaluated row and as compiled columns. The function reads
+    ``evaluated``, the result of :func:`evaluate`, and lasts as long as the session. A unit or issue that is null or
+    not in ``evaluated`` has no advisories; rows of ``evaluated`` that repeat a key each give theirs.
+    """
+    rows = advisory_rows(evaluated, [unit, issue])
+    view = f"_{name}_rows"
+    rows.createOrReplaceTempView(view)
+    types = dict(rows.dtypes)
+    columns = ["pos", "rule", "severity", "category", "key", "params", "days", "crop"]
+    result = ", ".join(f"`{c}` {types[c]}" for c in columns)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(of_unit {types[unit]}, of_issue {types[issue]}) RETURNS TABLE ({result}) "
+              f"RETURN SELECT {', '.join(f'`{c}`' for c in columns)} FROM {view} WHERE `{unit}` = of_unit AND `{issue}` = of_issue")

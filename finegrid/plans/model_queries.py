@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from finegrid.functions import scores as S
 from finegrid.functions.columns import season_terms
+from finegrid.operators import linear as Ln
 from finegrid.operators import model as Md
 from finegrid.operators import panel as P
-from finegrid.plans.registry import query, r4
+from finegrid.plans.bindings import sql
+from finegrid.plans.panel_queries import CALIB_SQL, HOLD_SQL
+from finegrid.plans.registry import R, query, r4
 from finegrid.session import checkpointed, scratch_path
 
 LAT0 = 18.5
@@ -44,6 +47,57 @@ def ridge_mos(t):
     return scored(Md.predict_ridge(m, df.where("test"), features), "ridge")
 
 
+LINEAR = ["fc_rain", "lead_day", "elev_diff", "doy_sin", "doy_cos", "area_km2", "is_monsoon"]
+FRAME_SQL = f""", {CALIB_SQL.replace("SELECT DISTINCT d FROM obs", "SELECT DISTINCT valid_date AS d FROM panel")}, {HOLD_SQL},
+    e AS (SELECT block_lgd, avg(elev) AS e FROM unit GROUP BY 1),
+    fr AS (SELECT p.*, p.elev - e.e AS elev_diff, sin(dayofyear(p.valid_date) * (2 * pi() / 365.25)) AS doy_sin, cos(dayofyear(p.valid_date) * (2 * pi() / 365.25)) AS doy_cos,
+      CAST(month(p.valid_date) IN (6, 7, 8, 9) AS INTEGER) AS is_monsoon, p.valid_date >= DATE '2024-01-25' AS test,
+      p.valid_date < DATE '2024-01-25' AND NOT coalesce(cal.is_calib, false) AND NOT coalesce(cal.is_buffer, false) AND h.gp_code IS NULL AS train
+      FROM panel p JOIN e ON e.block_lgd = p.block_lgd LEFT JOIN cal ON cal.d = p.valid_date LEFT JOIN hold h ON h.gp_code = p.gp_code),
+    tr AS (SELECT * FROM fr WHERE train AND rain_obs IS NOT NULL AND fc_rain IS NOT NULL)"""
+
+
+def _elimination(groups, source, alpha=1.0):
+    """SQL views: per group the normal equations on standardised inputs, solved by Gauss-Jordan; ``w`` holds the weights."""
+    k = len(LINEAR)
+    cov = [f"covar_pop({a}, {b}) AS c{i}_{j}" for i, a in enumerate(LINEAR) for j, b in enumerate(LINEAR)]
+    cov += [f"covar_pop({a}, rain_obs) AS cy{i}" for i, a in enumerate(LINEAR)] + [f"avg({a}) AS m{i}" for i, a in enumerate(LINEAR)]
+    flat = [f"(CASE WHEN c{i}_{i} > 0 THEN sqrt(c{i}_{i}) END)" for i in range(k)]
+    cells = [f"coalesce(c{i}_{j} / {flat[i]} / {flat[j]}, {float(i == j)}) + {alpha if i == j else 0.0} / n AS a{i}_{j}" for i in range(k) for j in range(k)]
+    cells += [f"coalesce(cy{i} / {flat[i]}, 0.0) AS b{i}" for i in range(k)] + [f"{flat[i]} AS s{i}" for i in range(k)] + [f"m{i}" for i in range(k)]
+    views = [f"co AS (SELECT {groups}, count(*) AS n, avg(rain_obs) AS my, {', '.join(cov)} FROM {source} GROUP BY {groups})", f"e0 AS (SELECT {groups}, my, {', '.join(cells)} FROM co)"]
+    kept = [f"s{i}, m{i}" for i in range(k)]
+    for p in range(k):
+        step = [f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" if i != p else f"a{i}_{j}" for i in range(k) for j in range(k)]
+        step += [f"b{i} - a{i}_{p} / a{p}_{p} * b{p} AS b{i}" if i != p else f"b{i}" for i in range(k)]
+        views.append(f"e{p + 1} AS (SELECT {groups}, my, {', '.join(step + kept)} FROM e{p})")
+    views.append(f"w AS (SELECT {groups}, my, {', '.join(f'coalesce(b{i} / a{i}_{i} / s{i}, 0.0) AS w{i}, m{i}' for i in range(k))} FROM e{k})")
+    return ", ".join(views), "w.my + " + " + ".join(f"w.w{i} * (fr.{f} - w.m{i})" for i, f in enumerate(LINEAR))
+
+
+_ALL, _ALL_P = _elimination("one", "(SELECT *, 1 AS one FROM tr) tr")
+_OUT, _OUT_P = _elimination("b", "(SELECT x.b, tr.* FROM (SELECT DISTINCT block_lgd AS b FROM fr) x JOIN tr ON tr.block_lgd <> x.b) tr")
+_RMSE = "sqrt(avg(({} - rain_obs) * ({} - rain_obs)))"
+
+
+@query("ridge_closed", "M7", sql(f"""{FRAME_SQL}, {_ALL},
+    p AS (SELECT fr.*, {_ALL_P} AS ridge FROM fr CROSS JOIN w WHERE fr.test AND rain_obs IS NOT NULL AND fc_rain IS NOT NULL)
+    SELECT lead_day, count(*) AS n, {R(_RMSE.format('ridge', 'ridge'))} AS rmse, {R("1 - " + _RMSE.format('ridge', 'ridge') + " / " + _RMSE.format('fc_rain', 'fc_rain'))} AS skill
+    FROM p GROUP BY lead_day""", "panel"))
+def ridge_closed(t):
+    df = cached(t)
+    return scored(Ln.predict(Ln.fit(df.where("train"), LINEAR, "rain_obs"), df.where("test and fc_rain is not null"), LINEAR), "ridge")
+
+
+@query("leave_parent_out_linear", "M18 M7 A23", sql(f"""{FRAME_SQL}, {_OUT},
+    p AS (SELECT fr.*, {_OUT_P} AS ridge FROM fr JOIN w ON w.b = fr.block_lgd WHERE fr.test AND rain_obs IS NOT NULL AND fc_rain IS NOT NULL)
+    SELECT block_lgd, count(DISTINCT gp_code) AS units, count(*) AS n, {R(_RMSE.format('ridge', 'ridge'))} AS model_rmse, {R(_RMSE.format('fc_rain', 'fc_rain'))} AS copy_rmse,
+      {R("1 - " + _RMSE.format('ridge', 'ridge') + " / " + _RMSE.format('fc_rain', 'fc_rain'))} AS skill FROM p GROUP BY block_lgd HAVING count(DISTINCT gp_code) >= 3""", "panel"))
+def leave_parent_out_linear(t):
+    out = Ln.leave_group_out(cached(t), "block_lgd", LINEAR, "rain_obs", "fc_rain", "train", "test", "gp_code", min_units=3)
+    return out.select("block_lgd", "units", "n", r4("model_rmse").alias("model_rmse"), r4("copy_rmse").alias("copy_rmse"), r4("skill").alias("skill"))
+
+
 @query("residual_trees", "M9 M10 M14 M2")
 def residual_trees(t):
     df = cached(t)

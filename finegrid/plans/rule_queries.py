@@ -233,3 +233,15 @@ def rules_disease(t):
       AND a.issue_date = q.issue_date AND a.rule NOT IN ('spray_window', 'harvest', 'sowing_window') AND a.severity <> 'green'), 0)] AS overall FROM sq q""", "ufc"))
 def overall_severity(t):
     return evaluated(t).select("gp_code", "issue_date", "overall")
+
+
+@query("advisories_lateral", "D4 R14", sql(f""", sq AS ({SEQ}), {WEATHER}, {CROP_CTES}, {DISEASE_CTES},
+    a AS (SELECT gp_code, issue_date, rule, severity, days, NULL AS crop FROM weather UNION ALL SELECT gp_code, issue_date, rule, severity, days, crop FROM cropr
+      UNION ALL SELECT gp_code, issue_date, rule, severity, days, crop FROM disease)
+    SELECT q.gp_code, q.issue_date, a.rule, a.severity, a.days, a.crop FROM sq q JOIN a ON a.gp_code = q.gp_code AND a.issue_date = q.issue_date WHERE a.severity <> 'green'""", "ufc"))
+def advisories_lateral(t):
+    rows = evaluated(t)
+    U.register_table_function(t.spark, rows, "gp_code", "issue_date")
+    sequences(t).select("gp_code", "issue_date").createOrReplaceTempView("_issues")
+    return t.spark.sql("""SELECT i.gp_code, i.issue_date, a.rule, a.severity, array_join(CAST(a.days AS ARRAY<STRING>), ',') AS days, a.crop
+        FROM _issues i, LATERAL advisories(i.gp_code, i.issue_date) a WHERE a.severity <> 'green'""")

@@ -71,3 +71,59 @@ def test_a_fitted_model_is_saved_whole(spark, fitted):
         assert rows[0] == rows[1] and len(rows[0]) > 50
     with pytest.raises(ValueError):
         Md.load_operational(spark, spec, "log1p", path)
+
+
+def _ridge(rows, k, alpha):
+    """Ridge on standardised inputs with numpy, from complete rows; constant inputs get no weight."""
+    import numpy as np
+
+    a = np.array(rows, dtype=float)
+    x, y = a[:, :k], a[:, k]
+    sd = np.where(np.ptp(x, axis=0) > 0, x.std(axis=0), 0)
+    z = np.where(sd > 0, (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1), 0)
+    w = np.linalg.lstsq(np.vstack([z, alpha ** 0.5 * np.eye(k)]), np.r_[y - y.mean(), np.zeros(k)], rcond=None)[0] / np.where(sd > 0, sd, 1)
+    return w, y.mean() - w @ x.mean(axis=0)
+
+
+def test_closed_ridge_against_numpy(spark, panel):
+    from finegrid.operators import linear as Ln
+
+    features = ["fc_rain", "lead_day", "elev_diff", "big", "flat"]
+    df = panel.withColumns({"big": F.lit(1e6) + F.dayofyear("valid_date"), "flat": F.lit(0.1), "weights": F.lit("clash"),
+                            "rain_obs": F.when(F.dayofmonth("valid_date") % 9 != 0, F.col("rain_obs")), "elev_diff": F.when(F.col("gp_code") != "5", F.col("elev_diff"))})
+    full = [r for r in df.select(*features, "rain_obs", "block_lgd").collect() if None not in tuple(r)]
+    for alpha in (0.0, 1.0, 50.0):
+        w, b = _ridge([r[:4] + (r.rain_obs,) for r in full], 4, alpha)
+        w = [*w, 0.0]
+        got = Ln.fit(df, features, "rain_obs", alpha).first()
+        assert list(got.weights) == pytest.approx(list(w), rel=1e-7, abs=1e-9) and got.intercept == pytest.approx(b, rel=1e-6)
+    out = Ln.predict(Ln.fit(df, features, "rain_obs"), df, features)
+    assert out.columns == [*df.columns, "ridge"] and out.where("(ridge is null) <> (elev_diff is null)").isEmpty()
+    # without each parent, from the moments alone
+    stats = Ln.stored(Ln.moments(df, ["block_lgd"], features, "rain_obs"), "m")
+    for r in Ln.solve(Ln.without_each(stats, 5), 5).collect():
+        w, b = _ridge([x[:4] + (x.rain_obs,) for x in full if x.block_lgd != r.block_lgd], 4, 1.0)
+        assert list(r.weights) == pytest.approx([*w, 0.0], rel=1e-7, abs=1e-9) and r.intercept == pytest.approx(b, rel=1e-6)
+
+
+def test_closed_ridge_edges(spark):
+    from finegrid.operators import linear as Ln
+
+    schema = "g string, u string, a double, b double, y double, ref double, train boolean, test boolean"
+    empty = spark.createDataFrame([], schema)
+    assert Ln.fit(empty, ["a", "b"], "y").first().weights is None
+    assert Ln.leave_group_out(empty, "g", ["a", "b"], "y", "ref", "train", "test", "u", 1).isEmpty()
+    # b repeats a: without penalty there is no single answer, with one the weight is shared
+    rows = [("p", f"u{i % 3}", float(i), float(i), 2.0 * i, float(i), i < 6, i >= 6) for i in range(9)]
+    rows += [("q", "v", float(i), float(i), 2.0 * i, float(i), False, True) for i in range(3)]
+    rows += [(None, "w", float(i), float(i), 2.0 * i, float(i), True, True) for i in range(4)] + [("p", None, None, 1.0, 1.0, 1.0, True, True), ("p", "u0", 1.0, 1.0, None, 1.0, True, True)]
+    df = spark.createDataFrame(rows * 2, schema)
+    assert Ln.fit(df.where("train"), ["a", "b"], "y", 0.0).first().weights is None
+    w = Ln.fit(df.where("train"), ["a", "b"], "y", 1.0).first().weights
+    assert w[0] == pytest.approx(w[1]) and 0.8 < w[0] < 1
+    got = {r.g: r for r in Ln.leave_group_out(df, "g", ["a"], "y", "ref", "train", "test", "u", 1).collect()}
+    # p is scored by the rows without a group alone, q, which has no training rows, by all; rows without a group by none
+    assert set(got) == {"p", "q"} and (got["p"].units, got["p"].n, got["q"].n) == (3, 6, 6)
+    assert set(r.g for r in Ln.leave_group_out(df, "g", ["a"], "y", "ref", "train", "test", "u", 2).collect()) == {"p"}
+    only = df.where("g = 'p'")
+    assert Ln.leave_group_out(only, "g", ["a"], "y", "ref", "train", "test", "u", 1).isEmpty()  # nothing else to learn from

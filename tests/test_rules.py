@@ -115,3 +115,15 @@ def test_messages_fit_and_have_no_placeholders(spark):
     with pytest.raises(KeyError):
         Ms.bulletins(ev, "mr", F.lit("x"), "Pune")
     assert ev.select(Ms.weather_summary(CATALOG["mr"])).first()[0]
+
+
+def test_advisories_as_a_table_function(spark):
+    """Rows of a lateral call are those of the advisories; unknown and null keys have none; repeated callers get all of theirs."""
+    a = "array(named_struct('rule', 'heat', 'severity', 'red', 'category', 'general', 'key', 'k', 'params', map('t', '45'), 'days', array(1), 'crop', cast(null as string)), " \
+        "named_struct('rule', 'wind', 'severity', 'yellow', 'category', 'general', 'key', 'w', 'params', map('t', '30'), 'days', array(0, 2), 'crop', cast(null as string)))"
+    df = spark.sql(f"SELECT 'u' AS pos_id, DATE '2024-01-01' AS issue, {a} AS advisories UNION ALL SELECT 'v', DATE '2024-01-01', slice({a}, 1, 0) UNION ALL SELECT NULL, DATE '2024-01-01', {a}")
+    U.register_table_function(spark, df, "pos_id", "issue")
+    spark.createDataFrame([("u",), ("u",), ("v",), ("x",), (None,)], "pos_id string").createOrReplaceTempView("_callers")
+    got = spark.sql("SELECT c.pos_id, a.pos, a.rule, a.params['t'] AS t, a.days FROM _callers c, LATERAL advisories(c.pos_id, DATE '2024-01-01') a").collect()
+    assert sorted(map(tuple, got)) == sorted([("u", 0, "heat", "45", [1]), ("u", 1, "wind", "30", [0, 2])] * 2)
+    assert spark.sql("SELECT rule FROM advisories('u', DATE '2024-01-02')").isEmpty()
