@@ -101,6 +101,19 @@ def geojson_features(t):
     return df.select("gp_code", "area_km2", r4(G.area_km2(df, "shape")).alias("km2"))
 
 
+@query("geojson_collection", "S15 S16 F17", sql(f"""
+    SELECT gp_code, round(area_km2, 2) AS area_km2, 'a "{{[' || gp_code || ']' AS note, {R('radians(e - w) * 6371.0 * (sin(radians(n)) - sin(radians(s))) * 6371.0')} AS km2 FROM sq""", "unit", sq=SQUARES))
+def geojson_collection(t):
+    # documents of up to 40 features, several to a file, read by ranges that cut through features and texts
+    path = scratch_path(t.spark, "collections")
+    noted = squares(t).withColumn("note", F.concat(F.lit('a "{['), "gp_code", F.lit("]")))
+    lines = Ft.feature_lines(noted.withColumn("doc", F.floor(F.col("gp_code").cast("long") / 40)), "ring", ["gp_code", "area_km2", "note", "doc"], digits=7)
+    docs = lines.groupBy(F.get_json_object("value", "$.properties.doc")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("all"))
+    docs.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("value")).write.text(path)
+    df = Ft.read_features(t.spark, path, "gp_code:string,area_km2:double,note:string", collection=True, range_bytes=1 << 16)
+    return df.select("gp_code", "area_km2", "note", r4(G.area_km2(df, "shape")).alias("km2"))
+
+
 @query("shapes_in_box", "S15 S16 F17", sql(f"""
     SELECT gp_code, {R('radians(e - w) * 6371.0 * (sin(radians(n)) - sin(radians(s))) * 6371.0')} AS km2 FROM sq WHERE w <= 74.2 AND e >= 73.6 AND s <= 18.7 AND n >= 18.2""", "unit", sq=SQUARES))
 def shapes_in_box(t):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finegrid.operators.geometry import with_shape
+from finegrid.sources.collection import RANGE, split_collection
 
 _GEOMETRY = "geometry:struct<type:string,coordinates:string>"
 
@@ -18,16 +19,15 @@ def _shape(geometry: Column) -> Column:
     return F.transform(parts, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
 
 
-def read_features(spark: SparkSession, path: str, properties: str, collection: bool = False) -> DataFrame:
+def read_features(spark: SparkSession, path: str, properties: str, collection: bool = False, range_bytes: int = RANGE) -> DataFrame:
     """Properties (a DDL field list) and the shape of every feature.
 
-    Features one per line are read in parallel; a single ``FeatureCollection`` document
-    (``collection=True``) is one file and one task, as its format demands.
+    Features one per line are cut at lines; ``FeatureCollection`` documents (``collection=True``) at ranges of
+    ``range_bytes``, whatever their lines, texts and line ends.
     """
-    feature = f"struct<properties:struct<{properties}>,{_GEOMETRY}>"
     if collection:
-        doc = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
-        rows = doc.select(F.explode("features").alias("f"))
+        feature = f"struct<type:string,properties:struct<{properties}>,{_GEOMETRY}>"
+        rows = split_collection(spark, path, range_bytes).select(F.from_json("value", feature).alias("f")).where("f.type = 'Feature'")
     else:
         rows = spark.read.schema(f"properties struct<{properties}>, geometry struct<type:string,coordinates:string>").json(path)
         rows = rows.select(F.struct("properties", "geometry").alias("f"))

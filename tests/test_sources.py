@@ -132,3 +132,51 @@ def test_other_forms_of_binary_shapes():
         assert plain(Gq.decode(head(6, 2) + head(3) + body() + head(3003) + body(1.0, 2.0))) == want * 2
     with pytest.raises(ValueError):
         Gq.decode(struct.pack("<BIdd", 1, 1, 0.0, 0.0))
+
+
+def _collection(features, spaced=False):
+    import json
+
+    head = {"type": "FeatureCollection", "name": 'x "]}', "crs": {"type": "name", "properties": {"name": "urn"}}, "bbox": [[0, 0], [1, 1]]}
+    return json.dumps({**head, "features": features, "tail": {"a": [{"b": 1}]}}, indent=1 if spaced else None, ensure_ascii=False)
+
+
+def test_collection_cut_anywhere(spark):
+    """The same features whatever the ranges, with brackets, quotes and backslashes in texts, holes, null geometry, empty objects."""
+    import os
+
+    square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
+    notes = ['plain', '}]{["', '\\', '\\"}', 'tail\\\\', 'é ß{', '', '"Feature"', "\n\t", '{"type":"Feature"}' * 20]
+    shapes = [{"type": "Polygon", "coordinates": [square, square]}, {"type": "MultiPolygon", "coordinates": [[square], [square]]}, None]
+    features = [{"type": "Feature", "properties": {"code": str(i), "note": n}, "geometry": shapes[i % 3]} for i, n in enumerate(notes)]
+    path = scratch_path(spark, "cut").removeprefix("file:")
+    os.makedirs(path)
+    for name, text in (("a.json", _collection(features)), ("b.json", _collection(features[:3], spaced=True) + "\n" + _collection([]) + "\n" + _collection(features[3:])), ("c.json", ""), ("d.json", "{}")):
+        with open(f"{path}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    want = sorted((str(i), n, None if i % 3 == 2 else i % 3 + 1) for i, n in enumerate(notes))
+    for size in (7, 64, 701, 1 << 20):
+        got = Ft.read_features(spark, path, "code:string,note:string", collection=True, range_bytes=size).collect()
+        assert sorted((r["code"], r["note"], r["shape"] and len(r["shape"])) for r in got) == sorted(want * 2), size
+    bad = scratch_path(spark, "broken").removeprefix("file:")
+    os.makedirs(bad)
+    with open(f"{bad}/a.json", "w") as f:
+        f.write(_collection(features)[:-400])
+    with pytest.raises(Exception, match="ends inside a feature"):
+        Ft.read_features(spark, bad, "code:string", collection=True, range_bytes=64).collect()
+
+
+def test_scan_knows_the_state_at_every_cut():
+    from finegrid.sources.collection import ESCAPED, INSIDE, OUTSIDE, scan
+
+    text = r'{"a\\":["x\"]{",{}],"\\\"":"é"}'.encode()
+    state, inside, escaped = OUTSIDE, False, False
+    for cut in range(len(text)):
+        assert scan(text[:cut], OUTSIDE)[2] == (ESCAPED if escaped else INSIDE if inside else OUTSIDE) == state
+        for size in (1, 3):  # on from the state reached
+            assert scan(text[cut:cut + size], state)[2] == scan(text[:cut + size], OUTSIDE)[2]
+        c = chr(text[cut])
+        escaped, inside = (False, True) if escaped else (inside and c == "\\", inside != (c == '"'))
+        state = scan(text[:cut + 1], OUTSIDE)[2]
+    at, step, _ = scan(text, OUTSIDE)
+    assert step.sum() == 0 and [chr(text[i]) for i in at] == list("{[{}]}")
