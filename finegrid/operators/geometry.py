@@ -148,21 +148,15 @@ def covering(polygons: DataFrame, key: str, ring: str, res: float, origin: float
 
 def _stretches(runs: DataFrame) -> DataFrame:
     """Runs ``[a, z)`` of a row as stretches ``(level, at)`` of aligned powers of two, at most two of each level."""
-    parts = []
-    low, high = F.col("a"), F.col("z")
-    for level in range(LEVELS + 1):
-        top = level == LEVELS
-        if top:
-            parts.append(F.when(low < high, F.transform(F.sequence(low, high - 1), lambda at: F.struct(F.lit(level).alias("level"), at.alias("at")))))
-            break
-        odd_low, odd_high = (low < high) & (low % 2 != 0), (low < high) & (high % 2 != 0)
-        parts.append(F.when(odd_low, F.array(F.struct(F.lit(level).alias("level"), low.alias("at")))))
-        parts.append(F.when(odd_high & ~(odd_low & (low + 1 == high)), F.array(F.struct(F.lit(level).alias("level"), (high - 1).alias("at")))))
-        runs = runs.select("*", F.floor((low + F.when(odd_low, 1).otherwise(0)) / 2).alias(f"_a{level}"), F.floor((high - F.when(odd_high, 1).otherwise(0)) / 2).alias(f"_z{level}"))
-        low, high = F.col(f"_a{level}"), F.col(f"_z{level}")
-    empty = F.array().cast("array<struct<level:int,at:bigint>>")
-    keep = [c for c in runs.columns if c not in ("a", "z") and not c.startswith(("_a", "_z"))]
-    return runs.select(*keep, F.explode(F.concat(*[F.coalesce(p.cast("array<struct<level:int,at:bigint>>"), empty) for p in parts])).alias("s")).select(*keep, "s.level", "s.at")
+    # of level n, the cells that touch the run's ends: [ceil(a / 2 ** n), floor(z / 2 ** n)); odd ends have no pair to join
+    levels = f"transform(sequence(0, {LEVELS - 1}), n -> named_struct('n', n, 'lo', shiftright(CAST(a AS BIGINT) + shiftleft(1L, n) - 1, n), 'hi', shiftright(CAST(z AS BIGINT), n)))"
+    low = "CASE WHEN s.lo < s.hi AND (s.lo & 1) <> 0 THEN named_struct('level', s.n, 'at', s.lo) END"
+    high = "CASE WHEN s.lo < s.hi AND (s.hi & 1) <> 0 AND NOT ((s.lo & 1) <> 0 AND s.lo + 1 = s.hi) THEN named_struct('level', s.n, 'at', s.hi - 1) END"
+    first, last = f"shiftright(CAST(a AS BIGINT) + {2 ** LEVELS - 1}, {LEVELS})", f"shiftright(CAST(z AS BIGINT), {LEVELS})"
+    whole = f"CASE WHEN {first} < {last} THEN transform(sequence({first}, {last} - 1), x -> named_struct('level', {LEVELS}, 'at', x)) ELSE array() END"
+    found = F.expr(f"concat(filter(flatten(transform({levels}, s -> array({low}, {high}))), s -> s IS NOT NULL), {whole})")
+    keep = [c for c in runs.columns if c not in ("a", "z")]
+    return runs.select(*keep, F.explode(found).alias("s")).select(*keep, "s.level", "s.at")
 
 
 def in_stretches(cells: DataFrame, stretches: DataFrame, key: str) -> DataFrame:
@@ -268,13 +262,14 @@ def overlap_areas(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str,
     return shared.where(F.col("a") > 1e-9)
 
 
-def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str, res: float) -> DataFrame:
+def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: str, res: float, shared: DataFrame | None = None) -> DataFrame:
     """For each polygon of ``a`` the polygon of ``b`` that shares most of it, its share of all that is shared, and how it was found.
 
     ``assignment_method`` is ``largest_overlap``, or ``nearest`` with share 0 where nothing is shared: then the polygon
     of ``b`` whose outline is nearest to a corner.  Only an empty ``b`` leaves a polygon without (``none``).
+    ``shared`` hands over :func:`overlap_areas` where it is at hand already.
     """
-    per = overlap_areas(a, a_key, b, b_key, ring, res)
+    per = overlap_areas(a, a_key, b, b_key, ring, res) if shared is None else shared
     best = per.groupBy(a_key).agg(F.min(F.struct((-F.col("a")).alias("_m"), F.col(b_key))).alias("_b"), F.sum("a").alias("_t"))
     best = checkpointed(best.select(a_key, F.col(f"_b.{b_key}").alias(b_key), (-F.col("_b._m") / F.col("_t")).alias("overlap_frac"), F.lit("largest_overlap").alias("assignment_method")))
     lost = checkpointed(a.join(best, a_key, "left_anti").select(a_key, ring))

@@ -73,8 +73,9 @@ def largest_overlap(t):
 
 def clear_choice(a, b):
     """`largest_overlap` with its polygon where the second best is clearly smaller."""
-    out = G.largest_overlap(a, "gp_code", b, "b_code", "ring", 0.03)
-    two = G.overlap_areas(a, "gp_code", b, "b_code", "ring", 0.03).groupBy("gp_code").agg(F.slice(F.sort_array(F.collect_list("a"), asc=False), 1, 2).alias("a2"))
+    shared = checkpointed(G.overlap_areas(a, "gp_code", b, "b_code", "ring", 0.03))
+    out = G.largest_overlap(a, "gp_code", b, "b_code", "ring", 0.03, shared)
+    two = shared.groupBy("gp_code").agg(F.slice(F.sort_array(F.collect_list("a"), asc=False), 1, 2).alias("a2"))
     clear = (F.col("assignment_method") == "largest_overlap") & ((F.size("a2") < 2) | (F.get("a2", F.lit(0)) - F.get("a2", F.lit(1)) > 1e-6))
     return out.join(two, "gp_code", "left").select("gp_code", F.when(clear, F.col("b_code")).alias("b_code"), r4("overlap_frac").alias("overlap_frac"), "assignment_method")
 
