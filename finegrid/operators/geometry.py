@@ -269,9 +269,9 @@ def largest_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str, ring: st
     of ``b`` whose outline is nearest to a corner.  Only an empty ``b`` leaves a polygon without (``none``).
     ``shared`` hands over :func:`overlap_areas` where it is at hand already.
     """
-    per = overlap_areas(a, a_key, b, b_key, ring, res) if shared is None else shared
+    per = checkpointed(overlap_areas(a, a_key, b, b_key, ring, res)) if shared is None else shared
     best = per.groupBy(a_key).agg(F.min(F.struct((-F.col("a")).alias("_m"), F.col(b_key))).alias("_b"), F.sum("a").alias("_t"))
-    best = checkpointed(best.select(a_key, F.col(f"_b.{b_key}").alias(b_key), (-F.col("_b._m") / F.col("_t")).alias("overlap_frac"), F.lit("largest_overlap").alias("assignment_method")))
+    best = best.select(a_key, F.col(f"_b.{b_key}").alias(b_key), (-F.col("_b._m") / F.col("_t")).alias("overlap_frac"), F.lit("largest_overlap").alias("assignment_method"))
     lost = checkpointed(a.join(best, a_key, "left_anti").select(a_key, ring))
     if lost.isEmpty():
         return best
