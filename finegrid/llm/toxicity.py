@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import zip_longest
 
@@ -56,7 +56,23 @@ def _ratio(k: int, n: int, m: int, o: int) -> float:
     return 2 * (part(k, n * p) + part(n - k, n * (1 - p)) + part(m, o * p) + part(o - m, o * (1 - p)))
 
 
-def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
+class Vocabularies:
+    """Rows as the words of each, kept as one byte string a row and read as a set: sets of all rows at once take some ten times the texts."""
+
+    def __init__(self) -> None:
+        self.rows: list[bytes] = []
+
+    def add(self, words: set[bytes]) -> None:
+        self.rows.append(b" ".join(words))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[set[bytes]]:
+        return (set(row.split()) for row in self.rows)
+
+
+def _telling(toxic: Vocabularies, ordinary: Vocabularies) -> list[bytes]:
     """Byte strings that toxic rows (sets of words) hold more often than ordinary rows, by likelihood ratio.
 
     Of strings that share their letters (as many in a row as the shortest have) only the best one stays, the longest
@@ -71,7 +87,7 @@ def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]
         often, m, own = set(k), Counter(), {}
         for words in ordinary:
             for w in words.difference(own):
-                own[w] = _grams(w, size) & often
+                own[w] = tuple(_grams(w, size) & often)
             m.update(set().union(*map(own.__getitem__, words)))
             if len(own) > REMEMBERED:
                 own.clear()
@@ -96,7 +112,7 @@ def _content(words: Iterable[bytes]) -> bytes:
     return _spell(b" " + b" ".join(reversed(kept)) + b" ")
 
 
-def _contents(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> tuple[bytes, bytes]:
+def _contents(toxic: Vocabularies, ordinary: Vocabularies) -> tuple[bytes, bytes]:
     """Both dictionaries: words that hold telling strings, each string's most common one before the next ones; common words that hold none."""
     telling = _telling(toxic, ordinary)
     holds = {g: [] for g in telling}
@@ -180,9 +196,9 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     that of the prior.
     """
     learn, check = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
-    own: tuple[list, list] = ([], [])
+    own = (Vocabularies(), Vocabularies())
     for text, toxic in learn:
-        own[toxic].append({w for part in windows(text) for w in part})
+        own[toxic].add({w for part in windows(text) for w in part})
     contents = _contents(own[1], own[0])
     distance = Distance(*contents)
     x = np.array([distance.features(t) for t, _ in check], float).reshape(len(check), 2 * len(STEPS) + 4)

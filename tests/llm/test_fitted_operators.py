@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from finegrid.llm import bidiagonal, conversations, packing, queries, whitening
+from finegrid.llm import bidiagonal, conversations, packing, queries, toxicity, whitening
 from finegrid.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -240,3 +241,18 @@ def test_repaired_rows_are_whole_conversations(spark):
     for roles in by.values():
         rest = roles[roles[0] == "system":]
         assert rest and rest == ["user", "assistant"] * (len(rest) // 2)
+
+
+def test_toxicity_fit_keeps_no_set_of_words_per_row():
+    pick = random.Random(5)
+    words = [b"w%06d" % i for i in range(20_000)]
+    rows = [(b" ".join(pick.sample(words, 3000) + [b"idiotic"] * (i % 10 == 0)), int(i % 10 == 0)) for i in range(150)]
+    size = sum(len(text) for text, _ in rows)
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert toxicity._spell(b"idiotic") in model.toxic
+    assert peak < 6 * size, (peak, size)
