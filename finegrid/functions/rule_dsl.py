@@ -69,16 +69,32 @@ def compile_rule(when: dict[str, dict[str, float]]):
     return predicate
 
 
-def risk_level(levels: list[dict], flags_of) -> Column:
+def runs_to(flags: Column, n: int) -> Column:
+    """Whether ``n`` true entries stand in a row; entries are never null. Compiled, unlike `longest_true_run`."""
+    if n < 1:
+        return F.lit(True)
+    return F.contains(F.array_join(flags.cast("array<string>"), ","), F.lit(",".join(["true"] * n)))
+
+
+def true_count(flags: Column) -> Column:
+    """Number of true entries; entries are never null. Compiled."""
+    return F.size(F.array_remove(flags, False))
+
+
+def risk_level(levels: list[dict], flags_of, model: str | None = None) -> Column:
     """First level whose rule fires, with its favourable days: ``struct<level, days>`` (level 0 when none does).
 
-    ``flags_of`` maps a ``when`` condition to its column of day flags.
+    ``flags_of`` maps a ``when`` condition to its column of day flags.  With ``model``, that name stands first in
+    the struct.  Positions, which are not compiled, are sought for the level that fires only.
     """
+    def value(level: int, days: Column) -> Column:
+        named = [] if model is None else [F.lit(model).alias("model")]
+        return F.struct(*named, F.lit(level).alias("level"), days.alias("days"))
+
     out = None
     for lv in levels:
         flags = flags_of(lv["when"])
-        fired = longest_true_run(flags) >= lv["consecutive"] if "consecutive" in lv else F.size(true_positions(flags)) >= lv["min_days"]
-        value = F.struct(F.lit(int(lv["level"])).alias("level"), true_positions(flags).alias("days"))
-        out = F.when(fired, value) if out is None else out.when(fired, value)
-    nothing = F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("days"))
-    return out.otherwise(nothing)
+        fired = runs_to(flags, lv["consecutive"]) if "consecutive" in lv else true_count(flags) >= lv["min_days"]
+        found = value(int(lv["level"]), true_positions(flags))
+        out = F.when(fired, found) if out is None else out.when(fired, found)
+    return out.otherwise(value(0, F.array().cast("array<int>")))

@@ -274,11 +274,7 @@ def crop_rules(r: dict) -> list[Column]:
 def disease_risks(diseases: dict) -> Column:
     """Array of ``struct<model, level, days>``, one entry per disease model, over prepared rows."""
     conditions = _conditions(diseases)
-    entries = []
-    for model, levels in diseases.items():
-        risk = risk_level(levels, lambda w: F.col(f"_flags{conditions.index(w)}"))
-        entries.append(F.struct(F.lit(model).alias("model"), risk["level"].alias("level"), risk["days"].alias("days")))
-    return F.array(*entries)
+    return F.array(*[risk_level(levels, lambda w: F.col(f"_flags{conditions.index(w)}"), model) for model, levels in diseases.items()])
 
 
 def disease_rules(risks: Column) -> Column:

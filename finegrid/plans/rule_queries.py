@@ -14,17 +14,22 @@ PARENTS = ["MAVAL", "JUNNAR", "BARAMATI", "PURANDAR", "HAVELI"]
 _NAME = "(['" + "', '".join(PARENTS) + "'])[block_lgd + 1]"
 
 
-def sequences(t):
-    """Day sequences whose issue dates are spread over the year, so that every season occurs."""
+def day_rows(t):
+    """Forecast rows whose issue dates are spread over the year, so that every season occurs."""
     df = t.ufc.withColumn("issue_date", F.date_add("issue_date", (F.col("user_id") % 12 * 30).cast("int")))
     df = df.withColumn("block_name", F.element_at(F.array(*[F.lit(p) for p in PARENTS]), F.col("block_lgd") + 1))
-    df = df.withColumn("ante_obs7", F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 90).cast("double")))
-    return U.day_sequences(df, ["gp_code", "issue_date"], ["user_id", "block_name", "latitude", "elev", "slope_mean", "soil_clay_pct", "tpi_2km", "ante_obs7"])
+    return df.withColumn("ante_obs7", F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 90).cast("double")))
+
+
+def sequences(t):
+    """Day sequences of :func:`day_rows`."""
+    return U.day_sequences(day_rows(t), ["gp_code", "issue_date"], ["user_id", "block_name", "latitude", "elev", "slope_mean", "soil_clay_pct", "tpi_2km", "ante_obs7"])
 
 
 def evaluated(t):
     seq = sequences(t)
-    on = seq.select("block_name", F.date_add("issue_date", F.col("days")[0]["lead"]).alias("on_date"))
+    # the calendar of every valid day, as the first days of the sequences are among them: sequences are collected once
+    on = day_rows(t).select("block_name", F.date_add("issue_date", F.col("lead_day")).alias("on_date"))
     crops = U.crops_in_season(on, U.crop_calendar(t.spark), "block_name", "on_date")
     return U.evaluate(seq, crops, "block_name")
 
