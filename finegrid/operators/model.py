@@ -253,7 +253,8 @@ def tree_contributions(m: FittedVariable, df: DataFrame, family: dict[str, str])
 def fit_leaf_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, alpha: float = 0.2, trees: int = 20, depth: int = 5, points: int = 41) -> FittedVariable:
     """Residual quantiles that depend on all inputs: a forest, and per leaf ``points`` quantiles of the training residuals in it.
 
-    A row's quantiles are those of the points of all its leaves together.  The margin is the split-conformal quantile
+    A row's quantiles are those of the points of all its leaves together; the points are known not to be null, so that a row's
+    are sorted as plain doubles, not by a function that Spark calls for every comparison.  The margin is the split-conformal quantile
     of the overshoot on calibration rows, as in `fit_intervals`.
     """
     features = [*m.spec.features, "hist_bias"]
@@ -276,8 +277,8 @@ def fit_leaf_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, al
 def _with_leaf_interval(m: FittedVariable, df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("hist_bias", "r_hat")]
     features = [*m.spec.features, "hist_bias"]
-    x = with_leaves(m.forest, _inputs(with_serving_bias(df.select(*keep), m.bias), features)).withColumn("_t", by_leaf(m.leaves, "points"))
-    pool = F.array_sort(F.flatten(F.transform("leaf", lambda leaf, tree: F.get(F.get(F.col("_t"), tree), leaf))))
+    x = with_leaves(m.forest, _inputs(with_serving_bias(df.select(*keep), m.bias), features)).withColumn("_t", by_leaf(m.leaves.withColumn("points", F.array_compact("points")), "points"))
+    pool = F.sort_array(F.flatten(F.transform("leaf", lambda leaf, tree: F.get(F.get(F.col("_t"), tree), leaf))))
     x = x.select(*keep, pool.alias("_pool"))
     at = lambda q: F.get("_pool", F.floor((F.size("_pool") - 1) * q + 0.5).cast("int"))
     return x.select(*keep, at(0.1).alias("_lo"), at(0.5).alias("_mid"), at(0.9).alias("_hi"))

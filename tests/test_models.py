@@ -127,3 +127,18 @@ def test_closed_ridge_edges(spark):
     assert set(r.g for r in Ln.leave_group_out(df, "g", ["a"], "y", "ref", "train", "test", "u", 2).collect()) == {"p"}
     only = df.where("g = 'p'")
     assert Ln.leave_group_out(only, "g", ["a"], "y", "ref", "train", "test", "u", 1).isEmpty()  # nothing else to learn from
+
+
+def test_points_of_leaves_are_sorted_as_plain_doubles(spark, fitted):
+    """No comparison function per pair of points; a row's quantiles are those of its leaves' points together."""
+    m, train, calib, test = fitted
+    m = Md.fit_leaf_intervals(m, train, calib, trees=3, depth=2)
+    p = Md._with_leaf_interval(m, test)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(flatten(" in plan and "array_sort(flatten(" not in plan
+    points = {(r.tree, r.leaf): r.points for r in m.leaves.collect()}
+    leaves = Md.with_leaves(m.forest, Md._inputs(Md.with_serving_bias(test, m.bias), [*m.spec.features, "hist_bias"]))
+    leaf = {(r.gp_code, r.valid_date): r.leaf for r in leaves.collect()}
+    for r in p.collect():
+        pool = sorted(x for t, n in enumerate(leaf[r.gp_code, r.valid_date]) for x in points[t, n])
+        assert [r._lo, r._mid, r._hi] == [pool[int((len(pool) - 1) * q + 0.5)] for q in (0.1, 0.5, 0.9)]
