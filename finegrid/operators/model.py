@@ -17,10 +17,12 @@ from finegrid.functions import scores as S
 from finegrid.functions.columns import clip, from_space, ordered_temperatures, to_space
 from finegrid.operators.encode import idw_knn, out_of_fold_bias, shrunken_bias
 from finegrid.operators.panel import time_folds
-from finegrid.operators.relational import exact_quantiles
+from finegrid.operators.relational import dealt, exact_quantiles
 from finegrid.session import checkpointed, scratch_path, stored
 
 SENTINEL = -9999.0
+#: Training rows that a task of a fit keeps and reads at every level of a tree.
+ROWS_PER_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -107,18 +109,24 @@ def with_serving_bias(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.join(table.select("gp_code", "is_monsoon", F.col("bias").alias("hist_bias")), ["gp_code", "is_monsoon"], "left")
 
 
+def _for_fit(rows: DataFrame) -> DataFrame:
+    """Rows of a fit, evenly over enough tasks."""
+    return dealt(checkpointed(rows), ["gp_code", "valid_date"], ROWS_PER_TASK)
+
+
 def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, space: str, units: DataFrame, lat0: float, rounds: int = 20,
               depth: int = 4, step: float = 0.1) -> FittedVariable:
     """Boosted trees on the residual; rows of ``calib`` only decide when to stop.
 
     The bias table and the training rows are checkpointed: the trees read the rows
     once per level, and a lost executor must not recompute the joins behind them.
+    They are dealt by unit and day: as the joins leave them, a few days may be half of all rows, and one task's.
     """
     tr = usable(train, spec).withColumn("r", residual(spec, space))
     table = checkpointed(complete_bias(shrunken_bias(tr, "gp_code", "block_lgd", "is_monsoon", "r"), units, lat0))
     rows = with_training_bias(tr).withColumn("is_cal", F.lit(False))
     features = [*spec.features, "hist_bias"]
-    need = ["r", "is_cal", *features]
+    need = list(dict.fromkeys(["r", "is_cal", *features, "gp_code", "valid_date"]))
     rows = rows.select(*need)
     if calib is not None:
         ca = usable(calib, spec).withColumn("r", residual(spec, space)).withColumn("is_cal", F.lit(True))
@@ -126,7 +134,7 @@ def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, spa
     gbt = GBTRegressor(featuresCol="features", labelCol="r", predictionCol="r_hat", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, subsamplingRate=0.8)
     if calib is not None:
         gbt = gbt.setValidationIndicatorCol("is_cal")
-    model = Pipeline(stages=[_assembler(features), gbt]).fit(checkpointed(_inputs(rows, features)))
+    model = Pipeline(stages=[_assembler(features), gbt]).fit(checkpointed(_inputs(_for_fit(rows), features)))
     return FittedVariable(spec, space, table, model)
 
 
@@ -259,7 +267,7 @@ def fit_leaf_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, al
     """
     features = [*m.spec.features, "hist_bias"]
     tr = with_training_bias(usable(train, m.spec).withColumn("r", residual(m.spec, m.space)))
-    rows = checkpointed(_inputs(tr.select("r", *features), features))
+    rows = checkpointed(_inputs(_for_fit(tr.select(*dict.fromkeys(["r", *features, "gp_code", "valid_date"]))), features))
     forest = RandomForestRegressor(featuresCol="features", labelCol="r", predictionCol="r_forest", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, featureSubsetStrategy="all", seed=42)
     m.forest = Pipeline(stages=[_assembler(features), forest]).fit(rows)
     nodes = leaf_numbers(tree_nodes(rows.sparkSession, m.forest.stages[-1])).select("tree", "leaf")
@@ -277,7 +285,8 @@ def fit_leaf_intervals(m: FittedVariable, train: DataFrame, calib: DataFrame, al
 def _with_leaf_interval(m: FittedVariable, df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("hist_bias", "r_hat")]
     features = [*m.spec.features, "hist_bias"]
-    x = with_leaves(m.forest, _inputs(with_serving_bias(df.select(*keep), m.bias), features)).withColumn("_t", by_leaf(m.leaves.withColumn("points", F.array_compact("points")), "points"))
+    known = dealt(with_serving_bias(df.select(*keep), m.bias), ["gp_code", "valid_date"])
+    x = with_leaves(m.forest, _inputs(known, features)).withColumn("_t", by_leaf(m.leaves.withColumn("points", F.array_compact("points")), "points"))
     pool = F.sort_array(F.flatten(F.transform("leaf", lambda leaf, tree: F.get(F.get(F.col("_t"), tree), leaf))))
     x = x.select(*keep, pool.alias("_pool"))
     at = lambda q: F.get("_pool", F.floor((F.size("_pool") - 1) * q + 0.5).cast("int"))
@@ -285,7 +294,7 @@ def _with_leaf_interval(m: FittedVariable, df: DataFrame) -> DataFrame:
 
 
 def predict_leaf_intervals(m: FittedVariable, df: DataFrame) -> DataFrame:
-    """Adds the 10, 50 and 90 % quantiles of the variable given all inputs, in order and within its bounds; no shuffle of rows."""
+    """Adds the 10, 50 and 90 % quantiles of the variable given all inputs, in order and within its bounds; rows are dealt evenly, as each costs a sort."""
     p = _with_leaf_interval(m, df)
     base = to_space(F.col(m.spec.forecast), m.space)
     wide = {"q10": F.col("_lo") - m.margin, "q50": F.col("_mid"), "q90": F.col("_hi") + m.margin}

@@ -9,6 +9,7 @@ from finegrid.functions.columns import season_terms
 from finegrid.operators import linear as Ln
 from finegrid.operators import model as Md
 from finegrid.operators import panel as P
+from finegrid.operators.relational import dealt
 from finegrid.plans.bindings import sql
 from finegrid.plans.panel_queries import CALIB_SQL, HOLD_SQL
 from finegrid.plans.registry import R, query, r4
@@ -30,8 +31,8 @@ def frame(t):
 
 
 def cached(t):
-    """The modelling frame, written once: every fit and prediction of a query reads it again."""
-    return checkpointed(frame(t))
+    """The modelling frame, written once, evenly by unit and day: every fit and prediction of a query reads some of its days again."""
+    return checkpointed(dealt(frame(t), ["gp_code", "valid_date"]))
 
 
 def scored(df, pred):

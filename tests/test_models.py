@@ -129,6 +129,27 @@ def test_closed_ridge_edges(spark):
     assert Ln.leave_group_out(only, "g", ["a"], "y", "ref", "train", "test", "u", 1).isEmpty()  # nothing else to learn from
 
 
+def _shares(df):
+    """Rows in the largest partition, and in all."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(n), sum(n)
+
+
+def test_rows_of_few_days_are_dealt_to_all_tasks(spark, fitted):
+    """One day's rows are few bytes: a shuffle by day or one merged for its size leaves them to one task."""
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("gp_code"), F.lit("2024-01-08").cast("date").alias("valid_date"))
+    one_task = rows.repartition("valid_date")
+    assert _shares(one_task)[0] == 20_000
+    most, all_rows = _shares(Md._for_fit(one_task))
+    assert all_rows == 20_000 and most < 20_000 / 6
+    assert Md.dealt(rows, ["gp_code"], 1_000).rdd.getNumPartitions() == 20
+    m, train, calib, test = fitted
+    m = Md.fit_leaf_intervals(m, train, calib, trees=2, depth=2)
+    day = test.where("valid_date = '2024-11-05'").repartition(1)
+    got = Md.predict_leaf_intervals(m, day.select(*[c for c in day.columns])).checkpoint()
+    assert got.count() == day.count() and got.select(F.spark_partition_id()).distinct().count() > 2
+
+
 def test_points_of_leaves_are_sorted_as_plain_doubles(spark, fitted):
     """No comparison function per pair of points; a row's quantiles are those of its leaves' points together."""
     m, train, calib, test = fitted
