@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and proof that they decode to its text: ``(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256)``."""
     vocabulary = byte_bpe.default_vocabulary()
-    ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), *vocabulary).drop("text")
-    back = byte_bpe.decode(ids, *vocabulary)
+    back = byte_bpe.encode_and_decode(docs.select("doc_id", "source", "text"), *vocabulary)
     decimal = F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary")
     return back.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

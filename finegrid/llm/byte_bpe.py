@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from finegrid.llm.common import kept_in_worker, local_file, utf8, with_column
+from finegrid.llm.common import kept_in_worker, local_file, utf8, with_columns
 
 #: Texts longer than this many characters are encoded in pieces.
 PIECE = 1 << 20
@@ -49,19 +49,33 @@ def encode_text(text: str, encoding, size: int = PIECE) -> np.ndarray:
     return np.concatenate([np.array(encoding.encode_ordinary(p), np.int32) for p in safe_pieces(text, size)])
 
 
+def _encoding_step(spark: SparkSession, rank_file: str, pattern: str, text_col: str, into: str):
+    lines = local_file(spark, rank_file)
+
+    def column(texts: pa.Array) -> pa.Array:
+        encoding = _encoding(lines.value, pattern)
+        return pa.array([encode_text(t.decode("utf-8"), encoding) for t in utf8(texts)], pa.list_(pa.int32()))
+
+    return text_col, into, "array<int>", column
+
+
+def _decoding_step(spark: SparkSession, rank_file: str, pattern: str, ids_col: str, into: str):
+    lines = local_file(spark, rank_file)
+
+    def column(ids: pa.Array) -> pa.Array:
+        back: Callable = _encoding(lines.value, pattern).decode_bytes
+        return pa.array([back(x or []) for x in ids.to_pylist()], pa.binary())
+
+    return ids_col, into, "binary", column
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the token ids of every whole text in ``into`` (array<int>); special tokens are ordinary text.
 
     A null or empty text gives an empty array.  Other columns stay; one called ``into`` is replaced.  The rank file
     is read on the driver and broadcast (refused above 64 MB).  Every row is independent: no shuffle.
     """
-    lines = local_file(df.sparkSession, rank_file)
-
-    def column(texts: pa.Array) -> pa.Array:
-        encoding = _encoding(lines.value, pattern)
-        return pa.array([encode_text(t.decode("utf-8"), encoding) for t in utf8(texts)], pa.list_(pa.int32()))
-
-    return with_column(df, text_col, into, "array<int>", column, ROWS)
+    return with_columns(df, [_encoding_step(df.sparkSession, rank_file, pattern, text_col, into)], ROWS)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -69,13 +83,13 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", in
 
     Null ids give no bytes; an id that the rank file lacks is an error.  Other columns stay.
     """
-    lines = local_file(df.sparkSession, rank_file)
+    return with_columns(df, [_decoding_step(df.sparkSession, rank_file, pattern, ids_col, into)], ROWS)
 
-    def column(ids: pa.Array) -> pa.Array:
-        back: Callable = _encoding(lines.value, pattern).decode_bytes
-        return pa.array([back(x or []) for x in ids.to_pylist()], pa.binary())
 
-    return with_column(df, ids_col, into, "binary", column, ROWS)
+def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", into: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`encode`, then `decode` of its ids, in one pass: one worker and one vocabulary per task instead of two."""
+    spark = df.sparkSession
+    return with_columns(df, [_encoding_step(spark, rank_file, pattern, text_col, into), _decoding_step(spark, rank_file, pattern, into, decoded)], ROWS)
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -3,11 +3,13 @@ import io
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import plain
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from finegrid.llm import byte_bpe, disclosure, graph, mixing, queries, simhash, token_files
 from finegrid.llm.common import table
@@ -121,6 +123,19 @@ def test_bpe_odd_rows(odd, none, encoding):
     assert byte_bpe.encode(none, *vocabulary).collect() == []
 
 
+def test_byte_bpe_there_and_back_in_one_worker(spark):
+    """One pass for ids and bytes, the same as the two operators give; a pass each kept two workers with a vocabulary per task."""
+    vocabulary = byte_bpe.default_vocabulary()
+    odd = spark.createDataFrame([(1, "naïve  café\n", "x"), (2, "", "y"), (3, None, "z"), (4, "<|endoftext|> \U0001f600", None)], "doc_id long, text string, ids string")
+    out = byte_bpe.encode_and_decode(odd, *vocabulary)
+    two = byte_bpe.decode(byte_bpe.encode(odd, *vocabulary), *vocabulary)
+    assert out.schema == two.schema and sorted(map(str, out.collect())) == sorted(map(str, two.collect()))
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in out.collect())
+    stage = corpus_pipeline.encode(spark, odd.withColumn("source", F.lit("s")), SF)
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+
 def test_bpe_pieces_equal_the_whole(encoding):
     rng = random.Random(5)
     parts = ["a", "é", "'s", " ", "  ", "\n", "\t", " ", "\x1c", "12", ".", "!!", "日本", "don't", "<|endoftext|>", "​"]
