@@ -117,6 +117,43 @@ def test_host_repeats(spark):
     assert {r.text for r in out} == {"one two three four five six seven eight nine ten"}
 
 
+def test_suffixes_are_ordered():
+    rng = np.random.default_rng(5)
+    for alphabet in (1, 2, 9):
+        seqs = [bytes(rng.integers(1, alphabet + 1, n).astype(np.uint8)) + b"\0" for n in (0, 1, 7, 40, 3, 40)]
+        s = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
+        s[s == 0] = 256 + np.arange(len(seqs))
+        assert pages.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        for repeat, least in ((2, 2), (3, 4)):
+            runs = {}
+            for page, q in enumerate(seqs):
+                for i in range(len(q) - repeat):
+                    runs.setdefault(q[i:i + repeat], set()).add(page // 2)
+            want = {int(pages.windows(np.frombuffer(r, np.uint8), repeat)[0]) for r, held in runs.items() if len(held) >= min(least, 3)}
+            assert sorted(pages.repeated_windows(seqs, [i // 2 for i in range(len(seqs))], repeat, min(least, 3)).tolist()) == sorted(want)
+
+
+def test_repeats_do_not_depend_on_the_arrays(spark):
+    """A host in many arrays, and codes that clash, give what one array and brute force give."""
+    rng = np.random.default_rng(4)
+    made = [(f"h{i % 2}", (["menu", "of", "us"] if i % 3 else []) + [f"w{rng.integers(400 if i % 2 else 4)}" for _ in range(rng.integers(0, 30))]) for i in range(60)]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "rid long, host string, tokens array<string>")
+    for piece in (40, 400, pages.PIECE):
+        got = {r.rid: r.text for r in pages.unique_runs(df, 3, 3, 0.2, piece).collect()}
+        assert [got[i] for i in range(len(made))] == repeated(made, 3, 3, 0.2)
+
+
+def test_every_page_goes_through_the_host(spark):
+    """What some pages mark as a menu or hold in an article goes from pages that don't mark it; cards beside an article go, articles stay whole."""
+    menu, card = "home about contact news sport weather travel shop", "read our most read story of this very year now"
+    made = [(i, f"<nav>{menu}</nav><article>own{i} text{i}</article>") for i in range(4)]
+    made += [(4, f"<div>{menu}</div><div>plain page</div>"), (5, f"<article>only one</article><article>{card}</article>"), (6, f"<article>{card}</article>")]
+    made += [(i, f"<article>{card}</article><article>post {i}</article><aside>{menu}</aside>") for i in (7, 8)]
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert got == {**{i: f"own{i} text{i}" for i in range(4)}, 4: "plain page", 5: "only one", 6: card, 7: "post 7", 8: "post 8"}
+
+
 def test_pages_query(spark):
     import html
     import re
