@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +114,27 @@ def _for_fit(rows: DataFrame) -> DataFrame:
     return dealt(checkpointed(rows), ["gp_code", "valid_date"], ROWS_PER_TASK)
 
 
+def _best_rounds(gbt: GBTRegressor, rows: DataFrame) -> GBTRegressionModel:
+    """The trees of all rounds, cut where the rows with ``is_cal`` are fitted best.
+
+    Rounds are drawn from the seed and the rows' places, so a fit of fewer rounds has the first trees of a longer one.
+    """
+    learning, held = rows.where("NOT is_cal"), rows.where("is_cal")
+    whole = gbt.fit(learning)
+    if held.isEmpty():
+        return whole
+    errors = whole.evaluateEachIteration(held, "squared")
+    best = errors.index(min(errors)) + 1
+    return whole if best == len(errors) else gbt.copy({gbt.maxIter: best}).fit(learning)
+
+
 def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, space: str, units: DataFrame, lat0: float, rounds: int = 20,
-              depth: int = 4, step: float = 0.1) -> FittedVariable:
+              depth: int = 4, step: float = 0.1, every_round: bool = False) -> FittedVariable:
     """Boosted trees on the residual; rows of ``calib`` only decide when to stop.
 
+    Spark ends a fit at the first round that gains less than a hundredth on them; with ``every_round`` all rounds are
+    fitted and the number of them that serves those rows best is kept.
+
     The bias table and the training rows are checkpointed: the trees read the rows
     once per level, and a lost executor must not recompute the joins behind them.
     They are dealt by unit and day: as the joins leave them, a few days may be half of all rows, and one task's.
@@ -132,10 +149,12 @@ def fit_point(train: DataFrame, calib: DataFrame | None, spec: VariableSpec, spa
         ca = usable(calib, spec).withColumn("r", residual(spec, space)).withColumn("is_cal", F.lit(True))
         rows = rows.unionByName(with_serving_bias(ca, table).select(*need))
     gbt = GBTRegressor(featuresCol="features", labelCol="r", predictionCol="r_hat", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, subsamplingRate=0.8)
+    ready, assembler = checkpointed(_inputs(_for_fit(rows), features)), _assembler(features)
+    if every_round:
+        return FittedVariable(spec, space, table, PipelineModel([assembler, _best_rounds(gbt, assembler.transform(ready))]))
     if calib is not None:
         gbt = gbt.setValidationIndicatorCol("is_cal")
-    model = Pipeline(stages=[_assembler(features), gbt]).fit(checkpointed(_inputs(_for_fit(rows), features)))
-    return FittedVariable(spec, space, table, model)
+    return FittedVariable(spec, space, table, Pipeline(stages=[assembler, gbt]).fit(ready))
 
 
 def predict_point(m: FittedVariable, df: DataFrame) -> DataFrame:
@@ -448,8 +467,8 @@ def predict_all(models: dict[str, FittedVariable], df: DataFrame) -> DataFrame:
 
 
 def fit_operational(df: DataFrame, calib_flag: str, spec: VariableSpec, space: str, units: DataFrame, lat0: float, path: str | None = None, **params) -> FittedVariable:
-    """Refit on every day except the calibration weeks; saved below ``path``."""
-    m = fit_point(df.where(~F.col(calib_flag)), df.where(F.col(calib_flag)), spec, space, units, lat0, **params)
+    """Refit on every day except the calibration weeks, which choose among all rounds; saved below ``path``."""
+    m = fit_point(df.where(~F.col(calib_flag)), df.where(F.col(calib_flag)), spec, space, units, lat0, every_round=True, **params)
     if path:
         save_fitted(m, path)
     return m

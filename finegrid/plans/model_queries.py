@@ -190,6 +190,6 @@ def importance(t):
 def operational_refit(t):
     df = cached(t)
     path = scratch_path(t.spark, "model")
-    Md.fit_operational(df.where("rain_obs is not null"), "calib", SPEC, "linear", t.unit, LAT0, path, rounds=2, depth=2)
+    Md.fit_operational(df.where("rain_obs is not null"), "calib", SPEC, "linear", t.unit, LAT0, path)
     m = Md.load_operational(t.spark, SPEC, "linear", path)
     return scored(Md.predict_all({"rain": m}, df.where("test")), "rain_pred")

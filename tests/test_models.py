@@ -73,6 +73,39 @@ def test_a_fitted_model_is_saved_whole(spark, fitted):
         Md.load_operational(spark, spec, "log1p", path)
 
 
+def test_operational_refit_fits_all_rounds(spark, panel, monkeypatch):
+    """Rounds that gain less than a hundredth each still add up; the calibration rows keep as many as serve them best."""
+    from finegrid.plans import model_queries
+
+    noise = (F.pmod(F.xxhash64("gp_code", "valid_date"), F.lit(2001)).cast("double") - 1000) / 1000
+    df = panel.withColumn("rain_obs", F.col("fc_rain") + F.when(F.col("elev_diff") > 1, 0.5).otherwise(-0.5) + 3 * noise).withColumn("calib", F.col("valid_date").between("2024-10-01", "2024-10-31")).checkpoint()
+    units = df.select("gp_code", "block_lgd", "latitude", "longitude").distinct()
+    given, tried = {}, {}
+
+    def errors_of(model, rows, loss, f=Md.GBTRegressionModel.evaluateEachIteration):
+        tried["errors"] = f(model, rows, loss)
+        return tried["errors"]
+
+    monkeypatch.setattr(Md.GBTRegressionModel, "evaluateEachIteration", errors_of)
+    m = Md.fit_operational(df, "calib", SPEC, "linear", units, 44.0, rounds=12, depth=2)
+    trees, errors = m.point.stages[-1], tried["errors"]
+    assert len(errors) == 12 and trees.getNumTrees == errors.index(min(errors)) + 1
+    stopped = Md.fit_point(df.where("NOT calib"), df.where("calib"), SPEC, "linear", units, 44.0, rounds=12, depth=2).point.stages[-1]
+    assert trees.getNumTrees > stopped.getNumTrees  # a stop at the first small gain
+    calib = Md.predict_point(m, df.where("calib")).agg(F.avg(F.pow(F.col("rain_obs") - F.col("fc_rain") - F.col("r_hat"), 2))).first()[0]
+    assert calib == pytest.approx(min(errors), rel=1e-6)  # a refit of fewer rounds has the first trees of the longer fit
+
+    def fit(*args, **params):
+        given.update(params, rounds_of="the fit")
+        raise InterruptedError
+
+    monkeypatch.setattr(Md, "fit_operational", fit)
+    monkeypatch.setattr(model_queries, "cached", lambda t: df)
+    with pytest.raises(InterruptedError):
+        model_queries.operational_refit(type("T", (), {"spark": spark, "unit": units}))
+    assert given == {"rounds_of": "the fit"}  # the query takes the whole fit, not some rounds of it
+
+
 def _ridge(rows, k, alpha):
     """Ridge on standardised inputs with numpy, from complete rows; constant inputs get no weight."""
     import numpy as np
