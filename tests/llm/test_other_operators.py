@@ -154,6 +154,22 @@ def test_every_page_goes_through_the_host(spark):
     assert got == {**{i: f"own{i} text{i}" for i in range(4)}, 4: "plain page", 5: "only one", 6: card, 7: "post 7", 8: "post 8"}
 
 
+def test_pages_with_one_article_go_through_the_host(monkeypatch):
+    """The repeated runs of such a page are looked for like any other's; markup puts them back, no shortcut does."""
+    run = "read our most read story of this very year now".split()
+    text, known = " ".join(["post", *run, "end"]), {}
+    codes = pages.windows(np.frombuffer(pages.coded(run, known), np.uint8), 8)
+    heads = np.array([h for _, _, h in pages.heads_of(run, codes, known, 8)])
+    strange = heads + 1  # other words with the same codes
+    asked = []
+    monkeypatch.setattr(pages, "checked", lambda hidden, sizes, f=pages.checked: asked.append((hidden.tolist(), sizes)) or f(hidden, sizes))
+    for sizes, want in (([12], text), ([1, 10, 1], "post end"), (None, "post end")):
+        assert pages.without_repeats(text, sizes, codes, heads, known, 8) == want
+        assert pages.without_repeats(text, sizes, codes, strange, known, 8) == text
+    assert asked[:2] == [([False] + [True] * 10 + [False], [12]), ([False] * 12, [12])] and len(asked) == 4
+    assert pages.without_repeats("", [], codes, heads, known, 8) == "" and pages.without_repeats(" ".join(run), [10], codes, heads, known, 8) == " ".join(run)
+
+
 def test_pages_query(spark):
     import html
     import re
